@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from candlewick.llm import merkle
+from candlewick.llm import merkle, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op9_merkle_fingerprint": merkle.op9_merkle_fingerprint,
 }
 

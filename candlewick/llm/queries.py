@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from candlewick.llm import merkle, simhash
+from candlewick.llm import merkle, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op5_substring": substring.op5_substring,
     "op9_merkle_fingerprint": merkle.op9_merkle_fingerprint,
 }
 
 ORACLES = {
+    "op5_substring": substring.ORACLE,
     "op9_merkle_fingerprint": merkle.ORACLE,
 }

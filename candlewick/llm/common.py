@@ -59,14 +59,18 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks; emptied when full, so that memory stays bounded."""
+    """A dictionary that computes what it lacks. It holds at most ``most`` entries and as many older ones."""
 
     def __init__(self, compute: Callable, most: int = 400_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value

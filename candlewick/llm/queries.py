@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from candlewick.llm import merkle, simhash, substring
+from candlewick.llm import bpe, counts, merkle, packing, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_bpe": bpe.op2_bpe,
     "op5_substring": substring.op5_substring,
+    "op8_packing": packing.op8_packing,
     "op9_merkle_fingerprint": merkle.op9_merkle_fingerprint,
+    "op10_counts": counts.op10_counts,
 }
 
 ORACLES = {

@@ -53,27 +53,36 @@ def fill(remaining: dict[int, int], capacity: int) -> dict[int, int]:
     return counts
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns that use up the histogram (pieces by length). Each window takes the longest piece left and the
-    fill that leaves the least slack; a pattern is used as often as its lengths last. The work depends on the
-    number of lengths, at most ``capacity``, not on that of pieces."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Pattern], dict[int, int]]:
+    """Patterns that use up the histogram (pieces by length), and how many pieces of a length are cut at half.
+
+    Each window takes the longest piece left and the fill that leaves the least slack; a pattern is used as often
+    as its lengths last. Where slack is over 1/128 and the longest piece over half a window, those pieces
+    are cut into a half window and the rest instead. The work depends on the number of lengths, at most
+    ``capacity``, not on that of pieces.
+    """
     left = {k: v for k, v in histogram.items() if v > 0}
     if any(k < 1 or k > capacity for k in left):
         raise ValueError("lengths must be from 1 to the capacity")
-    out = []
+    half, out, halved = capacity // 2, [], {}
     while left:
         longest = max(left)
         left[longest] -= 1
         counts = fill(left, capacity - longest)
         left[longest] += 1
         counts[longest] = counts.get(longest, 0) + 1
+        if longest > half and (capacity - sum(k * n for k, n in counts.items())) * 128 > capacity:
+            n = halved[longest] = left.pop(longest)
+            for k in (half, longest - half):
+                left[k] = left.get(k, 0) + n
+            continue
         times = min(left[k] // n for k, n in counts.items())
         for k, n in counts.items():
             left[k] -= n * times
             if not left[k]:
                 del left[k]
         out.append(Pattern(dict(sorted(counts.items(), reverse=True)), times))
-    return out
+    return out, halved
 
 
 def encoder(path: str) -> Callable[[str], np.ndarray]:
@@ -118,7 +127,7 @@ def cut(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            owner, start, length, crc, total = [], [], [], [], []
+            owner, start, length, crc, total, crc_a, crc_b = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4")
                 for at in range(0, len(ids), capacity):
@@ -128,8 +137,10 @@ def cut(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     length.append(len(piece))
                     crc.append(zlib.crc32(piece.tobytes()))
                     total.append(len(ids))
+                    crc_a.append(zlib.crc32(piece[: capacity // 2].tobytes()))  # of its parts, if it is cut at half
+                    crc_b.append(zlib.crc32(piece[capacity // 2 :].tobytes()))
             doc = batch.column(0).take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_pydict({"doc_id": doc} | {k: pa.array(v, pa.int64()) for k, v in (("start", start), ("length", length), ("ids_crc32", crc), ("doc_tokens", total))})
+            yield pa.RecordBatch.from_pydict({"doc_id": doc} | {k: pa.array(v, pa.int64()) for k, v in (("start", start), ("length", length), ("ids_crc32", crc), ("doc_tokens", total), ("crc_a", crc_a), ("crc_b", crc_b))})
 
     return run
 
@@ -148,22 +159,43 @@ def slots(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
     return {k: tuple(np.array(v, np.int64).T) for k, v in rows.items()}
 
 
-def placed(where: dict[int, tuple[np.ndarray, ...]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow: a piece's index among those of its length, in the last column, to sequence_id and offset."""
+def placed(histogram: dict[int, int], capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow: pieces with their index among those of their length to pieces in sequences."""
+    patterns, halved = plan(histogram, capacity)
+    where, half = slots(patterns), capacity // 2
+    # pieces cut at half come after those that have the lengths of their parts from the start
+    whole = {k: n - halved.get(k, 0) for k, n in histogram.items()}
+    base, after = {}, whole.get(half, 0)
+    for k, n in sorted(halved.items()):
+        base[k], after = after, after + n
+
+    def seat(length: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        for size in np.unique(length).tolist():
+            ends, n, first, begin = where[size]
+            at = np.flatnonzero(length == size)
+            k = np.searchsorted(ends, index[at], side="right")
+            inside = index[at] - np.where(k > 0, ends[k - 1], 0)
+            sequence[at] = first[k] + inside // n[k]
+            offset[at] = begin[k] + inside % n[k] * size
+        return sequence, offset
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("start", "length", "ids_crc32", "doc_tokens", "crc_a", "crc_b", "index")
         for batch in batches:
-            length, index = batch.column("length").to_numpy(), batch.column("index").to_numpy()
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for size in np.unique(length).tolist():
-                ends, n, first, base = where[size]
-                at = np.flatnonzero(length == size)
-                k = np.searchsorted(ends, index[at], side="right")
-                inside = index[at] - np.where(k > 0, ends[k - 1], 0)
-                sequence[at] = first[k] + inside // n[k]
-                offset[at] = base[k] + inside % n[k] * size
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in names} | {"sequence_id": sequence, "offset": offset})
+            start, length, crc, total, crc_a, crc_b, index = (batch.column(c).to_numpy() for c in names)
+            cut_ = index >= np.array([whole[k] for k in length.tolist()], np.int64)
+            rest, row = np.flatnonzero(~cut_), np.flatnonzero(cut_)
+            nth = index[row] - np.array([whole[k] for k in length[row].tolist()], np.int64)
+            first = nth + np.array([base[k] for k in length[row].tolist()], np.int64)
+            second = nth + np.array([whole.get(k - half, 0) for k in length[row].tolist()], np.int64)
+            out_row = np.concatenate([rest, row, row])
+            out_start = np.concatenate([start[rest], start[row], start[row] + half])
+            out_length = np.concatenate([length[rest], np.full(len(row), half), length[row] - half])
+            out_crc = np.concatenate([crc[rest], crc_a[row], crc_b[row]])
+            sequence, offset = seat(out_length, np.concatenate([index[rest], first, second]))
+            doc = batch.column("doc_id").take(pa.array(out_row))
+            yield pa.RecordBatch.from_pydict({"doc_id": doc, "start": out_start, "length": out_length, "ids_crc32": out_crc, "doc_tokens": total[out_row], "sequence_id": sequence, "offset": offset})
 
     return run
 
@@ -172,10 +204,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row for each piece.
 
     A document's ids are cut every ``capacity``; full pieces are sequences of their own, the others are packed
-    by the plan for all documents' lengths. Null text counts as empty: the end id alone; repeated rows and null
+    by the plan for all documents' lengths, which may cut some of them once more. Null text counts as empty: the end id alone; repeated rows and null
     doc_id stay, each row with pieces of its own; an empty table gives no rows; other columns are ignored.
     """
-    pieces = texts(docs).mapInArrow(cut(path or default_path("byte_bpe_50k.json"), capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = texts(docs).mapInArrow(cut(path or default_path("byte_bpe_50k.json"), capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, crc_a long, crc_b long")
     pieces = durable(pieces, "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     # at most capacity * SALTS rows, whatever the number of documents
     sizes = sorted((r.length, r.salt, r.n) for r in pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
@@ -188,8 +220,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     numbered = pieces.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(begin), ["length", "salt"])
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    numbered = numbered.select(*columns, (F.col("rank") + F.col("before")).alias("index"))
-    return numbered.mapInArrow(placed(slots(plan(histogram, capacity))), ", ".join(f"{c} long" for c in (*columns, "sequence_id", "offset")))
+    numbered = numbered.select(*columns, "crc_a", "crc_b", (F.col("rank") + F.col("before")).alias("index"))
+    return numbered.mapInArrow(placed(histogram, capacity), ", ".join(f"{c} long" for c in (*columns, "sequence_id", "offset")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,16 +83,32 @@ def test_plan_and_fill():
         got = packing.fill(have, capacity)
         assert all(n <= have[k] for k, n in got.items())
         assert sum(k * n for k, n in got.items()) == max(s for s in sums if s <= capacity)
-    histogram = {k: pick.randint(1, 5000) for k in range(1, 1025)}
-    patterns = packing.plan(histogram)
-    used = {}
-    for p in patterns:
-        assert sum(k * n for k, n in p.counts.items()) <= 1024
-        for k, n in p.counts.items():
-            used[k] = used.get(k, 0) + n * p.times
-    assert used == histogram
-    total = sum(k * n for k, n in histogram.items())
-    assert sum(p.times for p in patterns) * 1024 - total < 0.002 * total
+    for histogram in ({k: pick.randint(1, 5000) for k in range(1, 1025)}, {600: 10**6, 3: 5}, {1024: 7, 1: 1}, {700: 999, 900: 10**5}):
+        patterns, halved = packing.plan(histogram)
+        used, want = {}, dict(histogram)
+        for k, n in halved.items():
+            want[k] -= n
+            want[512] = want.get(512, 0) + n
+            want[k - 512] = want.get(k - 512, 0) + n
+        for p in patterns:
+            assert sum(k * n for k, n in p.counts.items()) <= 1024
+            for k, n in p.counts.items():
+                used[k] = used.get(k, 0) + n * p.times
+        assert used == {k: n for k, n in want.items() if n}
+        total = sum(k * n for k, n in histogram.items())
+        assert sum(p.times for p in patterns) * 1024 - total < 0.02 * total + 2048
+
+
+def test_packing_cuts_pieces_that_do_not_fit(spark):
+    df = spark.createDataFrame([(i, "the cat sat on a mat " * 101) for i in range(40)], "doc_id long, text string")
+    found = packing.pack(df).collect()
+    assert len({r.sequence_id for r in found}) * 1024 < 1.05 * sum(r.length for r in found)
+    for i in range(40):
+        at = 0
+        for r in sorted((r for r in found if r.doc_id == i), key=lambda r: r.start):
+            assert r.start == at
+            at += r.length
+        assert at == r.doc_tokens
 
 
 def test_empty_tables(spark):

@@ -30,16 +30,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_lanes() -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
-    """Two independent 64-bit fingerprints for each word (the halves of XXH3-128)."""
+def word_lanes(most: int = 400_000) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Two independent 64-bit fingerprints for each word (the halves of XXH3-128), kept for words seen lately."""
     from xxhash import xxh3_128_intdigest
 
-    low = (1 << 64) - 1
-    memo = Memo(lambda w: (lambda h: (h & low, h >> 64))(xxh3_128_intdigest(w)))
+    class Places(dict):
+        """Where a word's fingerprints stand in ``table``."""
+
+        def __missing__(self, word: bytes) -> int:
+            h = xxh3_128_intdigest(word)
+            at = self[word] = len(self)
+            table[0, at], table[1, at] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+            return at
+
+    table, places = np.zeros((2, most), np.uint64), Places()
 
     def lanes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        both = np.array([memo[w] for w in words], np.uint64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+        nonlocal table
+        if len(places) + len(words) > table.shape[1]:
+            places.clear()
+            if len(words) > table.shape[1]:
+                table = np.zeros((2, 2 * len(words)), np.uint64)
+        at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        return table[0, at], table[1, at]
 
     return lanes
 
@@ -75,46 +88,46 @@ def _combined(keys: list[np.ndarray], owner: np.ndarray) -> tuple[list[np.ndarra
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark, text) to (anchor, docs, marks): each anchor once a batch, so a hot one has few rows."""
+    """(doc_id, text) to (anchor, docs): each anchor once a batch, so a hot one has few rows."""
     lanes = word_lanes()
     for batch in batches:
-        found = [np.unique(anchors(lanes((t or "").encode().split())[0])) for t in batch.column(2).to_pylist()]
+        found = [np.unique(anchors(lanes((t or "").encode().split())[0])) for t in batch.column(1).to_pylist()]
         owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
         (anchor,), order, ends = _combined([np.concatenate([*found, np.zeros(0, np.uint64)])], owner)
-        rows = pa.array(owner[order])
-        docs, marks = (pa.ListArray.from_arrays(ends, batch.column(i).take(rows)) for i in (0, 1))
-        yield pa.RecordBatch.from_pydict({"anchor": anchor.view(np.int64), "docs": docs, "marks": marks})
+        docs = pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(owner[order])))
+        yield pa.RecordBatch.from_pydict({"anchor": anchor.view(np.int64), "docs": docs})
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark, text, anchors) to (h1, h2, docs, marks, starts): each window with a shared anchor once a batch."""
+    """(doc_id, text, anchors) to (h1, h2, docs): each window with a shared anchor once a batch."""
     lanes = word_lanes()
     for batch in batches:
-        one, two, owner, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, (text, shared) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
+        one, two, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, (text, shared) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+            if not shared.is_valid:
+                continue
             a, b = lanes((text or "").encode().split())
             at = np.flatnonzero(np.isin(anchors(a).view(np.int64), shared.values.to_numpy()))
-            one.append(rolled(a, WINDOW, 0)[at])
-            two.append(rolled(b, WINDOW, 1)[at] >> np.uint64(32))
-            owner.append(np.full(len(at), i))
-            start.append(at)
-        owner, start = np.concatenate(owner), np.concatenate(start)
+            h1, first = np.unique(rolled(a, WINDOW, 0)[at], return_index=True)
+            one.append(h1)
+            two.append(rolled(b, WINDOW, 1)[at[first]] >> np.uint64(32))
+            owner.append(np.full(len(h1), i))
+        owner = np.concatenate(owner)
         (h1, h2), order, ends = _combined([np.concatenate(one), np.concatenate(two)], owner)
-        rows = pa.array(owner[order])
-        docs, marks = (pa.ListArray.from_arrays(ends, batch.column(i).take(rows)) for i in (0, 1))
-        starts = pa.ListArray.from_arrays(ends, pa.array(start[order].astype(np.int32)))
-        yield pa.RecordBatch.from_pydict({"h1": h1.view(np.int64), "h2": h2.astype(np.int64), "docs": docs, "marks": marks, "starts": starts})
+        docs = pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(owner[order])))
+        yield pa.RecordBatch.from_pydict({"h1": h1.view(np.int64), "h2": h2.astype(np.uint32).view(np.int32), "docs": docs})
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, starts) to (row, n_words, n_removed, text, kept_sha256)."""
+    """(row, text, repeats) to (row, n_words, n_removed, text, kept_sha256); repeats: h1 of the windows to go."""
+    lanes = word_lanes()
     for batch in batches:
         out = {"n_words": [], "n_removed": [], "text": [], "kept_sha256": []}
-        for text, starts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for text, repeats in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             words = (text or "").encode().split()
             n = len(words)
-            if starts.is_valid:
-                begins = starts.values.to_numpy()
+            if repeats.is_valid and n >= WINDOW:
+                begins = np.flatnonzero(np.isin(rolled(lanes(words)[0], WINDOW, 0).view(np.int64), repeats.values.to_numpy()))
                 edge = np.bincount(begins, minlength=n + 1) - np.bincount(begins + WINDOW, minlength=n + 1)
                 words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
             kept = b" ".join(words)
@@ -124,70 +137,62 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class WindowIndex:
-    """The log-structured index: immutable runs of window fingerprints, bucketed and sorted, in the shared folder.
+    """The log-structured index: immutable runs of window fingerprints in one bucketed table in the shared folder.
 
-    A run holds (anchor, docs, marks): the fingerprint that stands for a window (its anchor), and in which
-    documents windows have it. ``add`` writes a batch as a new run and merge-joins it, bucket by bucket and
-    without a shuffle, with itself and the runs before it. Beyond ``most`` runs the two smallest are compacted.
+    A run holds (anchor, docs): the fingerprint that stands for a window (its anchor), and the documents of one
+    task's batch that have it. ``add`` appends a run, sorted within each bucket; ``shared`` merge-joins the runs
+    bucket by bucket, without a shuffle; beyond ``most`` runs, ``compact`` rewrites each bucket as one run,
+    without a shuffle too.
     """
 
     def __init__(self, spark: SparkSession, most: int = RUNS):
-        self.spark, self.most = spark, most
-        self.runs: list[tuple[str, int]] = []
-        self.shared: list[DataFrame] = []
-
-    def _write(self, rows: DataFrame, docs: int) -> str:
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        name = f"window_run_{uuid.uuid4().hex}"
-        writer = rows.repartition(buckets, "anchor").write.bucketBy(buckets, "anchor").sortBy("anchor")
-        writer.option("path", f"{shared_folder(self.spark)}/{name}").saveAsTable(name)
-        self.runs.append((name, docs))
-        return name
-
-    def add(self, batch: DataFrame, docs: int) -> None:
-        """Index a batch (doc_id, mark, text) of about ``docs`` documents; ``shared`` gets the anchors that two documents have."""
-        new = self.spark.table(self._write(batch.mapInArrow(_runs, "anchor long, docs array<long>, marks array<int>"), docs))
-        held = new.groupBy("anchor").agg(F.min(F.element_at("docs", 1)).alias("lo"), F.max(F.element_at("docs", -1)).alias("hi")).filter("lo < hi")
-        found = [new.join(held, "anchor", "left_semi")]
-        for name, _ in self.runs[:-1]:
-            old = self.spark.table(name)
-            found += [new.join(old, "anchor", "left_semi"), old.join(new, "anchor", "left_semi")]
-        self.shared += found
-        while len(self.runs) > self.most:
+        self.spark, self.most, self.runs = spark, most, 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"window_index_{uuid.uuid4().hex}"
+
+    def _write(self, rows: DataFrame) -> None:
+        writer = rows.write.mode("append").bucketBy(self.buckets, "anchor").sortBy("anchor")
+        writer.option("path", f"{shared_folder(self.spark)}/{self.name}").saveAsTable(self.name)
+        self.runs += 1
+
+    def add(self, batch: DataFrame) -> None:
+        """Index a batch of (doc_id, text) as a new run."""
+        rows = batch.mapInArrow(_runs, "anchor long, docs array<long>")
+        self._write(rows.repartition(self.buckets, "anchor"))
+        if self.runs > self.most:
             self.compact()
 
     def compact(self) -> None:
-        """Merge the two smallest runs into one sorted run; what they shared is kept already."""
-        small = sorted(self.runs, key=lambda r: r[1])[:2]
-        self.runs = [r for r in self.runs if r not in small]
-        self._write(self.spark.table(small[0][0]).unionByName(self.spark.table(small[1][0])), small[0][1] + small[1][1])
-
-    def candidates(self) -> DataFrame:
-        """(doc_id, mark, anchors): for each document the anchors that another document has too."""
-        rows = self.shared[0]
-        for more in self.shared[1:]:
-            rows = rows.unionByName(more)
-        pairs = rows.select("anchor", F.explode(F.arrays_zip("docs", "marks")).alias("x")).select("x.docs", "x.marks", "anchor")
-        return pairs.groupBy(F.col("docs").alias("doc_id"), F.col("marks").alias("mark")).agg(F.collect_set("anchor").alias("anchors"))
-
-
-def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """The documents as (doc_id, mark, text), and (doc_id, mark, starts): starts of windows that a smaller doc_id has too."""
-    spark = docs.sparkSession
-    base = texts(docs).select("doc_id", F.hash("text").alias("mark"), "text")
-    named = base.filter("doc_id is not null")
-    low, high, count = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    index = WindowIndex(spark)
+        """Merge all runs into one, and drop them."""
+        old, folder = self.name, f"{shared_folder(self.spark)}/{self.name}"
+        self.name, self.runs = f"window_index_{uuid.uuid4().hex}", 0
+        self._write(self.spark.table(old))
+        self.spark.sql(f"DROP TABLE {old}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def shared(self) -> DataFrame:
+        """(doc_id, anchors): for each document the anchors that another document has too."""
+        table = self.spark.table(self.name)
+        held = table.groupBy("anchor").agg(F.min(F.array_min("docs")).alias("lo"), F.max(F.array_max("docs")).alias("hi")).filter("lo < hi")
+        pairs = table.join(held.select("anchor").hint("merge"), "anchor", "left_semi").select("anchor", F.explode("docs").alias("doc_id"))
+        return pairs.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+
+
+def repeated_windows(base: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, repeats) from (doc_id, text): for each document h1 of its windows that a smaller doc_id has too."""
+    low, high = base.agg(F.min("doc_id"), F.max("doc_id")).first()
+    index = WindowIndex(base.sparkSession)
     step = ((high or 0) - (low or 0)) // batches + 1
     for k in range(batches):
         begin = (low or 0) + k * step
-        index.add(named.filter(F.col("doc_id").between(begin, begin + step - 1)), count // batches)
-    asked = base.join(index.candidates(), ["doc_id", "mark"]).select("doc_id", "mark", "text", "anchors")
-    windows = asked.mapInArrow(_windows, "h1 long, h2 long, docs array<long>, marks array<int>, starts array<int>")
-    # a batch's rows of a window are one row here, in order of doc_id
+        index.add(base.filter(F.col("doc_id").between(begin, begin + step - 1)))
+    asked = base.join(index.shared(), "doc_id", "left").select("doc_id", "text", "anchors")
+    windows = asked.mapInArrow(_windows, "h1 long, h2 int, docs array<long>")
+    # a batch's rows of a window are one row here
     first = F.min(F.array_min("docs")).over(Window.partitionBy("h1", "h2"))
-    later = windows.withColumn("first", first).select("first", F.explode(F.arrays_zip("docs", "marks", "starts")).alias("x")).filter("x.docs > first")
-    return base, later.groupBy(F.col("x.docs").alias("doc_id"), F.col("x.marks").alias("mark")).agg(F.collect_list("x.starts").alias("starts"))
+    later = windows.withColumn("first", first).select("first", "h1", F.explode("docs").alias("doc_id")).filter("doc_id > first")
+    return later.groupBy("doc_id").agg(F.collect_list("h1").alias("repeats"))
 
 
 def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -200,10 +205,14 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     doc_id don't part each other's words and all stay; null doc_id neither removes nor loses words; an empty
     table gives no rows; other columns stay in ``row`` and can't clash.
     """
-    _, repeats = repeated_windows(docs, batches)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others") if others else F.lit(None).alias("others"))
+    base = plain.select("doc_id", "text")
+    both = (plain if others else base).join(repeated_windows(base, batches), "doc_id", "left")
+    row = F.struct("doc_id", *(F.col(f"others.`{c}`").alias(c) for c in others)).alias("row")
+    rows = both.select(row, "text", "repeats")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, text string, kept_sha256 string"
-    return rows.join(repeats, ["doc_id", "mark"], "left").select("row", "text", "starts").mapInArrow(_kept, schema)
+    return rows.mapInArrow(_kept, schema)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from candlewick.llm import bpe, counts, merkle, packing, simhash, substring
+from candlewick.llm import bpe, counts, langid, media, merkle, packing, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
+    "op3_langid": langid.op3_langid,
+    "op4_media": media.op4_media,
     "op5_substring": substring.op5_substring,
     "op8_packing": packing.op8_packing,
     "op9_merkle_fingerprint": merkle.op9_merkle_fingerprint,

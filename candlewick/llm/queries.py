@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import bpe, counts, langid, media, merkle, packing, simhash, substring, urls
+from candlewick.llm import bpe, counts, langid, media, merkle, packing, quality, simhash, substring, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_langid": langid.op3_langid,
     "op4_media": media.op4_media,
     "op5_substring": substring.op5_substring,
+    "op6_quality": quality.op6_quality,
     "op7_urls": urls.op7_urls,
     "op8_packing": packing.op8_packing,
     "op9_merkle_fingerprint": merkle.op9_merkle_fingerprint,

@@ -84,9 +84,9 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Classifie
 
     rows = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(run, "quality int, x array<double>")
     found = sorted((r.quality, *r.x) for r in rows.limit(2 * most).collect())  # repeated ids at most double the sample
-    table = np.array(found, float).reshape(len(found), -1)
-    if len(table) == 0 or table[:, 0].min() == table[:, 0].max():
+    if len({f[0] for f in found}) < 2:
         return None
+    table = np.array(found, float)
     return fit(table[:, 1:], table[:, 0])
 
 

@@ -9,12 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.llm.common import documents
 
 #: Dimensions of the vectors.
 DIMENSIONS = 1024
 UNKNOWN = "und"
+#: Below this cosine a text is unlike every language; chance alone gives about 1 / sqrt(DIMENSIONS).
+LEAST_SCORE = 0.02
 #: Characters and documents of a slice, which bound a task's memory.
 SLICE_CHARS, SLICE_ROWS = 1 << 20, 256
 #: Trigrams whose vectors are held at once.
@@ -163,6 +166,22 @@ def identify(docs: DataFrame) -> DataFrame:
     return asked.mapInArrow(scored(profiles, ["doc_id", "held_out"]), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` that have a language, as the struct ``row``, with lang_pred and score.
+
+    Rejected are texts without a letter (null and empty too) and those with a score below ``least``, which are
+    unlike every profile. Where nothing could be learned, every text with a letter stays. Repeated rows and null
+    doc_id stay; an empty table gives no rows; columns of any name stay in ``row``.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    profiles = prototypes(rows.filter(~held_out() & F.col("doc_id").isNotNull()).select("text", "lang"))
+    if not profiles:
+        return rows.filter(F.col("text").rlike(r"\p{L}")).select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    asked = rows.select("row", "text", F.coalesce(F.length("text"), F.lit(0)).alias("_chars"))
+    schema = T.StructType([asked.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return asked.mapInArrow(scored(profiles, ["row"]), schema).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language."""
     return identify(documents(spark, sf_dir))

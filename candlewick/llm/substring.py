@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import Memo, documents, shared_folder, texts
+from candlewick.llm.common import documents, durable, shared_folder, texts
 
 WINDOW = 13
 #: Words of an anchor; each window's anchor is its word run of this length with the least fingerprint.
@@ -73,7 +73,11 @@ def anchors(lane: np.ndarray, window: int = WINDOW, width: int = ANCHOR) -> np.n
     """
     if len(lane) < window:
         return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(rolled(lane, width, 0), window - width + 1).min(axis=1)
+    inner, n = rolled(lane, width, 0), len(lane) - window + 1
+    least = inner[:n].copy()
+    for j in range(1, window - width + 1):
+        np.minimum(least, inner[j : j + n], out=least)
+    return least
 
 
 def _combined(keys: list[np.ndarray], owner: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -99,12 +103,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, anchors) to (h1, h2, docs): each window with a shared anchor once a batch."""
+    """(doc_id, text, anchors, copies) to (h1, h2, docs): each window with a shared anchor once a batch.
+
+    A text that a smaller doc_id has too adds nothing to what its first copy says.
+    """
     lanes = word_lanes()
     for batch in batches:
         one, two, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, (text, shared) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
-            if not shared.is_valid:
+        for i, (text, shared, copies) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True)):
+            if not shared.is_valid or (copies and hashlib.md5((text or "").encode()).hexdigest() in copies):
                 continue
             a, b = lanes((text or "").encode().split())
             at = np.flatnonzero(np.isin(anchors(a).view(np.int64), shared.values.to_numpy()))
@@ -119,14 +126,19 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, repeats) to (row, n_words, n_removed, text, kept_sha256); repeats: h1 of the windows to go."""
+    """(row, text, repeats, copies) to (row, n_words, n_removed, text, kept_sha256).
+
+    repeats: h1 of the windows to go; copies: digests of texts that go whole.
+    """
     lanes = word_lanes()
     for batch in batches:
         out = {"n_words": [], "n_removed": [], "text": [], "kept_sha256": []}
-        for text, repeats in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for text, repeats, copies in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             words = (text or "").encode().split()
             n = len(words)
-            if repeats.is_valid and n >= WINDOW:
+            if copies and n >= WINDOW and hashlib.md5(text.encode()).hexdigest() in copies:
+                words = []
+            elif repeats.is_valid and n >= WINDOW:
                 begins = np.flatnonzero(np.isin(rolled(lanes(words)[0], WINDOW, 0).view(np.int64), repeats.values.to_numpy()))
                 edge = np.bincount(begins, minlength=n + 1) - np.bincount(begins + WINDOW, minlength=n + 1)
                 words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
@@ -179,20 +191,32 @@ class WindowIndex:
         return pairs.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
 
+def whole_copies(base: DataFrame) -> DataFrame:
+    """(doc_id, copies): digests of a document's texts that a smaller doc_id has too, word for word."""
+    ids = base.filter("doc_id is not null and text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    later = ids.join(first, "digest").filter("doc_id > first")
+    return durable(later.groupBy("doc_id").agg(F.collect_set("digest").alias("copies")), "copies")
+
+
 def repeated_windows(base: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, repeats) from (doc_id, text): for each document h1 of its windows that a smaller doc_id has too."""
+    """(doc_id, repeats, copies) from (doc_id, text): h1 of a document's windows that a smaller doc_id has too.
+
+    Texts that a smaller doc_id has whole are named in copies instead.
+    """
     low, high = base.agg(F.min("doc_id"), F.max("doc_id")).first()
+    copies = whole_copies(base)
     index = WindowIndex(base.sparkSession)
     step = ((high or 0) - (low or 0)) // batches + 1
     for k in range(batches):
         begin = (low or 0) + k * step
         index.add(base.filter(F.col("doc_id").between(begin, begin + step - 1)))
-    asked = base.join(index.shared(), "doc_id", "left").select("doc_id", "text", "anchors")
+    asked = base.join(index.shared().join(copies, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "anchors", "copies")
     windows = asked.mapInArrow(_windows, "h1 long, h2 int, docs array<long>")
     # a batch's rows of a window are one row here
     first = F.min(F.array_min("docs")).over(Window.partitionBy("h1", "h2"))
     later = windows.withColumn("first", first).select("first", "h1", F.explode("docs").alias("doc_id")).filter("doc_id > first")
-    return later.groupBy("doc_id").agg(F.collect_list("h1").alias("repeats"))
+    return later.groupBy("doc_id").agg(F.collect_list("h1").alias("repeats")).join(copies, "doc_id", "full")
 
 
 def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -210,7 +234,7 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     base = plain.select("doc_id", "text")
     both = (plain if others else base).join(repeated_windows(base, batches), "doc_id", "left")
     row = F.struct("doc_id", *(F.col(f"others.`{c}`").alias(c) for c in others)).alias("row")
-    rows = both.select(row, "text", "repeats")
+    rows = both.select(row, "text", "repeats", "copies")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, text string, kept_sha256 string"
     return rows.mapInArrow(_kept, schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -86,6 +87,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Patt
     return out, halved
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Ids of a whole text by a ``tokenizers`` byte-level BPE file, special strings as that library takes them.
 
@@ -219,7 +221,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
         histogram[length] = histogram.get(length, 0) + n
     begin = docs.sparkSession.createDataFrame(before, "length long, salt int, before long")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    numbered = pieces.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(begin), ["length", "salt"])
+    numbered = pieces.withColumn("rank", F.row_number().over(order) - 1).join(begin, ["length", "salt"])
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     numbered = numbered.select(*columns, "crc_a", "crc_b", (F.col("rank") + F.col("before")).alias("index"))
     return numbered.mapInArrow(placed(histogram, capacity), ", ".join(f"{c} long" for c in (*columns, "sequence_id", "offset")))

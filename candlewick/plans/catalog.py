@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.plans import market, reference_data, strategy, streams
+from candlewick.plans import market, reference_data, service, strategy, streams
 
-QUERIES: dict = market.QUERIES | strategy.QUERIES | reference_data.QUERIES | streams.QUERIES
-ORACLES: dict[str, str] = market.ORACLES | strategy.ORACLES | reference_data.ORACLES | streams.ORACLES
+QUERIES: dict = market.QUERIES | strategy.QUERIES | reference_data.QUERIES | service.QUERIES | streams.QUERIES
+ORACLES: dict[str, str] = market.ORACLES | strategy.ORACLES | reference_data.ORACLES | service.ORACLES | streams.ORACLES

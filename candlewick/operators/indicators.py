@@ -122,9 +122,9 @@ def stochastic(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int
 
 
 def stochastic_smoothed(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 14, smooth: int = 3) -> DataFrame:
-    """The stochastic with d as the moving average of k: an extension."""
-    rows = stochastic(bars, keys, period)
-    return rows.select(*keys, "ts", "k", _rounded(F.avg("k").over(_tail(keys, smooth))).alias("d"))
+    """The stochastic with d as the average of the last ``smooth`` k, null before there are as many: an extension."""
+    rows, frame = stochastic(bars, keys, period), _tail(keys, smooth)
+    return rows.select(*keys, "ts", "k", F.when(F.count("k").over(frame) == smooth, _rounded(F.avg("k").over(frame))).alias("d"))
 
 
 def momentum(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 10) -> DataFrame:

@@ -96,7 +96,7 @@ def _(spark, sf_dir):
     return ticks(spark, sf_dir).groupBy("symbol", w.alias("w")).agg(F.count("*").alias("seen")).select("symbol", F.col("w.end").alias("ts"), "seen")
 
 
-@query("ind_stoch_smoothed", WITH + ", k AS (SELECT symbol, ts, CASE WHEN hh <> ll THEN round((close - ll) / (hh - ll) * 100, 8) END AS k FROM (SELECT *, min(low) OVER w AS ll, max(high) OVER w AS hh FROM h1 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))) SELECT symbol, ts, k, round(avg(k) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 8) AS d FROM k")
+@query("ind_stoch_smoothed", WITH + ", k AS (SELECT symbol, ts, CASE WHEN hh <> ll THEN round((close - ll) / (hh - ll) * 100, 8) END AS k FROM (SELECT *, min(low) OVER w AS ll, max(high) OVER w AS hh FROM h1 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))) SELECT symbol, ts, k, CASE WHEN count(k) OVER v = 3 THEN round(avg(k) OVER v, 8) END AS d FROM k WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 def _(spark, sf_dir):
     return indicators.stochastic_smoothed(hourly(spark, sf_dir))
 

@@ -7,6 +7,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -135,6 +136,12 @@ class WordBpe:
         return b"".join(ids), " ".join(names)
 
 
+@lru_cache(maxsize=2)
+def coder(path: str) -> WordBpe:
+    """The encoder of a file, kept with its memos for all tasks of a Python worker."""
+    return WordBpe(path)
+
+
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of documents.
 
@@ -143,12 +150,12 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
 
     def make() -> Callable[[list], dict]:
-        coder = WordBpe(path or default_path("word_bpe_49k.json"))
+        encode = coder(path or default_path("word_bpe_49k.json")).encode
 
         def work(batch: list) -> dict:
             out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in batch:
-                ids, decoded = coder.encode(text or "")
+                ids, decoded = encode(text or "")
                 out["n_tokens"].append(len(ids) // 4)
                 out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())

@@ -85,30 +85,33 @@ class WordBpe:
         self.marks = regex.compile("|".join(map(regex.escape, self.special)))
         alphabet = sorted(ByteLevel.alphabet())
         # the byte alphabet: printable bytes stand for themselves, the others follow from 256 on in order
-        own = [b for b in range(256) if chr(b) in alphabet]
-        self.letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if chr(b) not in alphabet)}
+        others = [b for b in range(256) if chr(b) not in alphabet]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(others)}
         self.names = {i: t for t, i in self.vocabulary.items()} | {i: t for t, i in self.special.items()}
         self.fragment = Memo(self._fragment, 300_000)
         self.piece = Memo(self._piece, 300_000)
 
-    def _fragment(self, fragment: tuple[str, bool]) -> list[int]:
+    def _fragment(self, fragment: tuple[str, bool]) -> tuple[bytes, str]:
         text, last = fragment
         symbols = list(text)
         if last:
             symbols[-1] += self.END
-        return [self.vocabulary[s] for s in merge(symbols, lambda a, b: self.ranks.get((a, b))) if s in self.vocabulary]
+        ranks, vocabulary = self.ranks, self.vocabulary
+        return self._packed([vocabulary[s] for s in merge(symbols, lambda a, b: ranks.get((a, b))) if s in vocabulary])
 
     def _piece(self, stretch: str) -> tuple[bytes, str]:
-        ids = []
         if self.odd.search(stretch):
             words = [w for w, _ in self.splitter.pre_tokenize_str(stretch)]
         else:
-            words = ["".join(self.letters[b] for b in w.encode()) for w in self.words.findall(stretch)]
+            words = [w.encode().decode("latin-1").translate(self.letters) for w in self.words.findall(stretch)]
+        found = []
         for word in words:
             parts = fragments(word, self.pairs)
-            for i, part in enumerate(parts, 1):
-                ids += self.fragment[part, i == len(parts)]
-        return self._packed(ids)
+            found += [self.fragment[part, False] for part in parts[:-1]]
+            found.append(self.fragment[parts[-1], True])
+        if len(found) == 1:
+            return found[0]
+        return b"".join(i for i, _ in found), " ".join(n for _, n in found if n)
 
     def _packed(self, ids: list[int]) -> tuple[bytes, str]:
         return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.names[i] for i in ids)

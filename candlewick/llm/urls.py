@@ -32,6 +32,8 @@ RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("
 SEEDS = ("adult", "ads", "bets", "casino", "farm", "pills", "porn", "spam")
 #: Letters of the longest word that a name is split into.
 LONGEST = 24
+#: Parts that a host's paths are dealt to, so that a hot host is no single group.
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -128,7 +130,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: tuple[str, .
     tokens = durable(segmented(kinds, durable(word_counts(pages.select(F.col("url").cast("string"), F.col("html").cast("string"))), "words")), "tokens")
     bad = of_host.join(tokens, "run").filter(F.arrays_overlap("tokens", F.array(*map(F.lit, seeds)))).select("host").distinct().withColumn("bad", F.lit(1))
     # pre-aggregated by run: a hot run ("com") is one row for each host's kind before tokens are joined
-    seen = of_host.select("host", "run", "n").unionByName(of_path.select("host", "run", "n")).join(bad, "host", "left")
+    salt = F.pmod(F.xxhash64("path", "run"), F.lit(SALTS)).cast("int").alias("salt")
+    salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = of_host.select("host", "run", "n", salt).unionByName(of_path.select("host", "run", "n", salt)).join(salted, ["host", "salt"], "left")
     per_run = seen.groupBy("run").agg(F.sum(F.when(F.col("bad").isNotNull(), F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("bad").isNull(), F.col("n")).otherwise(0)).alias("allow"))
     per_token = per_run.join(tokens, "run").select(F.explode("tokens").alias("token"), "block", "allow").groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
     per_token = durable(per_token, "token-counts")

@@ -140,12 +140,13 @@ def posterior(docs: DataFrame, host: str = "source", path: str = "lang", labels:
     inner = _strength(sites, host_rate, F.col("n_path"), F.col("s_path") / UNIT)
     rated = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), host_rate.alias("host_rate"), ((F.col("s_path") / UNIT + inner * host_rate) / (F.col("n_path") + inner)).alias("path_rate"))
     own = with_evidence(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *site), model)
+    own = own.select("row", "host", "path", "p", (F.length("text") > 0).alias("any"))  # texts don't go through the join twice
     met = own.join(rated, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = lambda c: F.log(clip(c) / (1 - clip(c)))
     z = odds(F.col("p") / UNIT) + odds(F.col("path_rate")) - odds(F.lit(mean))
     quality = F.round(1 / (1 + F.exp(-z)), 6)
-    found = met.select("row", (F.col("p") / UNIT).alias("p_document"), F.round("host_rate", 6).alias("p_host"), F.round("path_rate", 6).alias("p_path"), quality.alias("p_quality"), (F.length("text") > 0).alias("any"))
+    found = met.select("row", (F.col("p") / UNIT).alias("p_document"), F.round("host_rate", 6).alias("p_host"), F.round("path_rate", 6).alias("p_path"), quality.alias("p_quality"), "any")
     return found.withColumn("keep", F.coalesce((F.col("p_quality") >= 0.5) & F.col("any"), F.lit(False))).drop("any")
 
 

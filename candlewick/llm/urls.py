@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -74,6 +74,40 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def outside_words(pages: DataFrame) -> DataFrame:
+    """(word, n, itself): runs of letters as words, known from elsewhere than the names that are to be split.
+
+    ``n`` is how often visible text has the word, addresses and the page's own URL runs taken out, and in how many
+    distinct labels of hosts and parts of paths it stands beside another run ("cheap-pills"); a run alone in its
+    label ("cheappills") is no word by that. ``itself``, for the split of the same run, leaves one such label out.
+    SEEDS are words in any case.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hidden = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>|&#?\w+;", re.S | re.I)
+        address, words = re.compile(r"\b\w+://\S+|\bwww\.\S+"), re.compile(r"[a-z]+")
+        for batch in batches:
+            found: Counter = Counter()
+            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = words.findall(address.sub(" ", hidden.sub(" ", html or "").lower()))
+                found.update(seen)
+                for own in set(words.findall((url or "").lower())):
+                    if own in found:
+                        found[own] -= seen.count(own)
+            kept = {w: n for w, n in found.items() if n and len(w) <= LONGEST}
+            yield pa.RecordBatch.from_pydict({"word": list(kept), "n": list(kept.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
+
+    text = pages.select("url", "html").mapInArrow(count, "word string, n long").select("word", "n", F.lit(0).alias("labels"))
+    host, path = host_and_path(F.col("url"))
+    named = pages.select(host.alias("host"), path.alias("path")).distinct()
+    labels = named.select(F.explode(F.concat(F.split("host", "[.]"), F.split("path", "/"))).alias("label")).distinct()
+    apart = labels.select(F.array_distinct(runs(F.col("label"))).alias("found")).filter("size(found) > 1").select(F.explode("found").alias("word")).filter(F.length("word") <= LONGEST)
+    seeds = pages.sparkSession.createDataFrame([(w,) for w in SEEDS], "word string").select("word", F.lit(1).cast("long").alias("n"), F.lit(0).alias("labels"))
+    both = text.unionByName(apart.select("word", F.lit(0).cast("long").alias("n"), F.lit(1).alias("labels"))).unionByName(seeds)
+    summed = both.groupBy("word").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"))
+    return summed.select("word", (F.col("n") + F.col("labels")).alias("n"), (F.col("n") + F.greatest(F.col("labels") - 1, F.lit(0))).alias("itself"))
+
+
 def viterbi(run: str, counts: dict[str, int], total: int) -> list[str]:
     """The most probable split of a run into words; a word that was never seen has 1 / (total * 10^length)."""
     best = [0.0] + [-math.inf] * len(run)
@@ -92,7 +126,9 @@ def viterbi(run: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 def segmented(kinds: DataFrame, words: DataFrame) -> DataFrame:
-    """(run, tokens) for each distinct ``run``: its pieces are looked up in the word counts by a join."""
+    """(run, tokens) for each distinct ``run``: its pieces are looked up in the word counts by a join; the whole run has the count ``itself``, if there is one."""
+    if "itself" not in words.columns:
+        words = words.withColumn("itself", F.col("n"))
     total = words.agg(F.sum("n")).first()[0] or 1
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,16 +139,19 @@ def segmented(kinds: DataFrame, words: DataFrame) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [viterbi(r, {x["word"]: x["n"] for x in known or ()}, total) for r, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            tokens = [viterbi(r, {x["word"]: x["itself" if x["word"] == r else "n"] for x in known or ()}, total) for r, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"run": batch.column(0), "tokens": pa.array(tokens, pa.list_(pa.string()))})
 
-    known = kinds.mapInArrow(pieces, "run string, word string").join(words, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    known = kinds.mapInArrow(pieces, "run string, word string").join(words, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n", "itself")).alias("known"))
     return kinds.join(known, "run", "left").mapInArrow(split, "run string, tokens array<string>")
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: tuple[str, ...] = SEEDS, words: Callable[[DataFrame], DataFrame] = word_counts) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row of pages (page_id, url, html).
 
+    ``words`` counts the words that names are split into: with ``word_counts`` every run of up to LONGEST is one of
+    its own and stays whole, with ``outside_words`` (the query's) only what stands elsewhere as a word does.
+
     The longest rule that fits decides. Else naive Bayes does: hosts that hold a seed word are its examples of
     what to block, all others of what to allow, every page counting; score is the log odds of block, which must
     be over 0. Null URLs, and those without ``://``, have empty host and path and are allowed unless a rule or
@@ -127,7 +166,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: tuple[str, .
     of_host = hosts.select("host", F.lit("").alias("path"), "n", F.explode(runs(F.col("host"))).alias("run"))
     of_path = sites.select("host", "path", "n", F.explode(runs(F.col("path"))).alias("run"))
     kinds = of_host.select("run").unionByName(of_path.select("run")).distinct()
-    tokens = durable(segmented(kinds, durable(word_counts(pages.select(F.col("url").cast("string"), F.col("html").cast("string"))), "words")), "tokens")
+    tokens = durable(segmented(kinds, durable(words(pages.select(F.col("url").cast("string"), F.col("html").cast("string"))), "words")), "tokens")
     bad = of_host.join(tokens, "run").filter(F.arrays_overlap("tokens", F.array(*map(F.lit, seeds)))).select("host").distinct().withColumn("bad", F.lit(1))
     # pre-aggregated by run: a hot run ("com") is one row for each host's kind before tokens are joined
     salt = F.pmod(F.xxhash64("path", "run"), F.lit(SALTS)).cast("int").alias("salt")
@@ -158,4 +197,4 @@ def _decided(rules: tuple[Rule, ...], score: Column) -> tuple[Column, Column, Co
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's URL."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), words=outside_words)

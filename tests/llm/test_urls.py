@@ -69,3 +69,18 @@ def test_odd_tables(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert urls.judge(df.limit(0)).collect() == []
     assert {r.verdict for r in urls.judge(df.filter("page_id = 12")).collect()} == {"allow"}
+
+
+def test_query_splits_concatenated_hosts(spark, tmp_path):
+    # the names stand on many pages, in these pages' own texts too, and one of them in a link of other pages
+    rows = [(i, f"http://cheappills.net/{i}", "<p>CheapPills at cheappills.net, order</p>") for i in range(100)]
+    rows += [(i, f"http://www.freecasinowin.net/{i}", "<h1>freecasinowin</h1>") for i in range(100, 130)]
+    rows += [(130, "http://cheap-pills.net/", "x"), (131, "http://free-casino.net/", "x"), (132, "http://win-bets.net/", "x"), (133, "http://casinobets.net/", "x")]
+    rows += [(i, f"http://daily{i % 9}.net/news/{i}", "<p>cheap tea, free win, pills for the daily news</p> see http://cheappills.net/a") for i in range(200, 500)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    names = spark.createDataFrame([(r,) for r in ("cheappills", "freecasinowin", "casinobets", "daily", "casino", "cheap")], "run string")
+    split = {r.run: r.tokens for r in urls.segmented(names, urls.outside_words(pages)).collect()}
+    assert split == {"cheappills": ["cheap", "pills"], "freecasinowin": ["free", "casino", "win"], "casinobets": ["casino", "bets"], "daily": ["daily"], "casino": ["casino"], "cheap": ["cheap"]}
+    verdicts = {r.page_id: r.verdict for r in urls.op7_urls(spark, str(tmp_path)).collect()}
+    assert {verdicts[i] for i in range(134)} == {"block"} and {verdicts[i] for i in range(200, 500)} == {"allow"}

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import langid, packing, quality, simhash, substring
+from candlewick.llm import jaccard, langid, packing, quality, substring
 from candlewick.llm.common import shared_folder
 
 
@@ -27,7 +27,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    return simhash.representatives(docs).select("row.*")
+    return jaccard.representatives(docs).select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

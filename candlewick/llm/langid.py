@@ -16,8 +16,11 @@ from candlewick.llm.common import documents
 #: Dimensions of the vectors.
 DIMENSIONS = 1024
 UNKNOWN = "und"
-#: Below this cosine a text is unlike every language; chance alone gives about 1 / sqrt(DIMENSIONS).
-LEAST_SCORE = 0.02
+#: Below this cosine a text is unlike every language. Chance alone gives 1 / sqrt(DIMENSIONS) = 0.031 for one language and
+#: up to 0.126 for texts in unseen scripts, random Latin letters up to 0.166 (200 texts a kind and length, four languages).
+LEAST_SCORE = 0.18
+#: Below this many trigrams the floor is lower in proportion: a clean short text shares few trigrams with a profile.
+SHORT = 80
 #: Characters and documents of a slice, which bound a task's memory.
 SLICE_CHARS, SLICE_ROWS = 1 << 20, 256
 #: Trigrams whose vectors are held at once.
@@ -124,8 +127,8 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     return {k: v for k, v in sorted(found.items()) if np.linalg.norm(v) > 0}
 
 
-def scored(profiles: dict[str, np.ndarray], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow: keep the columns ``names``, add lang_pred and score from ``text``."""
+def scored(profiles: dict[str, np.ndarray], names: list[str], least: float | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow: keep the columns ``names``, add lang_pred and score from ``text``; with ``least``, keep rows whose score reaches ``floor`` alone."""
     langs = [UNKNOWN, *profiles]
     table = np.stack([v / np.linalg.norm(v) for v in profiles.values()]) if profiles else np.zeros((0, DIMENSIONS))
 
@@ -142,11 +145,17 @@ def scored(profiles: dict[str, np.ndarray], names: list[str]) -> Callable[[Itera
                     has = np.bincount(owner, minlength=n) > 0
                     best = np.where(has, near.argmax(axis=1) + 1, 0)
                     score = np.where(has, near.max(axis=1).clip(0, 1), 0.0)
-                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in names} | {"lang_pred": [langs[b] for b in best], "score": score})
+                found = pa.RecordBatch.from_pydict({c: part.column(c) for c in names} | {"lang_pred": [langs[b] for b in best], "score": score})
+                yield found if least is None else found.filter(pa.array((best > 0) & (score >= floor(np.bincount(owner, minlength=n), least))))
 
     return run
 
 
+def floor(n: np.ndarray, least: float) -> np.ndarray:
+    """The least score of texts with ``n`` trigrams: ``least``, and in proportion below SHORT."""
+    return least * np.minimum(np.asarray(n) / SHORT, 1)
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Whether a document is kept from learning: crc32 of its id as text, modulo 4, is 2. Null ids aren't learned from either."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -169,8 +178,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` that have a language, as the struct ``row``, with lang_pred and score.
 
-    Rejected are texts without a letter (null and empty too) and those with a score below ``least``, which are
-    unlike every profile. Where nothing could be learned, every text with a letter stays. Repeated rows and null
+    Rejected are texts without a letter (null and empty too) and those with a score below ``floor`` of their trigrams
+    and ``least``, which are unlike every profile. Where nothing could be learned, every text with a letter stays. Repeated rows and null
     doc_id stay; an empty table gives no rows; columns of any name stay in ``row``.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -179,7 +188,7 @@ def known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
         return rows.filter(F.col("text").rlike(r"\p{L}")).select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     asked = rows.select("row", "text", F.coalesce(F.length("text"), F.lit(0)).alias("_chars"))
     schema = T.StructType([asked.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return asked.mapInArrow(scored(profiles, ["row"]), schema).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return asked.mapInArrow(scored(profiles, ["row"], least), schema)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

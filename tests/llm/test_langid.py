@@ -47,3 +47,15 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert sorted(map(str, other.collect())) == sorted(map(str, found))  # held-out labels are not looked at
     assert langid.identify(df.limit(0)).collect() == []
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", df.lang.substr(9, 1)).selectExpr("doc_id", "text", "nullif(lang, '') AS lang")).collect()} == {"und"}
+
+
+def test_default_floor_rejects_unseen_scripts_and_random_letters(spark):
+    pick = random.Random(8)
+    kinds = {"en": "the of and tion ing er at on".split(), "fr": "le la eau ment ère çan ou".split()}
+    made = lambda lang, n: " ".join("".join(pick.choices(kinds[lang], k=pick.randint(1, 3))) for _ in range(n))
+    good = [(i, made(lang, pick.choice([6, 40, 120])), lang) for i, lang in enumerate(["en", "fr"] * 60)]
+    odd, ranges = [], {"cyrillic": (0x430, 0x450), "greek": (0x3B1, 0x3CA), "han": (0x4E00, 0x5E00), "arabic": (0x627, 0x64B), "latin": (97, 123)}
+    for begin, end in ranges.values():
+        odd += [" ".join("".join(chr(pick.randrange(begin, end)) for _ in range(pick.randint(2, 9))) for _ in range(120)) for _ in range(20)]
+    docs = spark.createDataFrame(good + [(1000 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    assert sorted(r.row.doc_id for r in langid.known(docs).collect()) == list(range(120))

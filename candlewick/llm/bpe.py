@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
@@ -76,11 +77,11 @@ class WordBpe:
         self.pairs = inner_pairs(t.removesuffix(self.END) for t in self.vocabulary)
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        # beyond Latin letters, Unicode versions differ: there the library's own rules say what letters are
-        self.odd = regex.compile("[^\x00-\u024f]")
+        # beyond Latin letters, Unicode versions differ: there the library's own rules say what letters are; the
+        # separator controls x1c to x1f are blanks for Python alone
+        self.odd = re.compile("[^\x00-\x1b\x20-\u024f]")
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split)
-        self.blanks = regex.compile(r"\s+")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("|".join(map(regex.escape, self.special)))
         alphabet = sorted(ByteLevel.alphabet())
@@ -88,12 +89,13 @@ class WordBpe:
         others = [b for b in range(256) if chr(b) not in alphabet]
         self.letters = {b: chr(256 + i) for i, b in enumerate(others)}
         self.names = {i: t for t, i in self.vocabulary.items()} | {i: t for t, i in self.special.items()}
-        self.fragment = Memo(self._fragment, 300_000)
-        self.piece = Memo(self._piece, 300_000)
+        self.fragment = Memo(self._fragment)
+        self.piece = Memo(self._piece)
 
-    def _fragment(self, fragment: tuple[str, bool]) -> tuple[bytes, str]:
-        text, last = fragment
-        symbols = list(text)
+    def _fragment(self, fragment: str) -> tuple[bytes, str]:
+        """A fragment's tokens; one that ends a word has a line end after it, which no word holds."""
+        last = fragment[-1] == "\n"
+        symbols = list(fragment[:-1] if last else fragment)
         if last:
             symbols[-1] += self.END
         ranks, vocabulary = self.ranks, self.vocabulary
@@ -107,8 +109,8 @@ class WordBpe:
         found = []
         for word in words:
             parts = fragments(word, self.pairs)
-            found += [self.fragment[part, False] for part in parts[:-1]]
-            found.append(self.fragment[parts[-1], True])
+            found += [self.fragment[part] for part in parts[:-1]]
+            found.append(self.fragment[parts[-1] + "\n"])
         if len(found) == 1:
             return found[0]
         return b"".join(i for i, _ in found), " ".join(n for _, n in found if n)
@@ -116,27 +118,25 @@ class WordBpe:
     def _packed(self, ids: list[int]) -> tuple[bytes, str]:
         return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.names[i] for i in ids)
 
-    def _normal(self, text: str) -> str:
+    def _stretches(self, text: str) -> list[str]:
+        """A normalized text cut at blanks, which split as white space does where no separator control is in it."""
         if self.odd.search(text):
-            return self.normalizer.normalize_str(text)
-        return self.blanks.sub(" ", unicodedata.normalize("NFC", text)).lower()
+            return self.normalizer.normalize_str(text).split(" ")
+        return unicodedata.normalize("NFC", text).lower().split()
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids (packed) of a whole text, and these decoded: token names joined by blanks."""
-        ids, names, at = [], [], 0
-        ends = [(m.start(), m.end(), m.group()) for m in self.marks.finditer(text)] if "<|" in text else []
-        for begin, end, mark in [*ends, (len(text), len(text), None)]:
-            for stretch in self._normal(text[at:begin]).split(" "):
-                packed, name = self.piece[stretch]
-                if packed:
-                    ids.append(packed)
-                    names.append(name)
-            if mark is not None:
-                packed, name = self._packed([self.special[mark]])
-                ids.append(packed)
-                names.append(name)
-            at = end
-        return b"".join(ids), " ".join(names)
+        piece = self.piece
+        if "<|" not in text:
+            found = [piece[s] for s in self._stretches(text)]
+        else:
+            found, at = [], 0
+            for m in self.marks.finditer(text):
+                found += [piece[s] for s in self._stretches(text[at : m.start()])]
+                found.append(self._packed([self.special[m.group()]]))
+                at = m.end()
+            found += [piece[s] for s in self._stretches(text[at:])]
+        return b"".join([ids for ids, _ in found]), " ".join([names for _, names in found if names])
 
 
 @lru_cache(maxsize=2)

@@ -6,11 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of text and rows that a task turns into Python objects at once.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -22,11 +28,16 @@ def texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set a local master gets one of its own; a cluster gets an error, since its machines share none.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="candlewick-"))
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
@@ -40,8 +51,19 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, rows: int = 512) -> DataFrame:
-    """Map (doc_id, text) in slices of at most ``rows`` documents.
+def slices(batch: pa.RecordBatch, text: int | str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut an Arrow batch into parts of at most ``rows`` rows and ``most`` bytes of ``text`` (one longer text is a part of its own)."""
+    column = batch.column(text)
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin, before = 0, 0
+    while begin < batch.num_rows:
+        end = min(max(int(np.searchsorted(size, before + most, side="right")), begin + 1), begin + rows)
+        yield batch.slice(begin, end - begin)
+        begin, before = end, int(size[end - 1])
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str) -> DataFrame:
+    """Map (doc_id, text) in slices of bounded size.
 
     ``make`` runs once in a task and returns a function from a slice's texts (nulls as None) to columns by
     name; doc_id comes first in ``schema`` and is carried over.
@@ -50,27 +72,30 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                found = work(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0)} | found)
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0)} | work(part.column(1).to_pylist()))
 
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks. It holds at most ``most`` entries and as many older ones."""
+    """A dictionary that computes what it lacks. It holds at most ``most`` entries and as many older ones.
+
+    Keys longer than ``longest`` are computed each time and never held, so that what it holds is bounded in bytes too.
+    """
 
-    def __init__(self, compute: Callable, most: int = 400_000):
+    def __init__(self, compute: Callable, most: int = 200_000, longest: int = 48):
         super().__init__()
-        self.compute, self.most, self.older = compute, most, {}
+        self.compute, self.most, self.longest, self.older = compute, most, longest, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
+        if len(key) > self.longest:
+            return self.compute(key)
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
         self[key] = value
         return value

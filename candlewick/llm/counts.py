@@ -30,7 +30,7 @@ class PieceCounter:
             raise ValueError("only models without normalization whose pieces have blanks at their start alone")
         self.prefix = BLANK if model.normalizer_spec.add_dummy_prefix else ""
         self.fragment = Memo(self._fragment)
-        self.stretch = Memo(lambda s: sum(self.fragment[f] for f in fragments(s, self.pairs)), 700_000)
+        self.stretch = Memo(lambda s: sum(self.fragment[f] for f in fragments(s, self.pairs)), 400_000)
 
     def _fragment(self, text: str) -> int:
         """Initial symbols (bytes of characters that no piece has) less merges."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm import simhash
-from candlewick.llm.common import Memo, durable, map_texts, texts
+from candlewick.llm.common import Memo, durable, map_texts, slices, texts
 from candlewick.llm.graph import components
 
 WIDTH = 5
@@ -74,17 +74,19 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = keys()
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"key": key(batch.column(0).to_pylist())["fp"], "text": batch.column(0)})
+            for part in slices(batch, 0):
+                yield pa.RecordBatch.from_pydict({"key": key(part.column(0).to_pylist())["fp"], "text": part.column(0)})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Memo(shingles, 256)
+        sets = Memo(shingles, 64, longest=1 << 40)
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = sets[x], sets[y]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both * 5 >= (len(p) + len(q) - both) * 4)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for part in slices(batch, 2, rows=64):
+                good = []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    p, q = sets[x], sets[y]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    good.append(both * 5 >= (len(p) + len(q) - both) * 4)
+                yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     found = docs.select("text").mapInArrow(keyed, "key long, text string").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))

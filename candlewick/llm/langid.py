@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm.common import documents
+from candlewick.llm.common import documents, slices
 
 #: Dimensions of the vectors.
 DIMENSIONS = 1024
@@ -21,8 +21,6 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.18
 #: Below this many trigrams the floor is lower in proportion: a clean short text shares few trigrams with a profile.
 SHORT = 80
-#: Characters and documents of a slice, which bound a task's memory.
-SLICE_CHARS, SLICE_ROWS = 1 << 20, 256
 #: Trigrams whose vectors are held at once.
 BLOCK = 8192
 
@@ -90,17 +88,6 @@ def bundles(owner: np.ndarray, key: np.ndarray, grams: np.ndarray, owners: int)
     return out
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    begin, chars = 0, 0
-    for i, n in enumerate(batch.column("_chars").to_pylist()):
-        if i > begin and (chars + n > SLICE_CHARS or i - begin >= SLICE_ROWS):
-            yield batch.slice(begin, i - begin)
-            begin, chars = i, 0
-        chars += n
-    if batch.num_rows:
-        yield batch.slice(begin)
-
-
 def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Each language's bundle over all rows of ``labelled`` (text, lang); rows with a null or without a letter add nothing.
 
@@ -110,7 +97,7 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 kinds, of = np.unique(np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True)
                 owner, key, grams = trigrams(part.column("text").to_pylist())
                 if len(grams):
@@ -120,7 +107,7 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
         if total:
             yield pa.RecordBatch.from_pydict({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
 
-    rows = labelled.filter("text is not null and lang is not null").select(F.length("text").alias("_chars"), "text", "lang")
+    rows = labelled.filter("text is not null and lang is not null").select("text", "lang")
     parts = rows.mapInArrow(sums, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("place", "v"))
     whole = parts.groupBy("lang", "place").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).alias("x"))
     found = {r.lang: np.array([x.v for x in r.x]) for r in whole.collect()}
@@ -134,7 +121,7 @@ def scored(profiles: dict[str, np.ndarray], names: list[str], least: float | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 n = part.num_rows
                 owner, key, grams = trigrams([t or "" for t in part.column("text").to_pylist()])
                 best, score = np.zeros(n, int), np.zeros(n)
@@ -171,7 +158,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     profiles = prototypes(rows.filter(~held_out() & F.col("doc_id").isNotNull()).select("text", "lang"))
-    asked = rows.select("doc_id", held_out().alias("held_out"), "text", F.coalesce(F.length("text"), F.lit(0)).alias("_chars"))
+    asked = rows.select("doc_id", held_out().alias("held_out"), "text")
     return asked.mapInArrow(scored(profiles, ["doc_id", "held_out"]), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -186,7 +173,7 @@ def known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     profiles = prototypes(rows.filter(~held_out() & F.col("doc_id").isNotNull()).select("text", "lang"))
     if not profiles:
         return rows.filter(F.col("text").rlike(r"\p{L}")).select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    asked = rows.select("row", "text", F.coalesce(F.length("text"), F.lit(0)).alias("_chars"))
+    asked = rows.select("row", "text")
     schema = T.StructType([asked.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return asked.mapInArrow(scored(profiles, ["row"], least), schema)
 

@@ -207,7 +207,7 @@ def media_table(docs: DataFrame) -> DataFrame:
 
         return work
 
-    return map_texts(texts(docs), make, "doc_id long, n_bytes long, media binary", rows=128)
+    return map_texts(texts(docs), make, "doc_id long, n_bytes long, media binary")
 
 
 def access_units(media: DataFrame) -> DataFrame:

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm.common import documents, durable
+from candlewick.llm.common import documents, durable, slices
 
 #: Most labelled documents that the classifier is fitted on; which ones, a hash of doc_id says.
 SAMPLE = 20_000
 #: Probabilities are summed as whole millionths, so that sums don't depend on the order of rows.
 UNIT = 1_000_000
+#: Sites whose sums are broadcast at most: some 10 MB.
+BROADCAST = 100_000
 #: Strength of a prior where sites don't differ beyond chance: as many documents.
 FIRM = 1_000.0
 
@@ -73,36 +75,39 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> C
 
 
 def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Classifier | None:
-    """The classifier from at most ``most`` labelled documents, or None without both classes."""
+    """The classifier from at most ``most`` labelled documents, or None without both classes.
+
+    Of rows that repeat a doc_id the one with the least features counts, so that the fit doesn't depend on the order of rows.
+    """
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most this many rows are broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"quality": batch.column(0), "x": pa.array(found, pa.list_(pa.float64()))})
+            for part in slices(batch):
+                found = [features(t).tolist() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "quality": part.column("quality"), "x": pa.array(found, pa.list_(pa.float64()))})
 
-    rows = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(run, "quality int, x array<double>")
-    found = sorted((r.quality, *r.x) for r in rows.limit(2 * most).collect())  # repeated ids at most double the sample
+    rows = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<double>")
+    found = sorted((r.quality, *r.x) for r in rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).collect())
     if len({f[0] for f in found}) < 2:
         return None
     table = np.array(found, float)
     return fit(table[:, 1:], table[:, 0])
 
 
-def with_evidence(rows: DataFrame, model: Classifier | None) -> DataFrame:
-    """Add ``p``: the classifier's probability of good quality from ``text``, in millionths (half without a classifier)."""
+def with_evidence(rows: DataFrame, model: Classifier | None, out: list[str]) -> DataFrame:
+    """The columns ``out`` and ``p``: the classifier's probability of good quality from ``text``, in millionths (half without a classifier, null without a text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(batch.schema.names.index("text")).to_pylist()
-            p = np.full(len(found), 0.5)
-            if model is not None and found:
-                p = model.probability(np.array([features(t) for t in found]))
-            p = np.where([bool(t) for t in found], p, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.rint(p * UNIT).astype(np.int64))], names=[*batch.schema.names, "p"])
+            for part in slices(batch):
+                found = part.column("text").to_pylist()
+                p = np.full(len(found), 0.5) if model is None else model.probability(np.array([features(t) for t in found]))
+                whole = pa.array(np.rint(p * UNIT).astype(np.int64), mask=np.array([not t for t in found]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in out), whole], names=[*out, "p"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("p", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in out), T.StructField("p", T.LongType())]))
 
 
 def _strength(rows: DataFrame, mean: Column, n: Column, s: Column) -> float:
@@ -118,40 +123,47 @@ def _strength(rows: DataFrame, mean: Column, n: Column, s: Column) -> float:
     return float(min(FIRM, max(0.5, r.spread / r.n / between - 1)))
 
 
-def posterior(docs: DataFrame, host: str = "source", path: str = "lang", labels: DataFrame | None = None, most: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` as the struct ``row``, with p_document, p_host, p_path and p_quality (0 to 1), and keep.
+def posterior(docs: DataFrame, host: str = "source", path: str = "lang", labels: DataFrame | None = None, most: int = SAMPLE, carried: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` (or their columns ``carried``) as the struct ``row``, with p_document, p_host, p_path and p_quality (0 to 1), and keep.
 
     Evidence of every document counts: a site's rate is the sum of its documents' probabilities, shrunk towards
     the rate above it (path to host, host to all) by a strength that the spread of sites gives; sparse sites stay
-    near the prior. p_quality moves a document's own odds by its site's against all; keep is p_quality of at
-    least a half. Null or empty text has p_document 0 and is rejected; null host or path is a site of its own;
-    without labels of both classes every text has a half, and is kept unless its site is below all; repeated
-    rows and null doc_id stay; an empty table gives no rows; columns of any name stay in ``row``.
+    near the prior. A document is left out of its own sites' rates, so that its evidence counts once. p_quality
+    moves a document's own odds by its site's against all; keep is p_quality of at least a half. Null or empty text
+    has p_document 0, adds nothing to its site but a document of bad quality, and is rejected; null host or path is a
+    site of its own; without labels of both classes every text has a half, and is kept unless its site is below all;
+    repeated rows and null doc_id stay; texts of any length count whole; an empty table gives no rows; columns of any name stay in ``row``.
     """
     model = learned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, most) if labels is not None else None
     site = [F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text")]
-    paths = durable(with_evidence(docs.select(*site), model).groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum("p").alias("s_path")), "paths")
+    row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if carried is None else carried))).alias("row")
+    # texts are looked at once: what is written has the evidence beside the row
+    own = durable(with_evidence(docs.select(row, *site), model, ["row", "host", "path"]), "evidence")
+    p = F.coalesce("p", F.lit(0))
+    paths = durable(own.groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum(p).alias("s_path")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"))
     total = hosts.agg(F.sum("n_host").alias("n"), F.sum("s_host").alias("s")).first()
     mean = min(max((total.s or 0) / UNIT / max(total.n or 0, 1), 1e-4), 1 - 1e-4)
     outer = _strength(hosts, F.lit(mean), F.col("n_host"), F.col("s_host") / UNIT)
     sites = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    host_rate = (F.col("s_host") / UNIT + outer * mean) / (F.col("n_host") + outer)
-    inner = _strength(sites, host_rate, F.col("n_path"), F.col("s_path") / UNIT)
-    rated = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), host_rate.alias("host_rate"), ((F.col("s_path") / UNIT + inner * host_rate) / (F.col("n_path") + inner)).alias("path_rate"))
-    own = with_evidence(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *site), model)
-    own = own.select("row", "host", "path", "p", (F.length("text") > 0).alias("any"))  # texts don't go through the join twice
-    met = own.join(rated, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
+    shrunk = lambda s, n, strength, prior: (s / UNIT + strength * prior) / (n + strength)
+    inner = _strength(sites, shrunk(F.col("s_host"), F.col("n_host"), outer, mean), F.col("n_path"), F.col("s_path") / UNIT)
+    sums = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "n_host", "s_host", "n_path", "s_path")
+    if paths.count() <= BROADCAST:
+        sums = F.broadcast(sums)
+    # beyond that bound Spark joins by site, and splits hot ones
+    met = own.join(sums, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = lambda c: F.log(clip(c) / (1 - clip(c)))
-    z = odds(F.col("p") / UNIT) + odds(F.col("path_rate")) - odds(F.lit(mean))
+    host_rate = shrunk(F.col("s_host") - p, F.col("n_host") - 1, outer, mean)
+    path_rate = shrunk(F.col("s_path") - p, F.col("n_path") - 1, inner, host_rate)
+    z = odds(p / UNIT) + odds(path_rate) - odds(F.lit(mean))
     quality = F.round(1 / (1 + F.exp(-z)), 6)
-    found = met.select("row", (F.col("p") / UNIT).alias("p_document"), F.round("host_rate", 6).alias("p_host"), F.round("path_rate", 6).alias("p_path"), quality.alias("p_quality"), "any")
-    return found.withColumn("keep", F.coalesce((F.col("p_quality") >= 0.5) & F.col("any"), F.lit(False))).drop("any")
+    found = met.select("row", (p / UNIT).alias("p_document"), F.round(host_rate, 6).alias("p_host"), F.round(path_rate, 6).alias("p_path"), quality.alias("p_quality"), "p")
+    return found.withColumn("keep", F.coalesce((F.col("p_quality") >= 0.5) & F.col("p").isNotNull(), F.lit(False))).drop("p")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, with source as the host and language as the section below it."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
-    found = posterior(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = posterior(documents(spark, sf_dir), labels=spark.read.parquet(f"{sf_dir}/labels.parquet"), carried=["doc_id"])
     return found.select("row.doc_id", "p_document", "p_host", "p_path", "p_quality", "keep")

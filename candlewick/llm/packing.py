@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.bpe import default_path
-from candlewick.llm.common import documents, durable, texts
+from candlewick.llm.common import documents, durable, slices, texts
 
 CAPACITY = 1024
 #: The id that ends each document.
@@ -23,10 +23,11 @@ SALTS = 256
 
 
 class Pattern(NamedTuple):
-    """``times`` windows that each hold ``counts[length]`` pieces of a length, longest first."""
+    """``times`` windows that each hold ``counts[length]`` whole pieces, longest first, then the first ``cut[1]`` ids of a piece of length ``cut[0]``."""
 
     counts: dict[int, int]
     times: int
+    cut: tuple[int, int] | None = None
 
 
 def fill(remaining: dict[int, int], capacity: int) -> dict[int, int]:
@@ -54,37 +55,36 @@ def fill(remaining: dict[int, int], capacity: int) -> dict[int, int]:
     return counts
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Pattern], dict[int, int]]:
-    """Patterns that use up the histogram (pieces by length), and how many pieces of a length are cut at half.
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+    """Patterns that use up the histogram (pieces by length), and the rests of those that they cut.
 
-    Each window takes the longest piece left and the fill that leaves the least slack; a pattern is used as often
-    as its lengths last. Where slack is over 1/128 and the longest piece over half a window, those pieces
-    are cut into a half window and the rest instead. Lengths as documents have them leave under 1 % padding; a
-    table of very few lengths can leave up to a sixth. The work depends on the number of lengths, at most
-    ``capacity``, not on that of pieces.
+    Each window takes the longest piece left and the fill that leaves the least slack. Where slack is over 1/128 of
+    the window, the longest piece left is cut so that its begin fills the window, and its rest is a piece again:
+    whatever the lengths, only the last windows are padded by more. A pattern is used as often as its lengths last.
+    The work depends on the number of lengths, at most ``capacity``, not on that of pieces.
     """
     left = {k: v for k, v in histogram.items() if v > 0}
     if any(k < 1 or k > capacity for k in left):
         raise ValueError("lengths must be from 1 to the capacity")
-    half, out, halved = capacity // 2, [], {}
+    out = []
     while left:
         longest = max(left)
         left[longest] -= 1
         counts = fill(left, capacity - longest)
         left[longest] += 1
         counts[longest] = counts.get(longest, 0) + 1
-        if longest > half and (capacity - sum(k * n for k, n in counts.items())) * 128 > capacity:
-            n = halved[longest] = left.pop(longest)
-            for k in (half, longest - half):
-                left[k] = left.get(k, 0) + n
-            continue
-        times = min(left[k] // n for k, n in counts.items())
+        slack = capacity - sum(k * n for k, n in counts.items())
+        # what is left besides is longer than the slack, or it would be in the fill
+        other = max((k for k, n in left.items() if n > counts.get(k, 0)), default=0) if slack * 128 > capacity else 0
+        times = min(left[k] // (n + (k == other)) for k, n in (counts | ({other: counts.get(other, 0)} if other else {})).items())
         for k, n in counts.items():
             left[k] -= n * times
-            if not left[k]:
-                del left[k]
-        out.append(Pattern(dict(sorted(counts.items(), reverse=True)), times))
-    return out, halved
+        if other:
+            left[other] -= times
+            left[other - slack] = left.get(other - slack, 0) + times
+        left = {k: n for k, n in left.items() if n}
+        out.append(Pattern(dict(sorted(counts.items(), reverse=True)), times, (other, slack) if other else None))
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -92,7 +92,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Ids of a whole text by a ``tokenizers`` byte-level BPE file, special strings as that library takes them.
 
     The merges run in tiktoken, over the ranks that the file holds; texts with characters beyond Latin ones,
-    for which the libraries' Unicode tables can differ, go through tokenizers itself.
+    for which the libraries' Unicode tables can differ, go through tokenizers itself, which is loaded for the first of them.
     """
     import json
 
@@ -112,93 +112,112 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     byte_of = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    library = Tokenizer.from_file(path)
-    odd = regex.compile("[^\x00-ɏ -⁯]")
+    odd = regex.compile("[^\x00-\u024f\u2000-\u206f]")
     names = set(special)
+    library = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))
 
     def encode(text: str) -> np.ndarray:
         if odd.search(text):
-            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+            return np.array(library().encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(fast.encode(text, allowed_special=names), "<u4")
 
     return encode
 
 
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
 def cut(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow: (doc_id, text) to pieces of at most ``capacity`` ids."""
+    """mapInArrow: (doc_id, text) to pieces of at most ``capacity`` ids; those that aren't full carry their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            owner, start, length, crc, total, crc_a, crc_b = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4")
-                for at in range(0, len(ids), capacity):
-                    piece = ids[at : at + capacity]
-                    owner.append(i)
-                    start.append(at)
-                    length.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
-                    total.append(len(ids))
-                    crc_a.append(zlib.crc32(piece[: capacity // 2].tobytes()))  # of its parts, if it is cut at half
-                    crc_b.append(zlib.crc32(piece[capacity // 2 :].tobytes()))
-            doc = batch.column(0).take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_pydict({"doc_id": doc} | {k: pa.array(v, pa.int64()) for k, v in (("start", start), ("length", length), ("ids_crc32", crc), ("doc_tokens", total), ("crc_a", crc_a), ("crc_b", crc_b))})
+            for part in slices(batch, 1):
+                owner, start, length, crc, total, held = [], [], [], [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4").tobytes()
+                    for at in range(0, len(ids), 4 * capacity):
+                        piece = ids[at : at + 4 * capacity]
+                        owner.append(i)
+                        start.append(at // 4)
+                        length.append(len(piece) // 4)
+                        crc.append(zlib.crc32(piece))
+                        total.append(len(ids) // 4)
+                        held.append(piece if len(piece) < 4 * capacity else None)
+                doc = part.column(0).take(pa.array(owner, pa.int64()))
+                numbers = {k: pa.array(v, pa.int64()) for k, v in (("start", start), ("length", length), ("ids_crc32", crc), ("doc_tokens", total))}
+                yield pa.RecordBatch.from_pydict({"doc_id": doc} | numbers | {"ids": pa.array(held, pa.binary())})
 
     return run
 
 
-def slots(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each length where its pieces go, in order: the ends of index ranges, pieces a window, first sequence, offset."""
+class Slots(NamedTuple):
+    """Where the pieces of one length go, in the order of their index: for each range of indices its end, pieces a
+    window, first sequence, offset, ids that are cut off (0: the whole piece is placed) and the first rest's index."""
+
+    end: np.ndarray
+    each: np.ndarray
+    sequence: np.ndarray
+    offset: np.ndarray
+    cut: np.ndarray
+    rest: np.ndarray
+
+
+def slots(patterns: list[Pattern], histogram: dict[int, int]) -> dict[int, Slots]:
+    """The ranges of each length. Rests of cut pieces are numbered after the pieces that have their length from the start."""
     rows: dict[int, list] = {}
-    sequence = 0
-    for counts, times in patterns:
+    made, sequence = dict(histogram), 0
+    for counts, times, cut_ in patterns:
         offset = 0
         for length, n in counts.items():
             mine = rows.setdefault(length, [])
-            mine.append(((mine[-1][0] if mine else 0) + n * times, n, sequence, offset))
+            mine.append(((mine[-1][0] if mine else 0) + n * times, n, sequence, offset, 0, 0))
             offset += length * n
+        if cut_:
+            length, size = cut_
+            mine = rows.setdefault(length, [])
+            mine.append(((mine[-1][0] if mine else 0) + times, 1, sequence, offset, size, made.get(length - size, 0)))
+            made[length - size] = made.get(length - size, 0) + times
         sequence += times
-    return {k: tuple(np.array(v, np.int64).T) for k, v in rows.items()}
+    return {k: Slots(*np.array(v, np.int64).T) for k, v in rows.items()}
 
 
 def placed(histogram: dict[int, int], capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow: pieces with their index among those of their length to pieces in sequences."""
-    patterns, halved = plan(histogram, capacity)
-    where, half = slots(patterns), capacity // 2
-    # pieces cut at half come after those that have the lengths of their parts from the start
-    whole = {k: n - halved.get(k, 0) for k, n in histogram.items()}
-    base, after = {}, whole.get(half, 0)
-    for k, n in sorted(halved.items()):
-        base[k], after = after, after + n
-
-    def seat(length: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        for size in np.unique(length).tolist():
-            ends, n, first, begin = where[size]
-            at = np.flatnonzero(length == size)
-            k = np.searchsorted(ends, index[at], side="right")
-            inside = index[at] - np.where(k > 0, ends[k - 1], 0)
-            sequence[at] = first[k] + inside // n[k]
-            offset[at] = begin[k] + inside % n[k] * size
-        return sequence, offset
+    where = slots(plan(histogram, capacity), histogram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("start", "length", "ids_crc32", "doc_tokens", "crc_a", "crc_b", "index")
         for batch in batches:
-            start, length, crc, total, crc_a, crc_b, index = (batch.column(c).to_numpy() for c in names)
-            cut_ = index >= np.array([whole[k] for k in length.tolist()], np.int64)
-            rest, row = np.flatnonzero(~cut_), np.flatnonzero(cut_)
-            nth = index[row] - np.array([whole[k] for k in length[row].tolist()], np.int64)
-            first = nth + np.array([base[k] for k in length[row].tolist()], np.int64)
-            second = nth + np.array([whole.get(k - half, 0) for k in length[row].tolist()], np.int64)
-            out_row = np.concatenate([rest, row, row])
-            out_start = np.concatenate([start[rest], start[row], start[row] + half])
-            out_length = np.concatenate([length[rest], np.full(len(row), half), length[row] - half])
-            out_crc = np.concatenate([crc[rest], crc_a[row], crc_b[row]])
-            sequence, offset = seat(out_length, np.concatenate([index[rest], first, second]))
-            doc = batch.column("doc_id").take(pa.array(out_row))
-            yield pa.RecordBatch.from_pydict({"doc_id": doc, "start": out_start, "length": out_length, "ids_crc32": out_crc, "doc_tokens": total[out_row], "sequence_id": sequence, "offset": offset})
+            start, length, crc, total, index = (batch.column(c).to_numpy().copy() for c in ("start", "length", "ids_crc32", "doc_tokens", "index"))
+            ids, first, now, out = batch.column("ids"), start.copy(), np.arange(len(start)), []
+            changed = np.zeros(len(start), bool)
+            while len(now):  # a rest goes round again
+                size, sequence, offset = length[now], np.zeros(len(now), np.int64), np.zeros(len(now), np.int64)
+                part = size.copy()
+                for k in np.unique(size).tolist():
+                    s, at = where[k], np.flatnonzero(size == k)
+                    i = index[now[at]]
+                    r = np.searchsorted(s.end, i, side="right")
+                    inside = i - np.where(r > 0, s.end[r - 1], 0)
+                    sequence[at] = s.sequence[r] + inside // s.each[r]
+                    offset[at] = s.offset[r] + inside % s.each[r] * k
+                    part[at] = np.where(s.cut[r] > 0, s.cut[r], k)
+                    index[now[at]] = s.rest[r] + inside
+                out.append((now, start[now], part, sequence, offset))
+                more = part < size
+                changed[now[more]] = True
+                start[now] += part
+                length[now] -= part
+                now = now[more]
+            row, begin, part, sequence, offset = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 5
+            sums = crc[row]
+            for j in np.flatnonzero(changed[row]).tolist():
+                at = 4 * int(begin[j] - first[row[j]])
+                sums[j] = zlib.crc32(ids[int(row[j])].as_py()[at : at + 4 * int(part[j])])
+            doc = batch.column("doc_id").take(pa.array(row))
+            yield pa.RecordBatch.from_pydict({"doc_id": doc, "start": begin, "length": part, "ids_crc32": sums, "doc_tokens": total[row], "sequence_id": sequence, "offset": offset})
 
     return run
 
@@ -208,12 +227,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
 
     A document's ids are cut every ``capacity``; full pieces are sequences of their own, the others are packed
     by the plan for all documents' lengths, which may cut some of them once more. Null text counts as empty: the end id alone; repeated rows and null
-    doc_id stay, each row with pieces of its own; an empty table gives no rows; other columns are ignored.
+    doc_id stay, each row with pieces of its own; texts of any length are cut whole; an empty table gives no rows; other columns are ignored.
+    Sequence numbers are distinct, and need not be without gaps.
     """
-    pieces = texts(docs).mapInArrow(cut(path or default_path("byte_bpe_50k.json"), capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, crc_a long, crc_b long")
-    pieces = durable(pieces, "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    pieces = durable(texts(docs).mapInArrow(cut(path or default_path("byte_bpe_50k.json"), capacity), PIECE), "pieces")
+    rests = pieces.filter(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     # at most capacity * SALTS rows, whatever the number of documents
-    sizes = sorted((r.length, r.salt, r.n) for r in pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
+    sizes = sorted((r.length, r.salt, r.n) for r in rests.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
     histogram: dict[int, int] = {}
     before = []
     for length, salt, n in sizes:
@@ -221,10 +241,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
         histogram[length] = histogram.get(length, 0) + n
     begin = docs.sparkSession.createDataFrame(before, "length long, salt int, before long")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    numbered = pieces.withColumn("rank", F.row_number().over(order) - 1).join(begin, ["length", "salt"])
+    numbered = rests.withColumn("rank", F.row_number().over(order) - 1).join(begin, ["length", "salt"])
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    numbered = numbered.select(*columns, "crc_a", "crc_b", (F.col("rank") + F.col("before")).alias("index"))
-    return numbered.mapInArrow(placed(histogram, capacity), ", ".join(f"{c} long" for c in (*columns, "sequence_id", "offset")))
+    numbered = numbered.select(*columns, "ids", (F.col("rank") + F.col("before")).alias("index"))
+    packed = numbered.mapInArrow(placed(histogram, capacity), PLACED)
+    # full pieces need no place: their sequences follow from where they stand in the table, below all others
+    full = pieces.filter(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(full)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,33 +90,41 @@ def test_plan_and_fill():
         got = packing.fill(have, capacity)
         assert all(n <= have[k] for k, n in got.items())
         assert sum(k * n for k, n in got.items()) == max(s for s in sums if s <= capacity)
-    for histogram in ({k: pick.randint(1, 5000) for k in range(1, 1025)}, {600: 10**6, 3: 5}, {1024: 7, 1: 1}, {700: 999, 900: 10**5}):
-        patterns, halved = packing.plan(histogram)
-        used, want = {}, dict(histogram)
-        for k, n in halved.items():
-            want[k] -= n
-            want[512] = want.get(512, 0) + n
-            want[k - 512] = want.get(k - 512, 0) + n
+    for histogram in ({k: pick.randint(1, 5000) for k in range(1, 1025)}, {600: 10**6, 3: 5}, {1024: 7, 1: 1}, {700: 999, 900: 10**5}, {342: 10**5}, {400: 77777, 401: 3}, {513: 1}):
+        patterns = packing.plan(histogram)
+        have, total = dict(histogram), sum(k * n for k, n in histogram.items())
         for p in patterns:
-            assert sum(k * n for k, n in p.counts.items()) <= 1024
+            assert sum(k * n for k, n in p.counts.items()) + (p.cut[1] if p.cut else 0) <= 1024 and p.times > 0
             for k, n in p.counts.items():
-                used[k] = used.get(k, 0) + n * p.times
-        assert used == {k: n for k, n in want.items() if n}
-        total = sum(k * n for k, n in histogram.items())
-        # few lengths that don't add up leave more; cut at half once, a third of a half window at most
-        assert sum(p.times for p in patterns) * 1024 - total < (0.02 if len(histogram) != 2 or 900 not in histogram else 0.17) * total + 2048
+                have[k] -= n * p.times
+            if p.cut:
+                length, size = p.cut
+                assert 0 < size < length
+                have[length] -= p.times
+                have[length - size] = have.get(length - size, 0) + p.times
+            assert all(n >= 0 for n in have.values())
+        assert not any(have.values())
+        assert sum(p.times for p in patterns) * 1024 - total < total / 128 + 2048
 
 
 def test_packing_cuts_pieces_that_do_not_fit(spark):
-    df = spark.createDataFrame([(i, "the cat sat on a mat " * 101) for i in range(40)], "doc_id long, text string")
-    found = packing.pack(df).collect()
-    assert len({r.sequence_id for r in found}) * 1024 < 1.05 * sum(r.length for r in found)
-    for i in range(40):
-        at = 0
-        for r in sorted((r for r in found if r.doc_id == i), key=lambda r: r.start):
-            assert r.start == at
-            at += r.length
-        assert at == r.doc_tokens
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for words, docs in ((" the" * 606, 40), (" the" * 341, 90), (" the" * 3000, 9)):  # 607 and 342 ids, and several full pieces
+        found = packing.pack(spark.createDataFrame([(i, words) for i in range(docs)], "doc_id long, text string")).collect()
+        assert len({r.sequence_id for r in found}) * 1024 < sum(r.length for r in found) * 129 / 128 + 2048
+        ids = np.array([*library.encode(words, add_special_tokens=False).ids, 0], "<u4")
+        places = {}
+        for i in range(docs):
+            at = 0
+            for r in sorted((r for r in found if r.doc_id == i), key=lambda r: r.start):
+                assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+                places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+                at += r.length
+            assert at == r.doc_tokens == len(ids)
+        for parts in places.values():
+            assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
 
 
 def test_empty_tables(spark):

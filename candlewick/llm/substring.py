@@ -8,18 +8,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import documents, durable, shared_folder, texts
+from candlewick.llm.common import documents, durable, shared_folder, slices, texts
 
 WINDOW = 13
 #: Words of an anchor; each window's anchor is its word run of this length with the least fingerprint.
 ANCHOR = 5
 #: Batches that the query over a whole table adds to the index one after another.
 BATCHES = 4
-#: Runs of the index before they are compacted into one.
-RUNS = 3
+#: Runs of the index; one more, and they are compacted into one.
+RUNS = 4
 # odd multipliers of the positions in a window, two lanes
 _LANES = np.random.default_rng(20).integers(0, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -80,161 +81,197 @@ def anchors(lane: np.ndarray, window: int = WINDOW, width: int = ANCHOR) -> np.n
     return least
 
 
-def _combined(keys: list[np.ndarray], owner: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Group rows of a batch by ``keys``: the distinct keys, the order that puts groups together, and their offsets."""
-    order = np.lexsort((owner, *keys[::-1]))
-    sorted_keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
-    at = np.flatnonzero(new)
-    return [k[at] for k in sorted_keys], order, np.append(at, len(order)).astype(np.int32)
+def windows(lanes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of each window of a document, and 32 bits of an independent fingerprint of its 13 words."""
+    return anchors(lanes[0]), (rolled(lanes[1], WINDOW, 1) >> np.uint64(32)).astype(np.uint32)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (anchor, docs): each anchor once a batch, so a hot one has few rows."""
-    lanes = word_lanes()
-    for batch in batches:
-        found = [np.unique(anchors(lanes((t or "").encode().split())[0])) for t in batch.column(1).to_pylist()]
-        owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        (anchor,), order, ends = _combined([np.concatenate([*found, np.zeros(0, np.uint64)])], owner)
-        docs = pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(owner[order])))
-        yield pa.RecordBatch.from_pydict({"anchor": anchor.view(np.int64), "docs": docs})
-
+    """(doc_id, text) to (anchor, windows, doc_id, more): the windows in a row that have one anchor.
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, anchors, copies) to (h1, h2, docs): each window with a shared anchor once a batch.
-
-    A text that a smaller doc_id has too adds nothing to what its first copy says.
+    Documents of a slice that have the same windows at an anchor are one row (the others are in ``more``), so that
+    a hot passage has a row for each slice, not for each document.
     """
     lanes = word_lanes()
     for batch in batches:
-        one, two, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, (text, shared, copies) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True)):
-            if not shared.is_valid or (copies and hashlib.md5((text or "").encode()).hexdigest() in copies):
-                continue
-            a, b = lanes((text or "").encode().split())
-            at = np.flatnonzero(np.isin(anchors(a).view(np.int64), shared.values.to_numpy()))
-            h1, first = np.unique(rolled(a, WINDOW, 0)[at], return_index=True)
-            one.append(h1)
-            two.append(rolled(b, WINDOW, 1)[at[first]] >> np.uint64(32))
-            owner.append(np.full(len(h1), i))
-        owner = np.concatenate(owner)
-        (h1, h2), order, ends = _combined([np.concatenate(one), np.concatenate(two)], owner)
-        docs = pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(owner[order])))
-        yield pa.RecordBatch.from_pydict({"h1": h1.view(np.int64), "h2": h2.astype(np.uint32).view(np.int32), "docs": docs})
+        for part in slices(batch, 1):
+            doc = part.column(0).to_numpy()
+            anchor, window, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            for i, text in enumerate(part.column(1).to_pylist()):
+                a, w = windows(lanes((text or "").encode().split()))
+                anchor.append(a)
+                window.append(w)
+                owner.append(np.full(len(a), i))
+            anchor, window, owner = np.concatenate(anchor), np.concatenate(window), np.concatenate(owner)
+            new = np.ones(len(anchor), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
+            at = np.flatnonzero(new)
+            ends = np.append(at, len(anchor)).astype(np.int32)
+            held = pa.ListArray.from_arrays(ends, pa.array(window.view(np.int32)))
+            anchor, owner = anchor[at], doc[owner[at]]
+            # rows with equal anchors and equal windows, the least doc_id first
+            sums = np.add.reduceat(_mixed(window.astype(np.uint64) + np.uint64(1)), at) if len(at) else anchor
+            order = np.lexsort((owner, sums, anchor))
+            first = np.ones(len(order), bool)
+            first[1:] = (anchor[order][1:] != anchor[order][:-1]) | (sums[order][1:] != sums[order][:-1])
+            ends = np.cumsum(~first)[np.flatnonzero(np.append(first[1:], True))] if len(order) else np.zeros(0, np.int64)
+            more = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(owner[order][~first]))
+            one = order[first]
+            more = pc.if_else(pa.array(np.diff(np.append(0, ends)) > 0), more, pa.scalar(None, more.type))
+            yield pa.RecordBatch.from_pydict({"anchor": anchor[one].view(np.int64), "windows": held.take(pa.array(one)), "doc_id": owner[one], "more": more})
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, repeats, copies) to (row, n_words, n_removed, text, kept_sha256).
-
-    repeats: h1 of the windows to go; copies: digests of texts that go whole.
-    """
+    """(row, text, repeats) to (row, n_words, n_removed, text, kept_sha256); repeats are keys of the windows to go."""
     lanes = word_lanes()
     for batch in batches:
-        out = {"n_words": [], "n_removed": [], "text": [], "kept_sha256": []}
-        for text, repeats, copies in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-            words = (text or "").encode().split()
-            n = len(words)
-            if copies and n >= WINDOW and hashlib.md5(text.encode()).hexdigest() in copies:
-                words = []
-            elif repeats.is_valid and n >= WINDOW:
-                begins = np.flatnonzero(np.isin(rolled(lanes(words)[0], WINDOW, 0).view(np.int64), repeats.values.to_numpy()))
-                edge = np.bincount(begins, minlength=n + 1) - np.bincount(begins + WINDOW, minlength=n + 1)
-                words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
-            kept = b" ".join(words)
-            for k, v in zip(out, (n, n - len(words), text if n == len(words) else kept.decode(), hashlib.sha256(kept).hexdigest()), strict=True):
-                out[k].append(v)
-        yield pa.RecordBatch.from_pydict({"row": batch.column(0)} | out)
+        for part in slices(batch):
+            out = {"n_words": [], "n_removed": [], "text": [], "kept_sha256": []}
+            for text, repeats in zip(part.column("text").to_pylist(), part.column("repeats"), strict=True):
+                words = (text or "").encode().split()
+                n = len(words)
+                if repeats.is_valid and n >= WINDOW:
+                    anchor, window = windows(lanes(words))
+                    key = anchor.view(np.int64) ^ (window.astype(np.int64) << 32)
+                    begins = np.flatnonzero(np.isin(key, np.concatenate([r.values.to_numpy() for r in repeats.values])))
+                    edge = np.bincount(begins, minlength=n + 1) - np.bincount(begins + WINDOW, minlength=n + 1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
+                kept = b" ".join(words)
+                for k, v in zip(out, (n, n - len(words), text if n == len(words) else kept.decode(), hashlib.sha256(kept).hexdigest()), strict=True):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict({"row": part.column("row")} | out)
 
 
 class WindowIndex:
-    """The log-structured index: immutable runs of window fingerprints in one bucketed table in the shared folder.
+    """The log-structured index: immutable sorted runs of window hashes, bucketed by anchor, in a folder of the shared store.
 
-    A run holds (anchor, docs): the fingerprint that stands for a window (its anchor), and the documents of one
-    task's batch that have it. ``add`` appends a run, sorted within each bucket; ``shared`` merge-joins the runs
-    bucket by bucket, without a shuffle; beyond ``most`` runs, ``compact`` rewrites each bucket as one run,
-    without a shuffle too.
+    A row of a run holds an anchor, the hashes of windows that have it, and the documents that have these windows.
+    ``add`` writes a batch as the newest run and merge-joins it with the older ones bucket by bucket, without another
+    shuffle: windows with one anchor are compared by their hashes. Beyond ``most`` runs, ``compact`` first rewrites
+    each bucket as one run that has every window once with its first document; no shuffle either. An index is
+    opened again, in this session or a later one, by its path.
     """
 
-    def __init__(self, spark: SparkSession, most: int = RUNS):
-        self.spark, self.most, self.runs = spark, most, 0
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"window_index_{uuid.uuid4().hex}"
-
-    def _write(self, rows: DataFrame) -> None:
-        writer = rows.write.mode("append").bucketBy(self.buckets, "anchor").sortBy("anchor")
-        writer.option("path", f"{shared_folder(self.spark)}/{self.name}").saveAsTable(self.name)
-        self.runs += 1
-
-    def add(self, batch: DataFrame) -> None:
-        """Index a batch of (doc_id, text) as a new run."""
-        rows = batch.mapInArrow(_runs, "anchor long, docs array<long>")
-        self._write(rows.repartition(self.buckets, "anchor"))
-        if self.runs > self.most:
+    SCHEMA = "anchor BIGINT, windows ARRAY<INT>, doc_id BIGINT, more ARRAY<BIGINT>, run INT"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, most: int = RUNS):
+        self.spark, self.most = spark, most
+        self.path = path or f"{shared_folder(spark)}/window-index-{uuid.uuid4().hex}"
+        self.table: str | None = None
+        there = [f.getPath().getName() for f in self._fs().listStatus(self._hadoop(self.path))] if self._fs().exists(self._hadoop(self.path)) else []
+        done = [n for n in there if self._fs().exists(self._hadoop(f"{self.path}/{n}/_SUCCESS"))]
+        # generation and buckets are in a folder's name; a generation that wasn't finished is passed over
+        self.generation, self.buckets = max(((int(g), int(b)) for g, b in (n.split("-") for n in done)), default=(0, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        self.runs = 0
+        if done:
+            self.table = self._name()
+            spark.sql(f"CREATE TABLE {self.table} ({self.SCHEMA}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self._folder()}'")
+            self.runs = (spark.table(self.table).agg(F.max("run")).first()[0] or 0) + 1
+
+    def _hadoop(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self):
+        return self._hadoop(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _folder(self) -> str:
+        return f"{self.path}/{self.generation}-{self.buckets}"
+
+    def _name(self) -> str:
+        return f"window_index_{uuid.uuid4().hex}"
+
+    def _append(self, rows: DataFrame) -> None:
+        name = self.table or self._name()
+        rows.write.mode("append").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", self._folder()).saveAsTable(name)
+        self.table, self.runs = name, self.runs + 1
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Index (doc_id, text) as the newest run; gives (doc_id, key) of its windows that a smaller doc_id of any run has too.
+
+        Of rows with one anchor, windows are equal if their 32-bit hashes are, which with the anchor's 64 makes 96 bits.
+        """
+        if self.runs >= self.most:
             self.compact()
+        run = self.runs
+        rows = batch.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_runs, "anchor long, windows array<int>, doc_id long, more array<long>")
+        self._append(rows.withColumn("run", F.lit(run)).repartition(self.buckets, "anchor"))
+        return self._repeated(run)
+
+    def _repeated(self, run: int) -> DataFrame:
+        """(doc_id, key) of the windows of a run that a smaller doc_id of it or an older run has too."""
+        rows = self.spark.table(self.table)
+        last = F.greatest("doc_id", F.coalesce(F.array_max("more"), F.col("doc_id")))
+        held = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max(last).alias("hi"), F.max("run").alias("newest")).filter(f"lo < hi and newest = {run}")
+        met = rows.join(held.select("anchor").hint("merge"), "anchor", "left_semi")
+        each = met.select("anchor", F.explode("windows").alias("w"), "doc_id", "more", "run")
+        # in the order of anchor and hash; what is to be held of a window is one row for each slice of documents
+        first = F.min("doc_id").over(Window.partitionBy("anchor", "w"))
+        later = each.withColumn("first", first).filter(f"run = {run} and (doc_id > first or more is not null)")
+        docs = F.filter(F.concat(F.array("doc_id"), F.coalesce("more", F.array().cast("array<long>"))), lambda d: d > F.col("first"))
+        key = F.col("anchor").bitwiseXOR(F.shiftleft(F.col("w").cast("long"), 32))
+        return later.select(key.alias("key"), F.explode(F.array_distinct(docs)).alias("doc_id"))
 
     def compact(self) -> None:
-        """Merge all runs into one, and drop them."""
-        old, folder = self.name, f"{shared_folder(self.spark)}/{self.name}"
-        self.name, self.runs = f"window_index_{uuid.uuid4().hex}", 0
-        self._write(self.spark.table(old))
+        """Merge all runs into one with the first document of each window, then drop them."""
+        old, folder = self.table, self._folder()
+        each = self.spark.table(old).select("anchor", F.explode("windows").alias("w"), "doc_id")
+        first = each.groupBy("anchor", "w").agg(F.min("doc_id").alias("doc_id"))
+        merged = first.groupBy("anchor", "doc_id").agg(F.collect_list("w").alias("windows"))
+        self.generation, self.table, self.runs = self.generation + 1, None, 0
+        self._append(merged.select("anchor", "windows", "doc_id", F.lit(None).cast("array<long>").alias("more"), F.lit(0).alias("run")))
         self.spark.sql(f"DROP TABLE {old}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def shared(self) -> DataFrame:
-        """(doc_id, anchors): for each document the anchors that another document has too."""
-        table = self.spark.table(self.name)
-        held = table.groupBy("anchor").agg(F.min(F.array_min("docs")).alias("lo"), F.max(F.array_max("docs")).alias("hi")).filter("lo < hi")
-        pairs = table.join(held.select("anchor").hint("merge"), "anchor", "left_semi").select("anchor", F.explode("docs").alias("doc_id"))
-        return pairs.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+        self._fs().delete(self._hadoop(folder), True)
 
+    def close(self) -> None:
+        """Forget the table's name; the files stay for whoever opens the path again."""
+        if self.table:
+            self.spark.sql(f"DROP TABLE {self.table}")
+        self.table = None
 
-def whole_copies(base: DataFrame) -> DataFrame:
-    """(doc_id, copies): digests of a document's texts that a smaller doc_id has too, word for word."""
-    ids = base.filter("doc_id is not null and text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    later = ids.join(first, "digest").filter("doc_id > first")
-    return durable(later.groupBy("doc_id").agg(F.collect_set("digest").alias("copies")), "copies")
+    def delete(self) -> None:
+        """Forget the index and delete its files."""
+        self.close()
+        self._fs().delete(self._hadoop(self.path), True)
 
 
-def repeated_windows(base: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, repeats, copies) from (doc_id, text): h1 of a document's windows that a smaller doc_id has too.
+def repeated_windows(base: DataFrame, batches: int = BATCHES, index: WindowIndex | None = None) -> DataFrame:
+    """(doc_id, repeats) from (doc_id, text): lists of keys of a document's windows that a smaller doc_id has too.
 
-    Texts that a smaller doc_id has whole are named in copies instead.
+    Batches by ranges of doc_id are added to ``index`` one after another (of its own, deleted at the end, where none is given).
     """
     low, high = base.agg(F.min("doc_id"), F.max("doc_id")).first()
-    copies = whole_copies(base)
-    index = WindowIndex(base.sparkSession)
+    own = index or WindowIndex(base.sparkSession)
     step = ((high or 0) - (low or 0)) // batches + 1
+    parts = []
     for k in range(batches):
         begin = (low or 0) + k * step
-        index.add(base.filter(F.col("doc_id").between(begin, begin + step - 1)))
-    asked = base.join(index.shared().join(copies, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "anchors", "copies")
-    windows = asked.mapInArrow(_windows, "h1 long, h2 int, docs array<long>")
-    # a batch's rows of a window are one row here
-    first = F.min(F.array_min("docs")).over(Window.partitionBy("h1", "h2"))
-    later = windows.withColumn("first", first).select("first", "h1", F.explode("docs").alias("doc_id")).filter("doc_id > first")
-    return later.groupBy("doc_id").agg(F.collect_list("h1").alias("repeats")).join(copies, "doc_id", "full")
-
-
-def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+        found = own.add(base.filter(F.col("doc_id").between(begin, begin + step - 1)))
+        parts.append(durable(found.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "repeats"))
+    if index is None:
+        own.delete()
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    # a document is in one batch, but for rows that repeat its id
+    return both.groupBy("doc_id").agg(F.collect_list("keys").alias("repeats"))
+
+
+def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: WindowIndex | None = None) -> DataFrame:
     """The columns of ``docs`` but text as the struct ``row``, and n_words, n_removed, text and kept_sha256.
 
     text is as it was where nothing goes, else the kept words joined by one space.
 
-    A word goes if a window of 13 words over it also starts in a document with a smaller doc_id. Windows are
-    equal if 96 bits of two independent fingerprints of their words are. Null text has no words; rows with equal
-    doc_id don't part each other's words and all stay; null doc_id neither removes nor loses words; an empty
-    table gives no rows; other columns stay in ``row`` and can't clash.
+    A word goes if a window of 13 words over it also starts in a document with a smaller doc_id, of ``docs`` or of
+    what ``index`` has from before. Windows are equal if 96 bits of two independent fingerprints of their words are.
+    Null text has no words; rows with equal doc_id don't part each other's words and all stay; null doc_id neither
+    removes nor loses words; texts of any length are judged whole; an empty table gives no rows; other columns stay in ``row`` and can't clash.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others") if others else F.lit(None).alias("others"))
     base = plain.select("doc_id", "text")
-    both = (plain if others else base).join(repeated_windows(base, batches), "doc_id", "left")
+    both = (plain if others else base).join(repeated_windows(base, batches, index), "doc_id", "left")
     row = F.struct("doc_id", *(F.col(f"others.`{c}`").alias(c) for c in others)).alias("row")
-    rows = both.select(row, "text", "repeats", "copies")
+    rows = both.select(row, "text", "repeats")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, text string, kept_sha256 string"
     return rows.mapInArrow(_kept, schema)
 

@@ -43,6 +43,38 @@ def test_matches_brute_force(spark):
         assert hashlib.sha256(" ".join((r.text or "").encode().decode().split(" ")).encode()).hexdigest() == r.kept_sha256 or not r.n_removed
 
 
+def test_index_is_opened_again_and_compacted(spark, tmp_path):
+    pick = random.Random(3)
+    passages = [[f"p{k}w{i}" for i in range(30)] for k in range(6)]
+    rows = []
+    for i in range(60):
+        words = [f"d{i}x{j}" for j in range(pick.randint(0, 20))] + pick.choice(passages)[pick.randint(0, 5) :] + [f"d{i}y{j}" for j in range(5)]
+        rows.append((i, " ".join(words)))
+    want = {r[0]: r[1:] for r in brute(rows)}
+    found = {}
+    for at in range(0, 60, 15):  # each batch in a session of its own
+        session = spark.newSession()
+        session.conf.set("spark.sql.shuffle.partitions", str(3 + at // 15))  # buckets are those of the first
+        index = substring.WindowIndex(session, f"{tmp_path}/index", most=2)
+        assert index.runs == (0, 1, 2, 2)[at // 15]
+        batch = session.createDataFrame(rows[at : at + 15], "doc_id long, text string")
+        for r in substring.substring_dedup(batch, batches=1, index=index).collect():
+            found[r.row.doc_id] = (r.n_words, r.n_removed, r.kept_sha256)
+        index.close()
+    assert found == want and any(r[1] for r in found.values())
+    last = substring.WindowIndex(spark, f"{tmp_path}/index")
+    assert last.generation == 2 and last.runs == 2 and last.buckets == 3
+    last.delete()
+    assert not (tmp_path / "index").exists() and not [t for t in spark.catalog.listTables() if t.name.startswith("window_index")]
+
+
+def test_hot_passages_are_a_row_for_each_slice(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40))) for i in range(200)], "doc_id long, text string").coalesce(1)
+    rows = docs.mapInArrow(substring._runs, "anchor long, windows array<int>, doc_id long, more array<long>").collect()
+    assert len(rows) <= 28 and all(r.doc_id == 0 and r.more == list(range(1, 200)) for r in rows)
+    assert sum(len(r.windows) for r in rows) == 28
+
+
 def test_empty_table(spark):
     assert substring.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -63,7 +63,7 @@ def test_index_is_opened_again_and_compacted(spark, tmp_path):
         index.close()
     assert found == want and any(r[1] for r in found.values())
     last = substring.WindowIndex(spark, f"{tmp_path}/index")
-    assert last.generation == 2 and last.runs == 2 and last.buckets == 3
+    assert last.generation == 2 and last.runs == 2 and last.buckets == 1
     last.delete()
     assert not (tmp_path / "index").exists() and not [t for t in spark.catalog.listTables() if t.name.startswith("window_index")]
 

@@ -18,8 +18,8 @@ WIDTH = 5
 LEAST = 0.8
 #: Bands of minima: at a similarity of 0.8 one in 17,000 pairs shares no band.
 BANDS, ROWS = 32, 6
-#: Bands with more members than this are first compared with one member.
-DENSE = 48
+#: Bits of the map that tells which texts needn't be looked at.
+BITS = 1 << 23
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -67,9 +67,21 @@ def described() -> Callable[[list], dict]:
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of keys, those whose shingle sets have a similarity of LEAST or more."""
+def _might_hold(keys_: DataFrame) -> np.ndarray:
+    """A bitmap of hashed keys, 1 MB at most whatever their number: where a bit isn't set, no key is."""
+    bit = F.pmod(F.xxhash64("key"), F.lit(BITS))
+    found = keys_.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    held = np.zeros((BITS // 32768, 4096), np.uint8)
+    for r in found.collect():  # at most BITS / 32768 rows of 4 kB
+        held[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
+    return held
+
+
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, distance, near) for the pairs (a, b) of keys: the Jaccard distance of their shingle sets, and whether they are near copies."""
     pairs = durable(pairs.distinct(), "near-pairs")
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    held = _might_hold(wanted)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = keys()
@@ -77,55 +89,60 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for part in slices(batch, 0):
                 yield pa.RecordBatch.from_pydict({"key": key(part.column(0).to_pylist())["fp"], "text": part.column(0)})
 
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            at = bit % 32768
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["key", "text"]).filter(pa.array((held[bit // 32768, at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Memo(shingles, 64, longest=1 << 40)
         for batch in batches:
-            for part in slices(batch, 2, rows=64):
-                good = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            for part in slices(batch, "y", rows=64):
+                distance, near = [], []
+                for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
                     p, q = sets[x], sets[y]
                     both = len(np.intersect1d(p, q, assume_unique=True))
-                    good.append(both * 5 >= (len(p) + len(q) - both) * 4)
-                yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+                    either = len(p) + len(q) - both
+                    distance.append(1 - both / either if either else 0.0)
+                    near.append(both * 5 >= either * 4)
+                yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "distance": distance, "near": near})
 
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    found = docs.select("text").mapInArrow(keyed, "key long, text string").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    found = durable(found, "near-texts")
-    met = pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-    return durable(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "near-links")
+    found = docs.select("text").mapInArrow(keyed, "key long, text string").withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(BITS))).mapInArrow(asked, "key long, text string")
+    found = durable(found.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "near-texts")
+    met = pairs.join(found.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(found.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
+    return durable(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, distance double, near boolean"), "near-links")
 
 
 def links(nodes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     """Links (a, b) that with ``known`` ones join all pairs of ``nodes`` (key, n, bands) that share a band and are near copies.
 
-    Pairs that are joined already aren't compared. Members of a dense band are compared with its least one first;
-    then all pairs of members that this has left in differing components are, so that none is passed over.
+    Each member of a band is first compared with its pivot alone, the member that shares the most bands with others
+    (near copies of one text mostly have it as the pivot of all their bands). Jaccard distance is a metric: two
+    members whose distances to the pivot differ by more than 0.2 are no near copies. All pairs in a band that
+    neither this nor their sizes rule out, and that aren't joined by then, are compared, so that none is passed over.
     """
-    least = lambda x, y: F.least(x, y) * 5 >= F.greatest(x, y) * 4
+    near = lambda x, y: F.least(x, y) * 5 >= F.greatest(x, y) * 4
     placed = nodes.select("key", "n", F.explode("bands").alias("band"))
-    sizes = placed.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("first")).filter("size > 1")
+    sizes = placed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     met = durable(placed.join(sizes, "band"), "bands")
-
-    def grouped(edges: DataFrame) -> DataFrame:
-        roots = components(edges).withColumnRenamed("node", "key")
-        return met.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-
-    def sides(left: DataFrame, right: DataFrame) -> DataFrame:
-        left = left.select("band", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        right = right.select("band", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-        pair = left.join(right, "band").filter((F.col("root_a") != F.col("root_b")) & least(F.col("n_a"), F.col("n_b")))
-        return pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    before = grouped(known)
-    sparse, dense = before.filter(f"size <= {DENSE}"), before.filter(f"size > {DENSE}")
-    pivots = dense.filter((F.col("key") != F.col("first.key")) & least(F.col("n"), F.col("first.n"))).select(F.col("first.key").alias("a"), F.col("key").alias("b"))
-    first = _verified(sides(sparse, sparse).unionByName(pivots), docs)
-    if dense.isEmpty():
-        return first
-    after = durable(grouped(known.unionByName(first)).filter(f"size > {DENSE}"), "dense-bands")
-    largest = after.groupBy("band", "root").agg(F.count("*").alias("size")).groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("band", F.col("top.root").alias("top"))
-    open_ = after.join(largest, "band")
-    return first.unionByName(_verified(sides(open_.filter("root != top"), open_), docs))
+    score = met.groupBy("key").agg(F.sum("size").alias("score"))
+    pivots = met.join(score, "key").groupBy("band").agg(F.max(F.struct("score", "key")).alias("top")).select("band", F.col("top.key").alias("pivot"))
+    seated = durable(met.join(pivots, "band").select("band", "key", "n", "pivot"), "seated-bands")
+    star = compared(seated.filter("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")), docs)
+    first = star.filter("near").select("a", "b")
+    roots = components(known.unionByName(first)).withColumnRenamed("node", "key")
+    far = star.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "distance")
+    rest = seated.filter("key != pivot").join(far, ["pivot", "key"]).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # bands whose members aren't all joined
+    largest = rest.groupBy("band", "root").agg(F.count("*").alias("size")).groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"))
+    rest = durable(rest.join(largest.filter("roots > 1").select("band", F.col("top.root").alias("top")), "band"), "open-bands")
+    left = rest.filter("root != top").select("band", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("distance").alias("d_a"))
+    right = rest.select("band", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("distance").alias("d_b"), "top")
+    # of two members outside the largest component one order is enough
+    pair = left.join(right, "band").filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("a") < F.col("b"))) & near(F.col("n_a"), F.col("n_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= 0.2 + 1e-9))
+    pair = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return first.unionByName(compared(pair, docs).filter("near").select("a", "b"))
 
 
 def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,7 @@ def near(a, b):
     return len(p & q) >= 0.8 * len(p | q)
 
 
-def test_stage_keeps_one_of_each_group(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "DENSE", 4)
+def test_stage_keeps_one_of_each_group(spark):
     pick = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     texts = []
@@ -45,3 +44,27 @@ def test_stage_keeps_one_of_each_group(spark, monkeypatch):
     lowest = {find(i) for i in range(len(texts))}
     # op1's links may join more, never less
     assert set(kept) <= lowest and len(kept) >= 0.9 * len(lowest)
+
+
+def test_links_that_no_pivot_has_are_found(spark):
+    # a chain: neighbours are near copies, those further apart aren't, so that most pairs aren't with a pivot
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(14):
+        texts.append(" ".join(base))
+        for j in range(5):
+            base[k * 20 + 4 * j] = f"x{k}y{j}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near_pairs = {(i, j) for i in range(14) for j in range(14) if i < j and near(texts[i], texts[j])}
+    assert {(i, i + 1) for i in range(13)} <= near_pairs and (0, 13) not in near_pairs
+    prints, named = jaccard._named(docs)
+    assert {r.component_id for r in named.collect()} == {0}
+
+
+def test_odd_rows(spark):
+    long = "la " * 200_000 + "end"
+    rows = [(1, None), (2, ""), (3, " \n"), (None, "a b c d e f"), (4, "A b c d e f"), (5, long), (5, long), (6, long), (7, "one")]
+    docs = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, bands string")
+    kept = [(r.row.doc_id, r.row.bands) for r in jaccard.representatives(docs).collect()]
+    assert sorted(kept) == [(1, "c"), (4, "c"), (5, "c"), (7, "c")]
+    assert jaccard.representatives(docs.limit(0)).collect() == []

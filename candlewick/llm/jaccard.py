@@ -78,7 +78,8 @@ def _might_hold(keys_: DataFrame) -> np.ndarray:
 
 
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, distance, near) for the pairs (a, b) of keys: the Jaccard distance of their shingle sets, and whether they are near copies."""
+    """(a, b, near, shared, over) for the pairs (a, b) of keys: whether they are near copies, which of the shingles of ``a`` in
+    order ``b`` has (64 bits a number), and how many others ``b`` has."""
     pairs = durable(pairs.distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     held = _might_hold(wanted)
@@ -99,30 +100,32 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         sets = Memo(shingles, 64, longest=1 << 40)
         for batch in batches:
             for part in slices(batch, "y", rows=64):
-                distance, near = [], []
+                near, shared, over = [], [], []
                 for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
                     p, q = sets[x], sets[y]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    either = len(p) + len(q) - both
-                    distance.append(1 - both / either if either else 0.0)
-                    near.append(both * 5 >= either * 4)
-                yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "distance": distance, "near": near})
+                    has = np.isin(p, q, assume_unique=True)
+                    both = int(has.sum())
+                    near.append(both * 5 >= (len(p) + len(q) - both) * 4)
+                    shared.append(np.packbits(np.pad(has, (0, -len(has) % 64)), bitorder="little").view(np.int64))
+                    over.append(len(q) - both)
+                bits = pa.array(shared, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "near": near, "shared": bits, "over": pa.array(over, pa.int64())})
 
     found = docs.select("text").mapInArrow(keyed, "key long, text string").withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(BITS))).mapInArrow(asked, "key long, text string")
-    found = durable(found.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "near-texts")
+    # copies are one row for each task before they meet
+    found = durable(found.groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key", "left_semi"), "near-texts")
     met = pairs.join(found.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(found.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-    return durable(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, distance double, near boolean"), "near-links")
+    return durable(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, near boolean, shared array<long>, over long"), "near-links")
 
 
 def links(nodes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     """Links (a, b) that with ``known`` ones join all pairs of ``nodes`` (key, n, bands) that share a band and are near copies.
 
     Each member of a band is first compared with its pivot alone, the member that shares the most bands with others
-    (near copies of one text mostly have it as the pivot of all their bands). Jaccard distance is a metric: two
-    members whose distances to the pivot differ by more than 0.2 are no near copies. All pairs in a band that
-    neither this nor their sizes rule out, and that aren't joined by then, are compared, so that none is passed over.
+    (near copies of one text mostly have it as the pivot of all their bands). Two members share no more shingles than
+    both share with the pivot, which the comparisons told, and the lesser number of those that it lacks. All pairs in
+    a band that this bound doesn't rule out, and that aren't joined by then, are compared, so that none is passed over.
     """
-    near = lambda x, y: F.least(x, y) * 5 >= F.greatest(x, y) * 4
     placed = nodes.select("key", "n", F.explode("bands").alias("band"))
     sizes = placed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     met = durable(placed.join(sizes, "band"), "bands")
@@ -132,15 +135,21 @@ def links(nodes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     star = compared(seated.filter("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")), docs)
     first = star.filter("near").select("a", "b")
     roots = components(known.unionByName(first)).withColumnRenamed("node", "key")
-    far = star.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "distance")
+    far = star.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "shared", "over")
     rest = seated.filter("key != pivot").join(far, ["pivot", "key"]).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     # bands whose members aren't all joined
     largest = rest.groupBy("band", "root").agg(F.count("*").alias("size")).groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"))
     rest = durable(rest.join(largest.filter("roots > 1").select("band", F.col("top.root").alias("top")), "band"), "open-bands")
-    left = rest.filter("root != top").select("band", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("distance").alias("d_a"))
-    right = rest.select("band", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("distance").alias("d_b"), "top")
+    side = lambda x: ["band", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "root", "shared", "over"))]
+    left, right = rest.filter("root != top").select(*side("a")), rest.select(*side("b"), "top")
+    both = F.aggregate(F.zip_with("shared_a", "shared_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    others = F.least("over_a", "over_b")
+    enough = lambda n: n * 9 >= (F.col("n_a") + F.col("n_b")) * 4
     # of two members outside the largest component one order is enough
-    pair = left.join(right, "band").filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("a") < F.col("b"))) & near(F.col("n_a"), F.col("n_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= 0.2 + 1e-9))
+    once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("key_a") < F.col("key_b")))
+    may = enough(F.least(F.col("n_a") - F.col("over_a"), F.col("n_b") - F.col("over_b")) + others) & enough(both + others)
+    pair = left.join(right.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & once & may)
+    pair = pair.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     pair = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return first.unionByName(compared(pair, docs).filter("near").select("a", "b"))
 

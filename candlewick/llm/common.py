@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text and rows that a task turns into Python objects at once.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +24,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches at BATCH_ROWS rows at most: rows with whole texts are wide, and JVM and Python worker hold a batch whole."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` alone, under these names: other columns can't clash with an operator's own."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm.common import documents, slices
+from candlewick.llm.common import documents, slices, small_batches
 
 #: Dimensions of the vectors.
 DIMENSIONS = 1024
@@ -22,7 +22,7 @@ LEAST_SCORE = 0.18
 #: Below this many trigrams the floor is lower in proportion: a clean short text shares few trigrams with a profile.
 SHORT = 80
 #: Trigrams whose vectors are held at once.
-BLOCK = 8192
+BLOCK = 4096
 
 
 @lru_cache(maxsize=1)
@@ -156,7 +156,7 @@ def identify(docs: DataFrame) -> DataFrame:
     be learned; ties go to the language first by name; repeated rows and null doc_id stay (null doc_id is not
     learned from, nor held out); an empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     profiles = prototypes(rows.filter(~held_out() & F.col("doc_id").isNotNull()).select("text", "lang"))
     asked = rows.select("doc_id", held_out().alias("held_out"), "text")
     return asked.mapInArrow(scored(profiles, ["doc_id", "held_out"]), "doc_id long, held_out boolean, lang_pred string, score double")
@@ -169,7 +169,7 @@ def known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     and ``least``, which are unlike every profile. Where nothing could be learned, every text with a letter stays. Repeated rows and null
     doc_id stay; an empty table gives no rows; columns of any name stay in ``row``.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = small_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     profiles = prototypes(rows.filter(~held_out() & F.col("doc_id").isNotNull()).select("text", "lang"))
     if not profiles:
         return rows.filter(F.col("text").rlike(r"\p{L}")).select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm.common import documents, durable, slices
+from candlewick.llm.common import documents, durable, slices, small_batches
 
 #: Most labelled documents that the classifier is fitted on; which ones, a hash of doc_id says.
 SAMPLE = 20_000
@@ -134,6 +134,7 @@ def posterior(docs: DataFrame, host: str = "source", path: str = "lang", labels:
     site of its own; without labels of both classes every text has a half, and is kept unless its site is below all;
     repeated rows and null doc_id stay; texts of any length count whole; an empty table gives no rows; columns of any name stay in ``row``.
     """
+    docs = small_batches(docs)
     model = learned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, most) if labels is not None else None
     site = [F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text")]
     row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if carried is None else carried))).alias("row")

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import documents, durable, shared_folder, slices, texts
+from candlewick.llm.common import documents, durable, shared_folder, slices, small_batches, texts
 
 WINDOW = 13
 #: Words of an anchor; each window's anchor is its word run of this length with the least fingerprint.
@@ -193,7 +193,7 @@ class WindowIndex:
         if self.runs >= self.most:
             self.compact()
         run = self.runs
-        rows = batch.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_runs, "anchor long, windows array<int>, doc_id long, more array<long>")
+        rows = small_batches(batch).filter("doc_id is not null").select("doc_id", "text").mapInArrow(_runs, "anchor long, windows array<int>, doc_id long, more array<long>")
         self._append(rows.withColumn("run", F.lit(run)).repartition(self.buckets, "anchor"))
         return self._repeated(run)
 
@@ -268,7 +268,7 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: WindowIndex
     removes nor loses words; texts of any length are judged whole; an empty table gives no rows; other columns stay in ``row`` and can't clash.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others") if others else F.lit(None).alias("others"))
+    plain = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others") if others else F.lit(None).alias("others"))
     base = plain.select("doc_id", "text")
     both = (plain if others else base).join(repeated_windows(base, batches, index), "doc_id", "left")
     row = F.struct("doc_id", *(F.col(f"others.`{c}`").alias(c) for c in others)).alias("row")

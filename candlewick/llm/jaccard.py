@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm import simhash
-from candlewick.llm.common import Memo, durable, map_texts, slices, texts
+from candlewick.llm.common import Memo, dropped, durable, map_texts, slices, texts
 from candlewick.llm.graph import components
 
 WIDTH = 5
@@ -78,8 +78,8 @@ def _might_hold(keys_: DataFrame) -> np.ndarray:
 
 
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, near, shared, over) for the pairs (a, b) of keys: whether they are near copies, which of the shingles of ``a`` in
-    order ``b`` has (64 bits a number), and how many others ``b`` has."""
+    """(a, b, near, shared, over, others) for the pairs (a, b) of keys: whether they are near copies, which of the shingles of ``a`` in
+    order ``b`` has (64 bits a number), how many others ``b`` has, and these hashed to two bits for each shingle of ``a``."""
     pairs = durable(pairs.distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     held = _might_hold(wanted)
@@ -100,7 +100,7 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         sets = Memo(shingles, 64, longest=1 << 40)
         for batch in batches:
             for part in slices(batch, "y", rows=64):
-                near, shared, over = [], [], []
+                near, shared, over, others = [], [], [], []
                 for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
                     p, q = sets[x], sets[y]
                     has = np.isin(p, q, assume_unique=True)
@@ -108,14 +108,19 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     near.append(both * 5 >= (len(p) + len(q) - both) * 4)
                     shared.append(np.packbits(np.pad(has, (0, -len(has) % 64)), bitorder="little").view(np.int64))
                     over.append(len(q) - both)
-                bits = pa.array(shared, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "near": near, "shared": bits, "over": pa.array(over, pa.int64())})
+                    marks = np.zeros(64 * (len(p) // 32 + 1), bool)
+                    marks[(q[np.isin(q, p, assume_unique=True, invert=True)] % np.uint64(len(marks))).astype(np.int64)] = True
+                    others.append(np.packbits(marks, bitorder="little").view(np.int64))
+                bits = {k: pa.array(v, pa.list_(pa.int64())) for k, v in (("shared", shared), ("others", others))}
+                yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "near": near, "shared": bits["shared"], "over": pa.array(over, pa.int64()), "others": bits["others"]})
 
     found = docs.select("text").mapInArrow(keyed, "key long, text string").withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(BITS))).mapInArrow(asked, "key long, text string")
     # copies are one row for each task before they meet
     found = durable(found.groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key", "left_semi"), "near-texts")
     met = pairs.join(found.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(found.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-    return durable(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, near boolean, shared array<long>, over long"), "near-links")
+    out = durable(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, near boolean, shared array<long>, over long, others array<long>"), "near-links")
+    dropped(pairs, found)
+    return out
 
 
 def links(nodes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -123,8 +128,8 @@ def links(nodes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
 
     Each member of a band is first compared with its pivot alone, the member that shares the most bands with others
     (near copies of one text mostly have it as the pivot of all their bands). Two members share no more shingles than
-    both share with the pivot, which the comparisons told, and the lesser number of those that it lacks. All pairs in
-    a band that this bound doesn't rule out, and that aren't joined by then, are compared, so that none is passed over.
+    both share with the pivot, and no more of those that it lacks than one has less those that are hashed to where the other
+    has none, all of which the comparisons told. All pairs in a band that this bound doesn't rule out, and that aren't joined by then, are compared, so that none is passed over.
     """
     placed = nodes.select("key", "n", F.explode("bands").alias("band"))
     sizes = placed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
@@ -135,23 +140,28 @@ def links(nodes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     star = compared(seated.filter("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")), docs)
     first = star.filter("near").select("a", "b")
     roots = components(known.unionByName(first)).withColumnRenamed("node", "key")
-    far = star.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "shared", "over")
+    far = star.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "shared", "over", "others")
     rest = seated.filter("key != pivot").join(far, ["pivot", "key"]).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     # bands whose members aren't all joined
     largest = rest.groupBy("band", "root").agg(F.count("*").alias("size")).groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"))
     rest = durable(rest.join(largest.filter("roots > 1").select("band", F.col("top.root").alias("top")), "band"), "open-bands")
-    side = lambda x: ["band", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "root", "shared", "over"))]
+    side = lambda x: ["band", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "root", "shared", "over", "others"))]
     left, right = rest.filter("root != top").select(*side("a")), rest.select(*side("b"), "top")
-    both = F.aggregate(F.zip_with("shared_a", "shared_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    bits = lambda x, y, kept: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(kept(p, q))), F.lit(0), lambda n, k: n + k)
+    both = bits("shared_a", "shared_b", lambda p, q: p.bitwiseAND(q))
+    alone = lambda p, q: p.bitwiseAND(F.bitwise_not(q))
     others = F.least("over_a", "over_b")
+    common = F.least(F.col("over_a") - bits("others_a", "others_b", alone), F.col("over_b") - bits("others_b", "others_a", alone))
     enough = lambda n: n * 9 >= (F.col("n_a") + F.col("n_b")) * 4
     # of two members outside the largest component one order is enough
     once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("key_a") < F.col("key_b")))
-    may = enough(F.least(F.col("n_a") - F.col("over_a"), F.col("n_b") - F.col("over_b")) + others) & enough(both + others)
+    may = enough(F.least(F.col("n_a") - F.col("over_a"), F.col("n_b") - F.col("over_b")) + others) & enough(both + others) & enough(both + common)
     pair = left.join(right.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & once & may)
     pair = pair.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     pair = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return first.unionByName(compared(pair, docs).filter("near").select("a", "b"))
+    found = first.unionByName(compared(pair, docs).filter("near").select("a", "b"))
+    dropped(met, seated, rest)
+    return found
 
 
 def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,6 +176,7 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = durable(same.unionByName(near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))).filter("a != b"), "near-known")
     roots = components(known.unionByName(links(nodes, docs, known))).withColumnRenamed("node", "key")
     named = durable(nodes.join(roots, "key", "left").select("key", "low", F.coalesce("root", "key").alias("root")), "near-named")
+    dropped(nodes, stands, known)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.select("doc_id", F.col("key").alias("fp")), named.join(lowest, "root").select(F.col("key").alias("fp"), "component_id")
 

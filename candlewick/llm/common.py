@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +54,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go as soon as the write that made them has ended, not when the driver collects garbage."""
+    name, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark.conf
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import documents, durable, shared_folder, slices, small_batches, texts
+from candlewick.llm.common import documents, durable, shared_folder, slices, small_batches, texts, tidy
 
 WINDOW = 13
 #: Words of an anchor; each window's anchor is its word run of this length with the least fingerprint.
@@ -182,7 +182,8 @@ class WindowIndex:
 
     def _append(self, rows: DataFrame) -> None:
         name = self.table or self._name()
-        rows.write.mode("append").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", self._folder()).saveAsTable(name)
+        with tidy(self.spark):
+            rows.write.mode("append").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", self._folder()).saveAsTable(name)
         self.table, self.runs = name, self.runs + 1
 
     def add(self, batch: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ class WindowIndex:
         there = [f.getPath().getName() for f in self._fs().listStatus(self._hadoop(self.path))] if self._fs().exists(self._hadoop(self.path)) else []
         done = [n for n in there if self._fs().exists(self._hadoop(f"{self.path}/{n}/_SUCCESS"))]
         # generation and buckets are in a folder's name; a generation that wasn't finished is passed over
-        self.generation, self.buckets = max(((int(g), int(b)) for g, b in (n.split("-") for n in done)), default=(0, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)))
+        self.generation, self.buckets = max(((int(g), int(b)) for g, b in (n.split("-") for n in done)), default=(0, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         self.runs = 0
         if done:
             self.table = self._name()
@@ -248,7 +248,7 @@ def repeated_windows(base: DataFrame, batches: int = BATCHES, index: WindowIndex
         begin = (low or 0) + k * step
         found = own.add(base.filter(F.col("doc_id").between(begin, begin + step - 1)))
         # lists of keys are small beside the texts: a few files for each batch
-        parts.append(durable(found.groupBy("doc_id").agg(F.collect_list("key").alias("keys")).coalesce(max(1, own.buckets // 2)), "repeats"))
+        parts.append(durable(found.groupBy("doc_id").agg(F.collect_list("key").alias("keys")).coalesce(max(1, own.buckets // 4)), "repeats"))
     if index is None:
         own.delete()
     both = parts[0]

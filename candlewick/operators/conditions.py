@@ -7,6 +7,7 @@ ANY and one before it has passed. Modes other than ANY mean ALL; ALL of nothing
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 from typing import NamedTuple
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 PASSED, FAILED, BLOCKED = "PASSED", "FAILED", "BLOCKED"
 PREFIXES = ("BAR.", "IND.", "PX.", "SIG.", "STATE.")
 NUMBER, STRING, BOOLEAN = "NUMBER", "STRING", "BOOLEAN"
+#: Texts that are numbers: no blanks, no separators, neither NaN nor infinity.
+DECIMAL = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 
 
 class Value(NamedTuple):
@@ -62,10 +65,7 @@ def allowed(key: object) -> bool:
 
 def _literal(value: object, kind: str) -> Value | None:
     if kind == NUMBER and isinstance(value, (int, float, str)) and not isinstance(value, bool):
-        try:
-            return Value(NUMBER, F.lit(float(value)))
-        except ValueError:
-            return None
+        return Value(NUMBER, F.lit(float(value))) if re.fullmatch(DECIMAL, str(value), re.ASCII) else None
     if kind == STRING:
         return Value(STRING, F.lit(str(value).lower() if isinstance(value, bool) else str(value)))
     if kind == BOOLEAN and isinstance(value, bool):
@@ -84,7 +84,8 @@ def _compared(left: Value, operator: str, right: Value) -> Column | None:
     """The comparison, null where it can't be made; None if it never can."""
     kinds = {left.kind, right.kind}
     if kinds == {NUMBER, STRING}:
-        a, b = (x.column.cast("string").try_cast("double") if x.kind == STRING else x.column for x in (left, right))
+        text = lambda c: F.when(c.rlike(f"^{DECIMAL}$"), c.try_cast("double"))
+        a, b = (text(x.column.cast("string")) if x.kind == STRING else x.column for x in (left, right))
         return _COMPARE[operator](a, b) if operator in _COMPARE else None
     if len(kinds) > 1:
         return None

@@ -9,6 +9,8 @@ from candlewick.operators.conditions import PASSED, Outcome
 
 MAX_AGE_S = 30
 COOLDOWN_S = 5
+#: Seconds that a key of a trigger's type is held.
+TTL_S = {"SIGNAL": 3600, "INDICATOR": 3600, "BAR": 86_400, "PRICE": COOLDOWN_S + 1}
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str) -> DataFrame:
@@ -19,7 +21,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, righ
     """
     a = left.withColumn("_t", F.col(left_ts)).withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast(right.schema[value].dataType))
     b = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), value)
-    order = Window.partitionBy(*keys).orderBy("_t", "_side", F.to_json(value)).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys).orderBy("_t", "_side", value).rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last(value, ignorenulls=True).over(order))
     return both.filter("_side = 1").drop("_t", "_side")
 
@@ -52,13 +54,13 @@ def staleness_gate(as_of_ts: Column) -> Column:
     return F.coalesce(F.when(F.col("trigger_type") == "SIGNAL", by_signal), by_indicator)
 
 
-def dedup_key(as_of_ts: Column) -> Column:
-    """What makes a trigger unique: its signal, indicator bar, bar, or five seconds; null lets it pass."""
+def dedup_key(as_of_ts: Column, timeframe: str = "1h") -> Column:
+    """What makes a trigger unique: its signal, indicator bar, bar of ``timeframe``, or five seconds; null lets it pass."""
     slot = F.floor(F.unix_seconds(as_of_ts) / COOLDOWN_S) * COOLDOWN_S
     unique = (
         F.when(F.col("trigger_type") == "SIGNAL", F.col("sig_intent_id").cast("string"))
         .when(F.col("trigger_type") == "INDICATOR", F.concat_ws(":", "ind_code", F.unix_seconds("bar_time").cast("string")))
-        .when(F.col("trigger_type") == "BAR", F.concat(F.lit("1h:"), F.unix_seconds("bar_time").cast("string")))
+        .when(F.col("trigger_type") == "BAR", F.concat(F.lit(f"{timeframe}:"), F.unix_seconds("bar_time").cast("string")))
         .when(F.col("trigger_type") == "PRICE", F.concat(F.lit("PRICE:"), slot.cast("string")))
     )
     return F.when(unique.isNotNull(), F.concat_ws(":", "trigger_type", "strategy_id", "symbol", unique))
@@ -74,14 +76,29 @@ def sanity_gate() -> Column:
     )
 
 
-def guarded(rows: DataFrame, as_of_ts: str) -> DataFrame:
-    """Add ``reject``: the first gate's reason, or null. A key is taken by the first row that gets to it, even if sanity rejects that row."""
+def guarded(rows: DataFrame, as_of_ts: str, timeframe: str = "1h") -> DataFrame:
+    """Add ``reject``: the first gate's reason, or null.
+
+    A key is taken by the first row that gets to it, even if sanity rejects that row, and held for TTL_S from then;
+    rows that it turns away don't prolong it. A key's rows are cut where none comes for that long, and each part is
+    folded in order. Rows without a key, and those that an earlier gate rejects, stand alone.
+    """
     early = F.coalesce(phase_gate(), staleness_gate(F.col(as_of_ts)))
-    rows = rows.withColumn("_early", early).withColumn("_key", dedup_key(F.col(as_of_ts)))
-    order = Window.partitionBy("_key", F.col("_early").isNull()).orderBy(as_of_ts, "sig_intent_id")
-    nth = F.when(F.col("_key").isNotNull() & F.col("_early").isNull(), F.row_number().over(order))
-    repeated = F.when(nth > 1, "DedupGate: repeated")
-    return rows.withColumn("_repeated", repeated).withColumn("reject", F.coalesce("_early", "_repeated", sanity_gate())).drop("_early", "_key", "_repeated")
+    rows = rows.withColumn("_early", early).withColumn("_key", dedup_key(F.col(as_of_ts), timeframe)).withColumn("_us", F.unix_micros(as_of_ts))
+    alone = F.col("_key").isNull() | F.col("_early").isNotNull()
+    apart = F.concat_ws("/", F.lit("alone"), F.xxhash64("symbol", "strategy_id", "_us", "sig_intent_id").cast("string"))
+    rows = rows.withColumn("_group", F.when(alone, apart).otherwise(F.concat(F.lit("key/"), "_key")))
+    ttl = F.element_at(F.create_map(*(F.lit(x) for k, v in TTL_S.items() for x in (k, v * 1_000_000))), F.col("trigger_type"))
+    rows = rows.withColumn("_ttl", F.coalesce(ttl, F.lit(3_600_000_000)))
+    order = Window.partitionBy("_group").orderBy("_us", "sig_intent_id")
+    rows = rows.withColumn("_begins", (F.col("_us") - F.lag("_us", 1).over(order) < F.col("_ttl")).cast("int")).withColumn("_part", F.sum(1 - F.coalesce("_begins", F.lit(0))).over(order))
+    part = Window.partitionBy("_group", "_part")
+    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= F.col("_ttl")), F.concat(acc, F.array(x))).otherwise(acc)
+    taken = F.aggregate(F.array_sort(F.collect_list("_us").over(part)), F.array().cast("array<bigint>"), step)
+    nth = F.row_number().over(Window.partitionBy("_group", "_part", "_us").orderBy("sig_intent_id"))
+    rows = rows.withColumn("_taken", taken).withColumn("_nth", nth)
+    repeated = F.when(~alone & ~(F.array_contains("_taken", F.col("_us")) & (F.col("_nth") == 1)), "DedupGate: repeated")
+    return rows.withColumn("reject", F.coalesce("_early", repeated, sanity_gate())).drop("_early", "_key", "_us", "_group", "_ttl", "_begins", "_part", "_taken", "_nth")
 
 
 def by_signal() -> Column:

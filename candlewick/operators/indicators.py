@@ -6,6 +6,7 @@ the frame's oldest bar. Outputs are rounded half up to 8 decimals.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -38,9 +39,14 @@ def sma(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 20)
 
 def sma_strict(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 20) -> DataFrame:
     """Moving average of exactly ``period`` closes, in exact decimals; fewer bars give no value."""
+    return _rows(bars, keys, value=strict_average(keys, period))
+
+
+def strict_average(keys: tuple[str, ...] = ("symbol",), period: int = 20) -> Column:
+    """The value of ``sma_strict`` as a column beside a bar's others."""
     frame = _tail(keys, period)
     exact = F.sum(F.col("close").cast("decimal(20,8)")).over(frame) / F.lit(period)
-    return _rows(bars, keys, value=F.when(F.count("*").over(frame) >= period, F.round(exact, SCALE).cast("double")))
+    return F.when(F.count("*").over(frame) >= period, F.round(exact, SCALE).cast("double"))
 
 
 def _folded(bars: DataFrame, keys: tuple[str, ...], values: Column) -> DataFrame:
@@ -134,39 +140,59 @@ def momentum(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int =
 
 
 class Definition(NamedTuple):
-    """An indicator as it can be asked for: its function, outputs and default parameters."""
+    """An indicator as it can be asked for: its function, outputs, default parameters, and the function's names for them."""
 
-    compute: object
+    compute: Callable[..., DataFrame] | None
     outputs: tuple[str, ...]
     defaults: dict[str, float]
-
-
-#: By code; KDJ is declared but has no computation, so that asking for it fails.
-DEFINITIONS = {
-    "SMA": Definition(sma, ("value",), {"period": 20}), "EMA": Definition(ema, ("value",), {"period": 20}), "WMA": Definition(wma, ("value",), {"period": 20}),
-    "RSI": Definition(rsi, ("value",), {"period": 14}), "ATR": Definition(atr, ("value",), {"period": 14}), "BOLL": Definition(bollinger, ("upper", "middle", "lower"), {"period": 20, "deviation": 2.0}),
-    "MACD": Definition(macd, ("macd", "signal", "histogram"), {"fast": 12, "slow": 26, "signal": 9}), "STOCH": Definition(stochastic, ("k", "d"), {"period": 14}), "MOM": Definition(momentum, ("value",), {"period": 10}), "KDJ": Definition(None, ("k", "d", "j"), {"period": 9}),
-}
-
-
-def parameters(code: str, given: dict[str, object]) -> dict[str, float]:
-    """A definition's parameters: numbers or their text; what doesn't parse, or is missing, has its default."""
+    names: dict[str, str] = {}
+
+
+_PERIOD = lambda n: {"period": n}
+#: Codes, version, outputs and parameters as they are asked for. KDJ is declared but has no computation.
+DEFINITIONS: dict[tuple[str, str], Definition] = {
+    ("SMA", "v1"): Definition(sma, ("value",), _PERIOD(20)),
+    ("EMA", "v1"): Definition(ema, ("value",), _PERIOD(20)),
+    ("WMA", "v1"): Definition(wma, ("value",), _PERIOD(20)),
+    ("RSI", "v1"): Definition(rsi, ("value",), _PERIOD(14)),
+    ("Stochastic", "v1"): Definition(stochastic, ("k", "d"), {"kPeriod": 14, "dPeriod": 3}, {"kPeriod": "period"}),
+    ("Momentum", "v1"): Definition(momentum, ("value",), _PERIOD(10)),
+    ("ATR", "v1"): Definition(atr, ("value",), _PERIOD(14)),
+    ("BOLL", "v1"): Definition(bollinger, ("upper", "middle", "lower"), {"period": 20, "deviation": 2.0}),
+    ("MACD", "v1"): Definition(macd, ("macd", "signal", "histogram"), {"shortPeriod": 12, "longPeriod": 26, "signalPeriod": 9}, {"shortPeriod": "fast", "longPeriod": "slow", "signalPeriod": "signal"}),
+    ("KDJ", "v1"): Definition(None, ("k", "d", "j"), {"period": 9, "kPeriod": 3, "dPeriod": 3}),
+}
+#: Engines by name; ``custom`` has an average of its own.
+ENGINES: dict[str, dict[tuple[str, str], Definition]] = {
+    "ta4j": DEFINITIONS,
+    "custom": {("SMA", "v1"): Definition(sma_strict, ("value",), _PERIOD(20))},
+}
+
+
+def parameters(code: str, given: Mapping[str, object], version: str = "v1", engine: str = "ta4j") -> dict[str, float]:
+    """A definition's parameters: numbers or their text; what doesn't parse, or is missing, has its default. Whole ones take no text with a fraction."""
     out = {}
-    for name, default in DEFINITIONS[code].defaults.items():
+    for name, default in ENGINES[engine][code, version].defaults.items():
+        value = given.get(name)
         try:
-            out[name] = type(default)(float(given[name]))  # type: ignore[arg-type]
-        except (KeyError, TypeError, ValueError):
+            out[name] = (int(value) if isinstance(default, int) else float(value)) if value is not None else default  # type: ignore[call-overload]
+        except (TypeError, ValueError, OverflowError):
             out[name] = default
     return out
 
 
-def values(bars: DataFrame, code: str, keys: tuple[str, ...] = ("symbol",), **given: object) -> DataFrame:
-    """(keys, ts, code, value, extra_values): one output goes to value, more to a map by name."""
-    d = DEFINITIONS.get(code)
+def values(bars: DataFrame, code: str, keys: tuple[str, ...] = ("symbol",), version: str = "v1", engine: str = "ta4j", **given: object) -> DataFrame:
+    """(keys, ts, code, value, extra_values): one output goes to value, more to a map by name.
+
+    An engine, code or version that isn't registered, or has no computation, gives neither.
+    """
+    d = ENGINES.get(engine, {}).get((code, version))
     none = F.lit(None).cast("double").alias("value"), F.lit(None).cast("map<string,double>").alias("extra_values")
     if d is None or d.compute is None:
         return bars.select(*keys, "ts", F.lit(code).alias("code"), *none)
-    rows = d.compute(bars, keys, **parameters(code, given))  # type: ignore[operator]
+    found = parameters(code, given, version, engine)
+    known = {d.names.get(k, k): v for k, v in found.items() if not d.names or k in d.names}
+    rows = d.compute(bars, keys, **known)
     if len(d.outputs) == 1:
         return rows.select(*keys, "ts", F.lit(code).alias("code"), F.col("value"), none[1])
     pairs = [x for o in d.outputs for x in (F.lit(o), F.col(o))]

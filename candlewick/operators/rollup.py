@@ -16,7 +16,7 @@ def deduplicated(bars: DataFrame) -> DataFrame:
 
 
 def aggregates(ts: str = "ts") -> list[Column]:
-    """Open of the first bar, high, low, close of the last, volume and count; all have partial sums."""
+    """Open of the first bar, high, low, close of the last, volume, and at last the count; all have partial sums."""
     return [F.min_by("open", ts).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", ts).alias("close"), F.sum("volume").alias("volume"), F.count("*").cast("int").alias("source_count")]
 
 
@@ -24,8 +24,11 @@ def rollup(bars: DataFrame, timeframes: dict[str, int] = TIMEFRAMES) -> DataFram
     """(symbol, tf, ts, open, high, low, close, volume, source_count, is_complete) of one-minute bars.
 
     Each bar goes to a window of every timeframe; windows without a bar give no row. A window is complete if it
-    has a bar for each minute, its first and last among them.
+    has a bar for each minute, its first and last among them. Where bars say their ``interval``, those of others than 1m
+    are ignored.
     """
+    if "interval" in bars.columns:
+        bars = bars.filter("interval = '1m'")
     kinds = F.array(*(F.struct(F.lit(k).alias("tf"), F.lit(v).cast("long").alias("ms")) for k, v in timeframes.items()))
     rows = bars.select("symbol", "ts", *OHLCV, F.explode(kinds).alias("k")).select("symbol", "ts", *OHLCV, "k.tf", "k.ms")
     rows = rows.withColumn("start", align(F.col("ts"), F.col("ms")))
@@ -39,8 +42,8 @@ def cascade(bars: DataFrame, timeframes: dict[str, int] = TIMEFRAMES) -> dict[st
     out, below = {}, bars.withColumn("source_count", F.lit(1))
     for tf, ms in timeframes.items():
         start = align(F.col("ts"), ms).alias("start")
-        sums = [c for c in aggregates() if "source_count" not in str(c)] + [F.sum("source_count").cast("int").alias("source_count")]
-        below = below.groupBy("symbol", start).agg(*sums).withColumnRenamed("start", "ts")
+        *prices, _ = aggregates()
+        below = below.groupBy("symbol", start).agg(*prices, F.sum("source_count").cast("int").alias("source_count")).withColumnRenamed("start", "ts")
         out[tf] = below
     return out
 

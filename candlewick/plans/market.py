@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 #: Ticks, one-minute bars and rollups, in SQL.
 WITH = """WITH ticks AS (SELECT event_id, event_type AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume FROM events),
-b1 AS (SELECT symbol, date_trunc('minute', ts)::TIMESTAMP AS ts, arg_min(price, t) AS open, max(price) AS high, min(price) AS low, arg_max(price, t) AS close, sum(volume) AS volume FROM (SELECT *, ts AS t FROM ticks) GROUP BY symbol, date_trunc('minute', ts)),
+b1 AS (SELECT symbol, date_trunc('minute', ts)::TIMESTAMP AS ts, arg_min(price, (t, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (t, event_id)) AS close, sum(volume) AS volume FROM (SELECT *, ts AS t FROM ticks) GROUP BY symbol, date_trunc('minute', ts)),
 tfs AS (SELECT tf, ms::BIGINT AS ms FROM (VALUES ('5m', 300000), ('15m', 900000), ('30m', 1800000), ('1h', 3600000), ('4h', 14400000)) v(tf, ms)),
 roll AS (SELECT symbol, tf, ms, make_timestamp(epoch_us(ts) // (ms * 1000) * (ms * 1000)) AS start, ts, open, high, low, close, volume FROM b1, tfs),
 bars AS (SELECT symbol, tf, start AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume, count(*)::INTEGER AS source_count,
@@ -45,7 +45,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranged(name: str, sql: str, **how: object) -> None:
-    query(name, sql)(lambda spark, sf_dir: scan.bar_range(bars_1m(spark, sf_dir), SYMBOL, **how))  # type: ignore[arg-type]
+    query(name, sql)(lambda spark, sf_dir: scan.bar_range(bars_1m(spark, sf_dir, how.get("begin"), how.get("end")), SYMBOL, **how))  # type: ignore[arg-type]
 
 
 _ranged("kline_range", f"SELECT {_BAR} FROM b1 WHERE symbol = '{SYMBOL}' AND ts >= '{BEGIN}' AND ts < '{END}'", begin=BEGIN, end=END)
@@ -65,7 +65,7 @@ def _(spark, sf_dir):
 
 @query("kline_response", f"SELECT symbol, epoch_ms(ts) AS timestamp, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS time, open, high, low, close, volume FROM b1 WHERE symbol = '{SYMBOL}' AND ts >= '{BEGIN}' AND ts < '{END}'")
 def _(spark, sf_dir):
-    return scan.response(scan.bar_range(bars_1m(spark, sf_dir), SYMBOL, BEGIN, END))
+    return scan.response(scan.bar_range(bars_1m(spark, sf_dir, BEGIN, END), SYMBOL, BEGIN, END))
 
 
 @query("merge_dedup", f"SELECT {_BAR}, CASE WHEN hour(ts) % 3 = 0 THEN 0 ELSE 1 END::INTEGER AS source FROM b1")
@@ -107,7 +107,7 @@ def _(spark, sf_dir):
 
 
 def _single(tf: str) -> None:
-    query(f"bars_{tf}", f"SELECT {_BAR}, source_count FROM bars WHERE tf = '{tf}'")(lambda spark, sf_dir: rollup.cascade(bars_1m(spark, sf_dir))[tf].select("symbol", "ts", *rollup.OHLCV, "source_count"))
+    query(f"bars_{tf}", f"SELECT {_BAR}, source_count FROM bars WHERE tf = '{tf}'")(lambda spark, sf_dir: rollup.rollup(bars_1m(spark, sf_dir), {tf: TIMEFRAMES[tf]}).select("symbol", "ts", *rollup.OHLCV, "source_count"))
 
 
 for _tf in TIMEFRAMES:
@@ -275,8 +275,13 @@ _indicator("rsi", indicators.rsi, f"""SELECT symbol, ts, round(CASE WHEN d = 0 T
 _indicator("atr", indicators.atr, f"""SELECT symbol, ts, round(list_reduce(list_concat([f[1].own], list_transform(f[2:], lambda x: x.tr)), lambda acc, x: acc + (1.0::DOUBLE / 14) * (x - acc)), 8) AS value FROM
  (SELECT symbol, ts, list(struct_pack(own := high - low, tr := CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END)) {_FOLD} AS f FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM h1))""")
 _indicator("boll", indicators.bollinger, f"SELECT symbol, ts, round(m + 2.0 * s, 8) AS upper, round(m, 8) AS middle, round(m - 2.0 * s, 8) AS lower FROM (SELECT symbol, ts, avg(close) {_F.format(19)} AS m, stddev_pop(close) {_F.format(19)} AS s FROM h1)")
-_indicator("macd", indicators.macd, f"""SELECT symbol, ts, round(w.f - w.s, 8) AS macd, round(w.g, 8) AS signal, round(w.f - w.s - w.g, 8) AS histogram FROM (SELECT symbol, ts, list_reduce(list_transform(f, lambda x: struct_pack(f := x, s := x, g := 0.0::DOUBLE)), lambda acc, x: struct_pack(
- f := acc.f + (2.0::DOUBLE / 13) * (x.f - acc.f), s := acc.s + (2.0::DOUBLE / 27) * (x.s - acc.s), g := acc.g + (2.0::DOUBLE / 10) * ((acc.f + (2.0::DOUBLE / 13) * (x.f - acc.f)) - (acc.s + (2.0::DOUBLE / 27) * (x.s - acc.s)) - acc.g))) AS w FROM (SELECT symbol, ts, list(close) {_FOLD} AS f FROM h1))""")
+_MACD = """SELECT symbol, ts, round(w.f - w.s, 8) AS macd, round(w.g, 8) AS signal, round(w.f - w.s - w.g, 8) AS histogram FROM (SELECT symbol, ts, list_reduce(list_transform(f, lambda x: struct_pack(f := x, s := x, g := 0.0::DOUBLE)), lambda acc, x: struct_pack(
+ f := acc.f + ({fast}) * (x.f - acc.f), s := acc.s + ({slow}) * (x.s - acc.s), g := acc.g + ({signal}) * ((acc.f + ({fast}) * (x.f - acc.f)) - (acc.s + ({slow}) * (x.s - acc.s)) - acc.g))) AS w FROM (SELECT symbol, ts, list(close) {fold} AS f FROM h1))"""
+_indicator("macd", indicators.macd, _MACD.format(fast="2.0::DOUBLE / 13", slow="2.0::DOUBLE / 27", signal="2.0::DOUBLE / 10", fold=_FOLD))
+query("ind_macd_parameters", _MACD.format(fast="2.0::DOUBLE / 6", slow="2.0::DOUBLE / 11", signal="2.0::DOUBLE / 10", fold=_FOLD))(
+    # short and long periods as given, one as text; a signal period that is no whole number has its default
+    lambda spark, sf_dir: indicators.values(hourly(spark, sf_dir), "MACD", shortPeriod=5, longPeriod="10", signalPeriod="3.5").select("symbol", "ts", *(F.col("extra_values")[o].alias(o) for o in ("macd", "signal", "histogram")))
+)
 _indicator("stoch", indicators.stochastic, f"SELECT symbol, ts, k, k AS d FROM (SELECT symbol, ts, CASE WHEN hh <> ll THEN round((close - ll) / (hh - ll) * 100, 8) END AS k FROM (SELECT *, min(low) {_F.format(13)} AS ll, max(high) {_F.format(13)} AS hh FROM h1))")
 _indicator("momentum", indicators.momentum, f"SELECT symbol, ts, CASE WHEN p <> 0 THEN round((close - p) / p * 100, 8) END AS value FROM (SELECT *, first(close) {_F.format(10)} AS p FROM h1)")
 _indicator("sma_strict", indicators.sma_strict, f"SELECT symbol, ts, CASE WHEN n >= 20 THEN round(s / 20, 8) END::DOUBLE AS value FROM (SELECT symbol, ts, count(*) {_F.format(19)} AS n, (sum(close::DECIMAL(20, 8)) {_F.format(19)})::DOUBLE AS s FROM h1)")

@@ -82,10 +82,10 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", exchange.masked(F.col("c_name")).alias("masked"))
 
 
-@query("subscription_fanout", WITH + "SELECT symbol, ts, c_custkey AS user_id FROM h1 JOIN customer ON symbol = ['click', 'view', 'error', 'none'][1 + c_custkey % 4] WHERE c_nationkey = 7")
+@query("subscription_fanout", WITH + "SELECT symbol, ts, c_custkey AS user_id FROM h1 JOIN customer ON symbol = ['click', 'view', 'error', 'none'][1 + c_custkey % 4] WHERE c_acctbal > 0")
 def _(spark, sf_dir):
     names = F.element_at(F.array(*map(F.lit, ("click", "view", "error", "none"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    subs = table(spark, sf_dir, "customer").select(names.alias("symbol"), F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") == 7).cast("int").alias("enabled"))
+    subs = table(spark, sf_dir, "customer").select(names.alias("symbol"), F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") > 0).cast("int").alias("enabled"))
     return dims.fanned_out(hourly(spark, sf_dir).select("symbol", "ts"), subs, ["symbol"])
 
 
@@ -125,9 +125,9 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("strategy_id")).join(s, "strategy_id", "left").select("strategy_id", F.coalesce("s", F.lit("FLAT")).alias("side"), F.coalesce("q", F.lit(0.0)).alias("qty"))
 
 
-@query("strategy_fanout", WITH + f"SELECT symbol, bar_time, strategy_id FROM (SELECT symbol, ts + INTERVAL 1 HOUR AS bar_time FROM h1 WHERE ts < '2024-01-03') JOIN (SELECT c_custkey AS strategy_id, ['click', 'view', 'error'][1 + c_custkey % 3] AS symbol FROM customer WHERE c_acctbal > 5000) USING (symbol)")
+@query("strategy_fanout", WITH + f"SELECT symbol, bar_time, strategy_id FROM (SELECT symbol, ts + INTERVAL 1 HOUR AS bar_time FROM h1) JOIN (SELECT c_custkey AS strategy_id, ['click', 'view', 'error'][1 + c_custkey % 3] AS symbol FROM customer WHERE c_acctbal > 5000) USING (symbol)")
 def _(spark, sf_dir):
-    bars = scan.series(hourly(spark, sf_dir), 3_600_000, most=10**9).filter("ts < timestamp'2024-01-03'").select("symbol", "bar_time")
+    bars = scan.series(hourly(spark, sf_dir), 3_600_000, most=10**9).select("symbol", "bar_time")
     names = F.element_at(F.array(*map(F.lit, ("click", "view", "error"))), (F.col("c_custkey") % 3 + 1).cast("int"))
     return dims.fanned_out(bars, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("strategy_id"), names.alias("symbol"), (F.col("c_acctbal") > 5000).cast("int").alias("enabled")), ["symbol"])
 

@@ -24,10 +24,10 @@ def query(name: str, sql: str):
     return add
 
 
-@query("pair_info", "SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 49")
+@query("pair_info", "SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey")
 def _(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    return t("lineitem").filter("l_quantity > 49").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("l_orderkey", "l_linenumber", "p_name", "s_name")
+    return t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("l_orderkey", "l_linenumber", "p_name", "s_name")
 
 
 @query("symbol_set_diff", "SELECT o_custkey, o_orderpriority, CASE WHEN bool_or(o_orderkey % 2 = 0) THEN 'removed' ELSE 'added' END AS change FROM orders GROUP BY 1, 2 HAVING bool_or(o_orderkey % 2 = 0) <> bool_or(o_orderkey % 2 = 1)")

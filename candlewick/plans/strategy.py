@@ -16,10 +16,10 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 #: Signals and context rows, in SQL; the same rules as in signals() and context().
-_SIG = """, sig AS (SELECT event_id AS intent_id, event_type AS symbol, ts AS received_at, ['BUY', 'SELL', 'FLAT', 'REVERSE'][1 + event_id % 4] AS direction, CASE WHEN event_id % 3 = 0 THEN 'CONSUMED' ELSE 'ACTIVE' END AS status, ts + INTERVAL 2 HOUR AS expired_at, value AS price FROM events WHERE event_id % 5 IN (0, 1)),
+_SIG = """, sig AS (SELECT event_id AS intent_id, event_type AS symbol, ts AS received_at, ['BUY', 'SELL', 'FLAT', 'REVERSE'][1 + event_id % 4] AS direction, CASE WHEN event_id % 3 = 0 THEN 'CONSUMED' ELSE 'ACTIVE' END AS status, ts + INTERVAL 12 HOUR AS expired_at, value AS price, event_id // 12 % 24 AS strategy_id FROM events),
 ind AS (SELECT symbol, ts, CASE WHEN count(*) OVER w >= 20 THEN round(sum(close::DECIMAL(20, 8)) OVER w::DOUBLE / 20, 8) END::DOUBLE AS v FROM h1 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 c0 AS (SELECT symbol, ts + INTERVAL 1 HOUR AS bar_time, hour(ts) AS h, open, high, low, close, volume, v FROM h1 JOIN ind USING (symbol, ts)),
-c1 AS (SELECT c0.*, intent_id, direction, status, received_at, expired_at FROM c0 ASOF LEFT JOIN sig ON c0.symbol = sig.symbol AND c0.bar_time >= sig.received_at),
+c1 AS (SELECT c0.*, intent_id, direction, status, received_at, expired_at FROM c0 ASOF LEFT JOIN (SELECT * FROM sig WHERE status = 'ACTIVE') sig ON c0.symbol = sig.symbol AND c0.h = sig.strategy_id AND c0.bar_time >= sig.received_at),
 ctx AS (SELECT symbol, bar_time, h AS strategy_id, CASE symbol WHEN 'click' THEN 'SIGNAL_DRIVEN' WHEN 'view' THEN 'INDICATOR_DRIVEN' WHEN 'error' THEN 'OTHER' ELSE 'HYBRID' END AS strategy_type, ['SIGNAL', 'INDICATOR', 'BAR', 'PRICE'][1 + h % 4] AS trigger_type,
  open AS bar_open, high AS bar_high, low AS bar_low, close AS bar_close, volume AS bar_volume, 'SMA' AS ind_code, v AS ind_value, CASE WHEN h % 7 = 0 THEN 0.0::DOUBLE WHEN h % 7 = 1 THEN NULL ELSE close END AS px_last,
  intent_id AS sig_intent_id, direction AS sig_direction, status AS sig_status, received_at AS sig_received_at, expired_at AS sig_expired_at, coalesce(status = 'ACTIVE' AND expired_at > bar_time, false) AS sig_valid,
@@ -40,24 +40,25 @@ def query(name: str, sql: str | None = None):
 
 
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals: (intent_id, symbol, received_at, direction, status, expired_at, price)."""
-    e = table(spark, sf_dir, "events").filter("event_id % 5 in (0, 1)")
+    """Signals: (intent_id, symbol, received_at, direction, status, expired_at, price, strategy_id), one for each event."""
+    e = table(spark, sf_dir, "events")
     names = F.array(*map(F.lit, ("BUY", "SELL", "FLAT", "REVERSE")))
-    return e.select(F.col("event_id").alias("intent_id"), F.col("event_type").alias("symbol"), F.col("ts").alias("received_at"), F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("direction"), F.when(F.col("event_id") % 3 == 0, "CONSUMED").otherwise("ACTIVE").alias("status"), plus_ms(F.col("ts"), 7_200_000).alias("expired_at"), F.col("value").alias("price"))
+    return e.select(F.col("event_id").alias("intent_id"), F.col("event_type").alias("symbol"), F.col("ts").alias("received_at"), F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("direction"), F.when(F.col("event_id") % 3 == 0, "CONSUMED").otherwise("ACTIVE").alias("status"), plus_ms(F.col("ts"), 43_200_000).alias("expired_at"), F.col("value").alias("price"), F.expr("event_id div 12 % 24").alias("strategy_id"))
 
 
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One context row for each hourly bar: as-of signal, indicator, state, parameters."""
     bars = hourly(spark, sf_dir)
-    with_ind = bars.join(indicators.sma_strict(bars).withColumnRenamed("value", "v"), ["symbol", "ts"])
-    rows = with_ind.withColumn("bar_time", plus_ms(F.col("ts"), TIMEFRAMES["1h"])).withColumn("h", F.hour("ts"))
-    sig = intents(spark, sf_dir).select("symbol", "received_at", F.struct("received_at", "intent_id", "direction", "status", "expired_at").alias("sig"))
-    rows = decisions.as_of(rows, sig, ["symbol"], "bar_time", "received_at", "sig")
+    with_ind = bars.withColumn("v", indicators.strict_average())
+    rows = with_ind.withColumn("bar_time", plus_ms(F.col("ts"), TIMEFRAMES["1h"])).withColumn("h", F.hour("ts").cast("long")).withColumn("strategy_id", F.col("h"))
+    # the latest active one of a strategy's own: consumed ones don't hide those before them
+    sig = intents(spark, sf_dir).filter("status = 'ACTIVE'").select("symbol", "strategy_id", "received_at", F.struct("received_at", "intent_id", "direction", "status", "expired_at").alias("sig"))
+    rows = decisions.as_of(rows, sig, ["symbol", "strategy_id"], "bar_time", "received_at", "sig")
     h = F.col("h")
     pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (h % len(xs) + 1).cast("int"))
     kind = F.when(F.col("symbol") == "click", "SIGNAL_DRIVEN").when(F.col("symbol") == "view", "INDICATOR_DRIVEN").when(F.col("symbol") == "error", "OTHER").otherwise("HYBRID")
     out = rows.select(
-        "symbol", "bar_time", h.cast("long").alias("strategy_id"), kind.alias("strategy_type"), pick("SIGNAL", "INDICATOR", "BAR", "PRICE").alias("trigger_type"), *(F.col(c).alias(f"bar_{c}") for c in ("open", "high", "low", "close", "volume")),
+        "symbol", "bar_time", "strategy_id", kind.alias("strategy_type"), pick("SIGNAL", "INDICATOR", "BAR", "PRICE").alias("trigger_type"), *(F.col(c).alias(f"bar_{c}") for c in ("open", "high", "low", "close", "volume")),
         F.lit("SMA").alias("ind_code"), F.col("v").alias("ind_value"), F.lit(None).cast("map<string,double>").alias("ind_extra"), F.when(h % 7 == 0, F.lit(0.0)).when(h % 7 != 1, F.col("close")).alias("px_last"),
         F.col("sig.intent_id").alias("sig_intent_id"), F.col("sig.direction").alias("sig_direction"), F.col("sig.status").alias("sig_status"), F.col("sig.received_at").alias("sig_received_at"), F.col("sig.expired_at").alias("sig_expired_at"),
         F.when(h != 23, pick("FLAT", "LONG", "SHORT")).alias("state_side"), (h % 5).cast("double").alias("state_qty"), F.col("open").alias("state_entry"), F.when(h != 22, F.lit(10000.0)).alias("param_capital"), F.when(h == 21, F.lit(1.0001)).when(h == 20, F.lit(0.0)).otherwise(F.lit(0.25)).alias("param_ratio"), F.lit(0.05).alias("param_stop_loss"),
@@ -95,7 +96,7 @@ TREES: dict[str, tuple[dict, str]] = {
     "cond_factor_vs_factor": ({"rules": [{"factor": "BAR.CLOSE", "operator": "GT", "value": "IND.SMA", "nullable": True}]}, "CASE WHEN ind_value IS NULL THEN 'BLOCKED' WHEN bar_close > ind_value THEN 'PASSED' ELSE 'FAILED' END"),
     "cond_ops": ({"mode": "ANY", "rules": [{"factor": "BAR.CLOSE", "operator": "LTE", "value": "20.5"}, {"factor": "STATE.POSITION_QTY", "operator": "EQ", "value": 3}, {"factor": "BAR.OPEN", "operator": "NEQ", "value": "BAR.CLOSE"}, {"factor": "BAR.OPEN", "operator": "BETWEEN", "value": 5}]}, "CASE WHEN bar_close <= 20.5 OR state_qty = 3 OR bar_open <> bar_close THEN 'PASSED' ELSE 'BLOCKED' END"),
     "cond_string_ops": ({"rules": [{"factor": "SIG.DIRECTION", "operator": "STARTS_WITH", "value": "B", "type": "STRING", "nullable": True}, {"factor": "SIG.DIRECTION", "operator": "CONTAINS", "value": "U", "type": "STRING", "nullable": True}, {"factor": "SIG.DIRECTION", "operator": "ENDS_WITH", "value": "Y", "type": "STRING", "nullable": True}]}, "CASE WHEN sig_valid AND sig_direction = 'BUY' THEN 'PASSED' ELSE 'FAILED' END"),
-    "cond_coercion": ({"mode": "ANY", "rules": [{"factor": "STATE.POSITION_QTY", "operator": "GT", "value": " 3", "type": "STRING", "nullable": True}, {"factor": "STATE.POSITION_SIDE", "operator": "EQ", "value": 1}]}, "CASE WHEN state_qty > 3 THEN 'PASSED' ELSE 'BLOCKED' END"),
+    "cond_coercion": ({"mode": "ANY", "rules": [{"factor": "STATE.POSITION_QTY", "operator": "GT", "value": "3.0", "type": "STRING", "nullable": True}, {"factor": "STATE.POSITION_SIDE", "operator": "EQ", "value": 1}]}, "CASE WHEN state_qty > 3 THEN 'PASSED' ELSE 'BLOCKED' END"),
     "cond_state": ({"rules": [{"factor": "STATE.POSITION_SIDE", "operator": "EQ", "value": "LONG", "type": "STRING"}, {"factor": "BAR.LOW", "operator": "LT", "value": "STATE.STOP_LOSS_PRICE"}]}, "CASE WHEN state_side IS NULL THEN 'BLOCKED' WHEN state_side = 'LONG' AND bar_low < state_entry * (1 - param_stop_loss) THEN 'PASSED' ELSE 'FAILED' END"),
     "cond_tree": (
         {"mode": "ANY", "rules": [{"factor": "PX.LAST", "operator": "GT", "value": 50, "nullable": True}, {"factor": "IND.SMA", "operator": "GT", "value": 30}], "groups": [{"mode": "ALL", "rules": [{"factor": "SIG.INTENT_ID", "operator": "GT", "value": 500}], "groups": [{"mode": "ANY"}]}, {"rules": []}]},
@@ -125,7 +126,7 @@ _STALE = """coalesce(CASE WHEN trigger_type = 'SIGNAL' THEN CASE WHEN sig_intent
 _SANITY = "CASE WHEN coalesce(param_capital <= 0, true) THEN 'SanityGate: capital' WHEN param_ratio <= 0 THEN 'SanityGate: ratio' WHEN param_ratio > 1 THEN 'SanityGate: ratio over 1' WHEN px_last <= 0 THEN 'SanityGate: price' END"
 _KEY = """trigger_type || ':' || strategy_id || ':' || symbol || ':' || CASE trigger_type WHEN 'SIGNAL' THEN sig_intent_id::VARCHAR WHEN 'INDICATOR' THEN 'SMA:' || epoch_us(bar_time) // 1000000 WHEN 'BAR' THEN '1h:' || epoch_us(bar_time) // 1000000 ELSE 'PRICE:' || epoch_us(bar_time) // 1000000 // 5 * 5 END"""
 _GUARD = f""", g0 AS (SELECT *, coalesce({_PHASE}, {_STALE}) AS early, {_KEY} AS k FROM ctx),
-g AS (SELECT *, coalesce(early, CASE WHEN early IS NULL AND k IS NOT NULL AND row_number() OVER (PARTITION BY k, early IS NULL ORDER BY bar_time, sig_intent_id) > 1 THEN 'DedupGate: repeated' END, {_SANITY}) AS reject FROM g0)
+g AS (SELECT *, coalesce(early, CASE WHEN early IS NULL AND k IS NOT NULL AND epoch_us(bar_time) - epoch_us(lag(bar_time) OVER (PARTITION BY k, early IS NULL ORDER BY bar_time, sig_intent_id)) < 1000000::BIGINT * CASE trigger_type WHEN 'BAR' THEN 86400 WHEN 'PRICE' THEN 6 ELSE 3600 END THEN 'DedupGate: repeated' END, {_SANITY}) AS reject FROM g0)
 """
 
 
@@ -212,10 +213,10 @@ def _(spark, sf_dir):
     return intents(spark, sf_dir).orderBy(F.desc("received_at"), F.desc("intent_id")).limit(40).select("intent_id", "symbol", "received_at", "direction")
 
 
-@query("indicator_values", "SELECT symbol, ts, 'SMA' AS code, v AS value, NULL::VARCHAR AS extra FROM (SELECT symbol, ts, round(avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 8) AS v FROM h1) UNION ALL SELECT symbol, ts, 'STOCH', NULL, CASE WHEN hh <> ll THEN 'd=' || k || ',k=' || k ELSE 'd=,k=' END FROM (SELECT *, CASE WHEN hh <> ll THEN round((close - ll) / (hh - ll) * 100, 8)::DECIMAL(18, 4)::VARCHAR END AS k FROM (SELECT *, min(low) OVER w AS ll, max(high) OVER w AS hh FROM h1 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)))")
+@query("indicator_values", "SELECT symbol, ts, 'SMA' AS code, v AS value, NULL::VARCHAR AS extra FROM (SELECT symbol, ts, round(avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 8) AS v FROM h1) UNION ALL SELECT symbol, ts, 'Stochastic', NULL, CASE WHEN hh <> ll THEN 'd=' || k || ',k=' || k ELSE 'd=,k=' END FROM (SELECT *, CASE WHEN hh <> ll THEN round((close - ll) / (hh - ll) * 100, 8)::DECIMAL(18, 4)::VARCHAR END AS k FROM (SELECT *, min(low) OVER w AS ll, max(high) OVER w AS hh FROM h1 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)))")
 def _(spark, sf_dir):
     bars = hourly(spark, sf_dir)
-    both = indicators.values(bars, "SMA", period="20").unionByName(indicators.values(bars, "STOCH", period="x"))
+    both = indicators.values(bars, "SMA", period="20").unionByName(indicators.values(bars, "Stochastic", kPeriod="x"))
     pairs = F.array_sort(F.transform(F.map_entries("extra_values"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"].cast("decimal(18,4)").cast("string"), F.lit("")))))
     return both.select("symbol", "ts", "code", "value", F.array_join(pairs, ",").alias("extra"))
 

@@ -18,14 +18,14 @@ def candles(messages: DataFrame, message: str = "message", received: str = "rece
     """One-minute bars from candle messages ({arg: {instId}, data: [[ms, o, h, l, c, volume, .., .., confirm]]}).
 
     Confirmed candles stay, and those not confirmed in their last second (59 to 60 seconds old when received);
-    invalid and flat ones go. is_final is false: only the store knows.
+    invalid and flat ones go, and those with a number that doesn't parse. is_final is false: only the store knows.
     """
     rows = messages.filter(is_data(message)).select("*", F.get_json_object(message, "$.arg.instId").alias("symbol"), F.explode(F.from_json(F.get_json_object(message, "$.data"), "array<array<string>>")).alias("c"))
     at = lambda i: F.get("c", F.lit(i))
-    opened = F.timestamp_millis(at(0).cast("long"))
-    rows = rows.select("symbol", align(opened, 60_000).alias("ts"), *(at(i).cast("double").alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)), at(8).alias("confirm"), F.col(received).alias("received"))
+    opened = F.timestamp_millis(at(0).try_cast("long"))
+    rows = rows.select("symbol", align(opened, 60_000).alias("ts"), *(at(i).try_cast("double").alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)), at(8).alias("confirm"), F.col(received).alias("received"))
     age = F.unix_seconds("received") - F.unix_seconds("ts")
-    kept = rows.filter((F.coalesce(F.col("confirm") == "1", F.lit(False)) | age.between(59, 59)) & valid() & ~flat())
+    kept = rows.filter((F.coalesce(F.col("confirm") == "1", F.lit(False)) | age.between(59, 59)) & valid() & ~flat() & F.col("ts").isNotNull() & F.col("volume").isNotNull())
     return kept.select("symbol", "ts", plus_ms(F.col("ts"), 60_000).alias("close_time"), "open", "high", "low", "close", "volume", F.lit(False).alias("is_final"))
 
 

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, symbol, ts, price, volume) from events."""
-    volume = F.get_json_object("props", "$.k").cast("double")
+    volume = F.get_json_object("props", "$.k").try_cast("double")
     return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), volume.alias("volume"))
 
 
@@ -25,11 +25,16 @@ def minute_bars(ticks_: DataFrame) -> DataFrame:
     """One-minute bars (symbol, ts, open, high, low, close, volume) of ticks, in event time."""
     bucket = align(F.col("ts"), 60_000).alias("minute")
     bars = ticks_.groupBy("symbol", bucket).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume")
+        F.min_by("price", F.struct("ts", "event_id")).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", F.struct("ts", "event_id")).alias("close"), F.sum("volume").alias("volume")
     )
     return bars.withColumnRenamed("minute", "ts")
 
 
-def bars_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-minute bars of all symbols."""
-    return minute_bars(ticks(spark, sf_dir))
+def bars_1m(spark: SparkSession, sf_dir: str, begin: str | None = None, end: str | None = None) -> DataFrame:
+    """One-minute bars of all symbols; those of whole minutes from ``begin`` to before ``end`` need ticks of that time alone, which the scan then reads."""
+    found = ticks(spark, sf_dir)
+    if begin is not None:
+        found = found.filter(F.col("ts") >= F.lit(begin).cast("timestamp"))
+    if end is not None:
+        found = found.filter(F.col("ts") < F.lit(end).cast("timestamp"))
+    return minute_bars(found)

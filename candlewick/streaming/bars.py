@@ -20,7 +20,7 @@ def windowed(ticks: DataFrame, tf: str = "5m", delay: str = "10 minutes", waterm
     """Bars (symbol, ts, open, high, low, close, volume, source_count) of a stream of ticks, each written when its window closes."""
     rows = ticks if watermarked else ticks.withWatermark("ts", delay)
     span = F.window("ts", f"{TIMEFRAMES[tf] // 1000} seconds")
-    bars = rows.groupBy("symbol", span.alias("w")).agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume"), F.count("*").cast("int").alias("source_count"))
+    bars = rows.groupBy("symbol", span.alias("w")).agg(F.min_by("price", F.struct("ts", "event_id")).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", F.struct("ts", "event_id")).alias("close"), F.sum("volume").alias("volume"), F.count("*").cast("int").alias("source_count"))
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "source_count")
 
 

@@ -94,3 +94,20 @@ def test_intervals():
             timegrid.duration_ms(bad)
     with pytest.raises(ValueError):
         timegrid.supported("2m")
+
+
+def test_bars_of_other_intervals_are_ignored(spark):
+    from candlewick.operators import rollup
+
+    rows = spark.createDataFrame([("a", 0, "1m"), ("a", 60, "1m"), ("a", 120, "5m")], "symbol string, s long, interval string")
+    bars = rows.selectExpr("symbol", "timestamp_seconds(s) AS ts", "1D AS open", "1D AS high", "1D AS low", "1D AS close", "1D AS volume", "interval")
+    assert [r.source_count for r in rollup.rollup(bars, {"5m": 300_000}).collect()] == [2]
+
+
+def test_malformed_candles_go(spark):
+    from candlewick.sources import exchange
+
+    good = '["60000","1","3","0.5","2","7","0","0","1"]'
+    text = ['{"arg":{"instId":"X"},"data":[%s]}' % c for c in (good, good.replace('"1","3"', '"","3"'), good.replace('"60000"', '"soon"'), good.replace('"2","7"', '"NaN?","7"'))]
+    rows = spark.createDataFrame([(t,) for t in text], "message string").selectExpr("message", "timestamp_seconds(90) AS received")
+    assert [(r.symbol, r.close) for r in exchange.candles(rows).collect()] == [("X", 2.0)]

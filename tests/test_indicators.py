@@ -83,3 +83,19 @@ def test_values_and_fingerprint(spark):
     make = lambda *kv: ind.fingerprint(F.lit("RSI"), F.lit("v1"), F.create_map(*map(F.lit, kv)), F.lit("e"))
     a, b, c = spark.range(1).select(make("b", "2", "a", "1"), make("a", "1", "b", "2"), F.sha2(F.lit("RSI:v1:a=1,b=2:e"), 256)).first()
     assert a == b == c
+
+
+def test_registry_names():
+    assert ind.parameters("MACD", {"shortPeriod": "5", "longPeriod": 10, "signalPeriod": "3.5"}) == {"shortPeriod": 5, "longPeriod": 10, "signalPeriod": 9}
+    assert ind.parameters("Stochastic", {"kPeriod": "x", "dPeriod": None}) == {"kPeriod": 14, "dPeriod": 3}
+    assert ind.parameters("BOLL", {"deviation": "2.5"}) == {"period": 20, "deviation": 2.5}
+
+
+def test_registry_keys(spark):
+    bars = spark.createDataFrame([("a", i, 1.0 * i, 2.0 * i + 1, 0.5 * i, 1.5 * i, 1.0) for i in range(8)], "symbol string, ts int, open double, high double, low double, close double, volume double")
+    last = lambda *a, **b: ind.values(bars, *a, **b).orderBy(ind.F.desc("ts")).first()
+    assert last("Stochastic", kPeriod=3).extra_values["k"] is not None and last("Momentum", period=2).value is not None
+    assert last("SMA", period=4).value == last("SMA", engine="custom", period=4).value and last("SMA", engine="custom").value is None
+    for odd in ({"code": "STOCH"}, {"code": "SMA", "version": "v2"}, {"code": "SMA", "engine": "none"}, {"code": "KDJ"}):
+        row = last(**odd)
+        assert row.value is None and row.extra_values is None

@@ -99,3 +99,36 @@ def test_guards(spark):
     twice = rows.filter("i = 7").unionByName(rows.filter("i = 7").withColumn("bar_time", F.col("bar_time")).withColumn("sig_intent_id", F.lit(8).cast("long")))
     # the key is taken even by a row that sanity rejects
     assert sorted(r.reject for r in decisions.guarded(twice, "bar_time").collect()) == ["DedupGate: repeated", "SanityGate: ratio"]
+
+
+@pytest.mark.parametrize("text", ["nan", "NaN", "inf", "-Infinity", "1_0", " 3", "3 ", "", "0x1", "1e", "٣", float("nan"), float("inf")])
+def test_what_is_no_decimal_is_blocked(spark, text):
+    assert state(spark, {"rules": [{"factor": "BAR.CLOSE", "operator": "NEQ", "value": text}]}) == "BLOCKED"
+
+
+def test_decimal_literals(spark):
+    assert [state(spark, {"rules": [{"factor": "BAR.CLOSE", "operator": "GT", "value": v}]}) for v in ("1.50", "+1", "-.5", "1e1", "3.", 1)] == ["PASSED"] * 6
+    assert state(spark, {"rules": [{"factor": "SIG.DIRECTION", "operator": "NEQ", "value": 1}]}, sig_direction="NaN") == "BLOCKED"
+
+
+def test_keys_of_triggers_expire(spark):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for kind, ttl in (("SIGNAL", 3600), ("INDICATOR", 3600), ("BAR", 86_400)):
+        times = [0, 10, ttl - 1, ttl, ttl + 5, 2 * ttl - 1, 2 * ttl, 9 * ttl]
+        want, last = [], None
+        for t in times:  # in plain words: held from when it was taken, not from when it was last asked for
+            taken = last is None or t - last >= ttl
+            last = t if taken else last
+            want.append(None if taken else "DedupGate: repeated")
+        rows = frame(spark, *({"trigger_type": kind} for _ in times)).coalesce(1).withColumn("i", F.monotonically_increasing_id())
+        at = F.element_at(F.array(*map(F.lit, times)), (F.col("i") + 1).cast("int")) + 10**6
+        rows = rows.withColumn("now", F.timestamp_seconds(at)).withColumn("bar_time", F.timestamp_seconds(F.lit(5))).withColumn("sig_received_at", F.col("now"))
+        rows = rows.withColumn("strategy_id", F.lit(1).cast("long")).withColumn("symbol", F.lit("x"))
+        assert [r.reject for r in decisions.guarded(rows, "now").orderBy("i").collect()] == want
+
+
+def test_as_of_takes_the_last_before(spark):
+    left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, t int")
+    right = spark.createDataFrame([("a", 2, 1), ("a", 5, 2), ("a", 5, 3), ("c", 1, 4)], "k string, t int, v int").select("k", F.col("t").alias("at"), F.struct("v").alias("x"))
+    got = {(r.k, r.t): r.x and r.x.v for r in decisions.as_of(left, right, ["k"], "t", "at", "x").collect()}
+    assert got == {("a", 5): 3, ("a", 1): None, ("b", 9): None}

@@ -10,7 +10,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm.common import documents, map_texts, texts
+from candlewick.llm.common import documents, durable, map_texts, slices, small_batches, texts
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID = 0x0000, 0x1000, 0x0100
@@ -120,15 +120,41 @@ def demultiplex(stream: bytes) -> Stream:
     """Parse a transport stream: tables, continuity, elementary packets with timestamps and random-access points.
 
     Packets without the sync byte, sections with a wrong CRC and elementary packets cut short count as bad and
-    are left out; a step of a continuity counter other than one (or a plain repeat) counts as a gap.
+    are left out; a step of a continuity counter other than one (or a plain repeat) counts as a gap. A table's
+    sections may span packets and may follow each other in one; what a gap cuts is bad.
     """
     programs: dict[int, int] = {}
     streams: dict[int, int] = {}
     units: list[AccessUnit] = []
     last: dict[int, int] = {}
     open_: dict[int, tuple[list[bytes], bool]] = {}
+    partial: dict[int, bytes] = {}
     gaps = bad = 0
 
+    def table(pid: int, section: bytes) -> None:
+        nonlocal bad
+        if len(section) < 12 or section_crc(section):
+            bad += 1
+        elif pid == PAT_PID:
+            for i in range(8, len(section) - 4, 4):
+                if number := int.from_bytes(section[i : i + 2], "big"):
+                    programs[number] = int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF
+        else:
+            i = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
+            while i < len(section) - 4:
+                streams[int.from_bytes(section[i + 1 : i + 3], "big") & 0x1FFF] = section[i]
+                i += 5 + (int.from_bytes(section[i + 3 : i + 5], "big") & 0xFFF)
+
+    def complete(pid: int, data: bytes) -> bytes:
+        """Read the whole sections at the front of ``data``; return the beginning of one that goes on."""
+        while data and data[0] != 0xFF:  # stuffing follows the last section
+            size = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)
+            if len(data) < max(size, 3):
+                return data
+            table(pid, data[:size])
+            data = data[size:]
+        return b""
+
     def close(pid: int) -> None:
         nonlocal bad
         parts, random_access = open_.pop(pid)
@@ -158,27 +184,27 @@ def demultiplex(stream: bytes) -> Stream:
             begin += 1 + size
         if not b3 & 0x10:
             continue
-        counter, was = b3 & 15, last.get(pid)
+        counter, was, gap = b3 & 15, last.get(pid), False
         last[pid] = counter
         if was is not None and not cut and counter != was + 1 & 15:
             if counter == was:
                 continue  # a repeated packet
+            gap = True
             gaps += 1
         end = at + PACKET
         if pid == PAT_PID or pid in programs.values():
-            section = stream[begin + 1 + stream[begin] : end] if start else b""
-            section = section[: 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)]
-            if len(section) < 12 or section_crc(section):
+            body, before = stream[begin:end], partial.pop(pid, b"")
+            if start and gap and before:
+                before, bad = b"", bad + 1
+            if start:
+                pointer = body[0] if body else 0
+                if before and complete(pid, before + body[1 : 1 + pointer]):
+                    bad += 1  # the section before ended too early
+                partial[pid] = complete(pid, body[1 + pointer :])
+            elif before and not gap:
+                partial[pid] = complete(pid, before + body)
+            elif before:
                 bad += 1
-            elif pid == PAT_PID:
-                for i in range(8, len(section) - 4, 4):
-                    if number := int.from_bytes(section[i : i + 2], "big"):
-                        programs[number] = int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF
-            else:
-                i = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
-                while i < len(section) - 4:
-                    streams[int.from_bytes(section[i + 1 : i + 3], "big") & 0x1FFF] = section[i]
-                    i += 5 + (int.from_bytes(section[i + 3 : i + 5], "big") & 0xFFF)
         elif pid in streams:
             if start:
                 if pid in open_:
@@ -188,6 +214,7 @@ def demultiplex(stream: bytes) -> Stream:
                 open_[pid][0].append(stream[begin:end])
     for pid in list(open_):
         close(pid)
+    bad += sum(1 for rest in partial.values() if rest)
     return Stream(programs, streams, units, count, gaps, bad)
 
 
@@ -212,15 +239,16 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 def access_units(media: DataFrame) -> DataFrame:
     """(doc_id, pid, unit, pts, random_access, data) of a media table, one row for each elementary packet."""
+    schema = pa.schema([("doc_id", pa.int64()), ("pid", pa.int64()), ("unit", pa.int64()), ("pts", pa.int64()), ("random_access", pa.bool_()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("pid", pa.int64()), ("unit", pa.int64()), ("pts", pa.int64()), ("random_access", pa.bool_()), ("data", pa.binary())])
         for batch in batches:
-            for doc, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                units = demultiplex(stream or b"").units
-                yield pa.RecordBatch.from_pylist([{"doc_id": doc, "pid": u.pid, "unit": i, "pts": u.pts, "random_access": u.random_access, "data": u.data} for i, u in enumerate(units)], schema)
+            for part in slices(batch, "media"):
+                for doc, stream in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    units = demultiplex(stream.as_py() or b"").units
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "pid": u.pid, "unit": i, "pts": u.pts, "random_access": u.random_access, "data": u.data} for i, u in enumerate(units)], schema)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, pid long, unit long, pts long, random_access boolean, data binary")
+    return small_batches(media).select("doc_id", "media").mapInArrow(run, "doc_id long, pid long, unit long, pts long, random_access boolean, data binary")
 
 
 def feature(stream: Stream) -> str:
@@ -231,31 +259,37 @@ def feature(stream: Stream) -> str:
     return f"programs={len(stream.programs)};streams={pids};packets={stream.packets};units={len(stream.units)};pts={min(times, default='')}-{max(times, default='')};random_access={points};gaps={stream.gaps};bad={stream.bad}"
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """One row a document: sizes and digests of what its stream holds, read back, and the stream's feature.
+def read_back(media: DataFrame) -> DataFrame:
+    """Sizes and digests of what the streams of a media table hold, and their features, one row for each of its rows."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    Null text counts as empty (64 zero bytes); equal texts have equal streams; texts of any length are held
-    whole; repeated rows and null doc_id stay; an empty table gives no rows; other columns are ignored.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "media"):
+                out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+                for cell in part.column(2):
+                    stored = cell.as_py() or b""
+                    stream = demultiplex(stored)
+                    read = b"".join(u.data for u in stream.units)
+                    row = (len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(stream))
+                    for k, v in zip(out, row, strict=True):
+                        out[k].append(v)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_bytes": part.column(1)} | out)
 
-    def make() -> Callable[[list], dict]:
-        def work(batch: list) -> dict:
-            out: dict = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for text in batch:
-                n, payload = padded(text)
-                media = multiplex(payload)
-                stream = demultiplex(media)
-                read = b"".join(u.data for u in stream.units)
-                row = (n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream))
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-            return out
+    return small_batches(media).select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
-        return work
 
-    return map_texts(texts(docs), make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def media_digests(docs: DataFrame) -> DataFrame:
+    """One row a document: sizes and digests of what its stored stream holds, and the stream's feature.
+
+    The media column is written as a table of the shared folder (which is left there) and everything but
+    n_bytes is computed from the column read again. Null text counts as empty (64 zero bytes); equal texts have
+    equal streams; texts of any length are held whole; repeated rows and null doc_id stay; an empty table gives
+    no rows; other columns are ignored.
+    """
+    return read_back(durable(media_table(docs), "media"))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a transport stream, and what can be read back from it."""
+    """Every document as a stored transport stream, and what can be read back from it."""
     return media_digests(documents(spark, sf_dir))

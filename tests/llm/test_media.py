@@ -52,3 +52,35 @@ def test_digests(spark):
     assert b"".join(u.data for u in units).rstrip(b"\0") == b"x" * 200_000 and units[4].random_access
     assert {r.doc_id: len(r.media) for r in table.collect()} == {r.doc_id: r.media_bytes for r in found}
     assert media.media_digests(df.limit(0)).collect() == []
+
+
+def test_tables_that_span_packets():
+    # a map of 60 streams (over 300 bytes) in two packets, and a second section behind the end of the first
+    entries = b"".join(bytes([0x06]) + (0xE000 | 0x200 + i).to_bytes(2, "big") + b"\xf0\x00" for i in range(60))
+    long = media._section(0x02, 1, b"\xe2\x00\xf0\x00" + entries)
+    more = media._section(0x02, 1, b"\xe2\x00\xf0\x00" + bytes([0x1B]) + (0xE000 | 0x400).to_bytes(2, "big") + b"\xf0\x00")
+
+    def packet(pid, start, counter, body):
+        return (bytes([0x47, start << 6 | pid >> 8, pid & 255, 0x10 | counter]) + body).ljust(188, b"\xff")
+
+    head = packet(0, 1, 0, media.PAT)
+    first, rest = packet(0x1000, 1, 0, b"\0" + long[:183]), long[183:]
+    second = packet(0x1000, 1, 1, bytes([len(rest)]) + rest + more)
+    want = {0x200 + i: 6 for i in range(60)}
+    assert media.demultiplex(head + first + packet(0x1000, 0, 1, rest)).streams == want
+    found = media.demultiplex(head + first + second)
+    assert found.streams == want | {0x400: 0x1B} and found.programs == {1: 0x1000} and (found.gaps, found.bad) == (0, 0)
+    lost = media.demultiplex(head + first + packet(0x1000, 0, 2, rest))
+    assert lost.streams == {} and (lost.gaps, lost.bad) == (1, 1)
+    assert media.demultiplex(head + first).bad == 1
+
+
+def test_query_reads_the_stored_column(spark, tmp_path):
+    rows = [(1, "some text " * 9000), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    table = media.media_table(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    flipped = table.selectExpr("doc_id", "n_bytes", "concat(substring(media, 1, 600), x'00', substring(media, 602)) AS media")
+    whole = {r.doc_id: r for r in media.op4_media(spark, str(tmp_path)).collect()}
+    assert {r.doc_id: r for r in media.read_back(table).collect()} == whole
+    damaged = {r.doc_id: r for r in media.read_back(flipped).collect()}
+    assert damaged[1].payload_sha256 != whole[1].payload_sha256 and damaged[1].n_bytes == whole[1].n_bytes == 90_000

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from candlewick.llm.common import documents, texts
 
 #: A leaf: a clause with the marks and the blank that end it, or what is left of the paragraph.
 LEAF = r"[^.!?,;:|]*[.!?,;:|]+ ?|[^.!?,;:|]+"
-#: Paragraphs (lines) in a section.
-SECTION = 8
+#: A section ends with a paragraph (line) whose digest begins with one of these: one in eight, wherever lines are put in or taken out.
+ENDS = ("0", "1")
 
 
 def leaves(text: Column) -> Column:
@@ -25,14 +27,20 @@ def paragraphs(tree: Column) -> Column:
     return F.transform(tree, lambda p: F.concat(F.md5(F.array_join(p, "").cast("binary")), F.lit(":"), F.array_join(F.transform(p, short), ",")))
 
 
-def fingerprint(nodes: Column) -> Column:
-    """``root/section=paragraph:leaf,leaf;paragraph:.../section=...`` from the paragraphs' nodes.
+def section_ends(nodes: Column) -> Column:
+    """Places (from 1) of the paragraphs that end a section; the last one does in any case."""
+    return F.filter(F.sequence(F.lit(1), F.size(nodes)), lambda i: (i == F.size(nodes)) | F.substring(F.element_at(nodes, i), 1, 1).isin(*ENDS))
+
+
+def fingerprint(nodes: Column, ends: Column) -> Column:
+    """``root/section=paragraph:leaf,leaf;paragraph:.../section=...`` from the paragraphs' nodes and section_ends.
 
     The root (SHA-256 of the sections' digests) tests equality; a section's digest is MD5 of its paragraphs'.
-    Where roots differ, differing sections, then paragraphs, then leaves locate the edit.
+    Where roots differ, differing sections, then paragraphs, then leaves locate the edit; see ``differences``.
+    Sections are cut by content, so that a line put in changes its own section and leaves the others as they are.
     """
-    starts = F.sequence(F.lit(1), F.size(nodes), F.lit(SECTION))
-    sections = F.transform(starts, lambda i: F.slice(nodes, i, F.lit(SECTION)))
+    begins = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+    sections = F.zip_with(begins, ends, lambda before, end: F.slice(nodes, before + 1, end - before))
     digest = lambda s: F.md5(F.array_join(F.transform(s, lambda n: F.substring(n, 1, 32)), "").cast("binary"))
     brief = lambda s: F.array_join(F.transform(s, lambda n: F.concat(F.substring(n, 1, 8), F.substring(n, 33, 2**30))), ";")
     root = F.sha2(F.array_join(F.transform(sections, digest), "").cast("binary"), 256)
@@ -40,6 +48,46 @@ def fingerprint(nodes: Column) -> Column:
     return F.concat(root, F.lit("/"), branches)
 
 
+def _surplus(rows: DataFrame, place: list[str]) -> DataFrame:
+    """Of the nodes (left_root, right_root, side, *place, digest, below), those that one side has oftener than the other, the last ones."""
+    at = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct(*place)))).alias(s)
+    beyond = lambda s, own, other: F.transform(F.slice(own, F.size(other) + 1, F.lit(2**30)), lambda x: F.struct(F.lit(s).alias("side"), *(x[p].alias(p) for p in place)))
+    grouped = rows.groupBy("left_root", "right_root", "digest").agg(F.first("below").alias("below"), at("left"), at("right"))
+    both = F.concat(beyond("left", F.col("left"), F.col("right")), beyond("right", F.col("right"), F.col("left")))
+    return grouped.select("left_root", "right_root", "below", F.explode(both).alias("at")).select("left_root", "right_root", "at.*", "below")
+
+
+def differences(pairs: DataFrame, left: str = "fingerprint", right: str = "edited_fingerprint") -> DataFrame:
+    """Locate the edits between two fingerprints: (side, section, paragraph, leaf), numbers from 0, for each differing leaf.
+
+    ``section`` counts in the document, ``paragraph`` in its section, ``leaf`` in its paragraph; ``side`` is left or
+    right. Roots are compared first: pairs of equal texts give no rows, and only what lies below differing sections
+    and paragraphs is looked at. A part differs if one side has it oftener than the other; the last ones are listed.
+    Where all parts of a differing section or paragraph stand on the other side too (which has more, or another
+    order), leaf (and paragraph) are null; sections that were only moved whole give no rows. An empty line that differs is leaf 0. A null fingerprint gives no rows;
+    repeated pairs stay, each with its rows; the other columns of ``pairs`` are kept, but those named like the
+    four give way.
+    """
+    key = ["left_root", "right_root"]
+    kept = [F.col(f"`{c}`") for c in pairs.columns if c not in ("side", "section", "paragraph", "leaf")]
+    prints = [F.col(f"`{c}`").cast("string") for c in (left, right)]
+    roots = [F.substring(p, 1, 64).alias(k) for p, k in zip(prints, key, strict=True)]
+    rows = pairs.select(F.struct(*kept).alias("kept"), *roots, *(p.alias(s) for p, s in zip(prints, ("left", "right"), strict=True))).filter("left_root <> right_root")
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("print")) for s in ("left", "right"))))
+    of_pair = rows.groupBy(*key).agg(F.first("left").alias("left"), F.first("right").alias("right")).select(*key, sides.alias("of")).select(*key, "of.*")
+
+    def below(nodes: DataFrame, parts: Column, place: list[str]) -> DataFrame:
+        opened = nodes.select(*key, "side", *place[:-1], F.posexplode(parts).alias(place[-1], "node"))
+        return _surplus(opened.select(*key, "side", *place, F.substring("node", 1, 8).alias("digest"), F.substring("node", 10, 2**30).alias("below")), place)
+
+    sections = below(of_pair, F.slice(F.split("print", "/"), 2, 2**30), ["section"])
+    paragraphs = below(sections, F.split("below", ";"), ["section", "paragraph"])
+    leaves_ = below(paragraphs, F.split("below", ","), ["section", "paragraph", "leaf"])
+    found = sections.drop("below").join(paragraphs.drop("below"), [*key, "side", "section"], "left")
+    found = found.join(leaves_.drop("below"), [*key, "side", "section", "paragraph"], "left")
+    return rows.select("kept", *key).join(found, key).select("kept.*", "side", "section", "paragraph", "leaf")
+
+
 def leaf_set(tree: Column) -> Column:
     """The distinct leaves of a document, in short, as the fingerprint holds them."""
     return F.array_distinct(F.transform(F.flatten(tree), lambda d: F.substring(d, 1, 8)))
@@ -99,8 +147,25 @@ def merkle_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     base = with_next(base, "doc_id", ["text"], buckets)
     own = base.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("edit"), leaves(F.col("text")).alias("tree"), F.col("next_text"))
     own = own.select("doc_id", "n_chars", F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), "tree", leaves(F.col("edit")).alias("edit_tree"), leaves(F.col("next_text")).alias("next_tree"))
-    own = own.select("doc_id", "n_chars", "edited_sha256", paragraphs(F.col("tree")).alias("nodes"), paragraphs(F.col("edit_tree")).alias("edit_nodes"), leaf_set(F.col("tree")).alias("a"), leaf_set(F.col("edit_tree")).alias("b"), leaf_set(F.col("next_tree")).alias("c"))
-    return own.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("nodes")).alias("fingerprint"), fingerprint(F.col("edit_nodes")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    trees = {"a": "tree", "b": "edit_tree", "c": "next_tree"}
+    own = own.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        paragraphs(F.col("tree")).alias("nodes"),
+        paragraphs(F.col("edit_tree")).alias("edit_nodes"),
+        *(leaf_set(F.col(tree)).alias(name) for name, tree in trees.items()),
+    )
+    own = own.select("*", section_ends(F.col("nodes")).alias("ends"), section_ends(F.col("edit_nodes")).alias("edit_ends"))
+    return own.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint(F.col("nodes"), F.col("ends")).alias("fingerprint"),
+        fingerprint(F.col("edit_nodes"), F.col("edit_ends")).alias("edited_fingerprint"),
+        likeness(F.col("a"), F.col("b")).alias("near_edited"),
+        likeness(F.col("a"), F.col("c")).alias("near_next"),
+    )
 
 
 def op9_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +175,11 @@ def op9_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NODES = r"""list_transform(string_split({0}, chr(10)), lambda p: list_transform(list_filter(regexp_extract_all(p, '[^.!?,;:|]*[.!?,;:|]+ ?|[^.!?,;:|]+'), lambda x: x <> ''), lambda c: md5(c)))"""
 _FINGERPRINT = """sha256(array_to_string(list_transform({0}, lambda s: s.d), '')) || '/' || array_to_string(list_transform({0}, lambda s: left(s.d, 8) || '=' || s.t), '/')"""
-_SECTIONS = """list_transform(generate_series(1, len({0}), 8), lambda i: struct_pack(d := md5(array_to_string(list_transform({0}[i:i + 7], lambda n: n[1:32]), '')), t := array_to_string(list_transform({0}[i:i + 7], lambda n: left(n, 8) || n[33:]), ';')))"""
+_ENDS = """list_filter(generate_series(1, len({0})), lambda i: i = len({0}) OR left({0}[i], 1) IN ('0', '1'))"""
+_CUT = "{0}[CASE WHEN k = 1 THEN 1 ELSE {1}[k - 1] + 1 END:{1}[k]]"
+_SECTIONS = """list_transform(generate_series(1, len({1})), lambda k: struct_pack(
+    d := md5(array_to_string(list_transform({2}, lambda n: n[1:32]), '')),
+    t := array_to_string(list_transform({2}, lambda n: left(n, 8) || n[33:]), ';')))"""
 _PARAGRAPHS = """list_transform({0}, lambda p: md5(array_to_string(p, '')) || ':' || array_to_string(list_transform(p, lambda d: left(d, 8)), ','))"""
 _LEAVES = "list_distinct(list_transform(flatten({0}), lambda d: left(d, 8)))"
 _LIKE = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({0}, {1})) / (len({0}) + len({1})) END"
@@ -120,6 +189,7 @@ n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nxt FRO
 e AS (SELECT *, left(text, length(text) - length(text) // 3) || left(nxt, length(text) // 3) AS edit FROM n),
 l AS (SELECT *, {_NODES.format("text")} AS lt, {_NODES.format("edit")} AS le, {_NODES.format("nxt")} AS ln FROM e),
 p AS (SELECT *, {_PARAGRAPHS.format("lt")} AS pt, {_PARAGRAPHS.format("le")} AS pe, {_LEAVES.format("lt")} AS a, {_LEAVES.format("le")} AS b, {_LEAVES.format("ln")} AS c FROM l),
-s AS (SELECT *, {_SECTIONS.format("pt")} AS st, {_SECTIONS.format("pe")} AS se FROM p)
+c AS (SELECT *, {_ENDS.format("pt")} AS ct, {_ENDS.format("pe")} AS ce FROM p),
+s AS (SELECT *, {_SECTIONS.format("pt", "ct", _CUT.format("pt", "ct"))} AS st, {_SECTIONS.format("pe", "ce", _CUT.format("pe", "ce"))} AS se FROM c)
 SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edit) AS edited_sha256, {_FINGERPRINT.format("st")} AS fingerprint, {_FINGERPRINT.format("se")} AS edited_fingerprint, {_LIKE.format("a", "b")} AS near_edited, {_LIKE.format("a", "c")} AS near_next FROM s
 """

@@ -17,7 +17,12 @@ def md5(text):
 
 def brute_fingerprint(text):
     nodes = [(md5("".join(leaf)), leaf) for leaf in ([md5(c) for c in CLAUSE.findall(p) if c] for p in text.split("\n"))]
-    sections = [nodes[i : i + 8] for i in range(0, len(nodes), 8)]
+    sections = [[]]
+    for node in nodes:
+        sections[-1].append(node)
+        if node[0][0] in "01":
+            sections.append([])
+    sections = [s for s in sections if s]
     digests = [md5("".join(n for n, _ in s)) for s in sections]
     branches = [d[:8] + "=" + ";".join(n[:8] + ":" + ",".join(x[:8] for x in leaf) for n, leaf in s) for d, s in zip(digests, sections, strict=True)]
     leaves = {x[:8] for _, leaf in nodes for x in leaf}
@@ -71,16 +76,63 @@ def test_one_row_and_none(spark):
     assert merkle.merkle_fingerprints(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_equal_texts_and_located_edits(spark):
-    text = "\n".join(f"line {i}, with words." for i in range(20))
-    rows = [(1, text), (2, text), (3, text.replace("line 9,", "line nine,"))]
-    prints = {r.doc_id: r.fingerprint for r in merkle.merkle_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert prints[1] == prints[2] != prints[3]
-    one, other = prints[1].split("/"), prints[3].split("/")
-    assert [i for i, (a, b) in enumerate(zip(one, other, strict=True)) if a != b] == [0, 2]  # the root and the second section
-    a, b = one[2].split("=")[1].split(";"), other[2].split("=")[1].split(";")
-    assert [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y] == [1]  # its second paragraph
-    assert [x == y for x, y in zip(a[1].split(":")[1].split(","), b[1].split(":")[1].split(","), strict=True)] == [False, True]
+def prints(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.fingerprint for r in merkle.merkle_fingerprints(df).collect()}
+
+
+def located(spark, old, new, whole=False):
+    """Differing leaves of two texts as (side, number of the paragraph in its text, leaf); with ``whole`` paragraphs and sections too."""
+    own = prints(spark, [old, new])
+    df = spark.createDataFrame([(own[0], own[1], 7, "x")], "fingerprint string, edited_fingerprint string, doc_id long, side string")
+    found = merkle.differences(df).collect()
+    lengths = {s: [b.count(";") + 1 for b in own[d].split("/")[1:]] for d, s in enumerate(("left", "right"))}
+    assert all(r.doc_id == 7 for r in found)
+    return sorted(((r.side, sum(lengths[r.side][: r.section]) + (r.paragraph or 0), r.leaf) for r in found if whole or r.leaf is not None), key=lambda at: (*at[:2], -1 if at[2] is None else at[2]))
+
+
+LINES = [f"line {i}, with words." for i in range(60)]
+
+
+def test_equal_texts_have_equal_roots_and_no_differences(spark):
+    text = "\n".join(LINES)
+    found = prints(spark, [text, text])
+    assert found[0] == found[1]
+    assert located(spark, text, text) == [] == located(spark, "", "")
+
+
+def test_edits_are_located(spark):
+    text = "\n".join(LINES)
+    assert located(spark, text, text.replace("line 9,", "line nine,")) == [("left", 9, 0), ("right", 9, 0)]
+    several = text.replace("line 9,", "line nine,").replace("line 40, with words", "line 40, with others")
+    assert located(spark, text, several) == [("left", 9, 0), ("left", 40, 1), ("right", 9, 0), ("right", 40, 1)]
+    assert located(spark, text, text + "\nand more.") == [("right", 60, 0)]
+    assert [at[0] for at in located(spark, text, text + "\nand more.", whole=True)] == ["left", "right"]  # the section that grew
+    assert located(spark, "", "a. b") == [("left", 0, 0), ("right", 0, 0), ("right", 0, 1)]
+
+
+def test_inserted_and_removed_lines_leave_other_sections(spark):
+    text = "\n".join(LINES)
+    longer = "\n".join(LINES[:3] + ["a new line."] + LINES[3:])
+    own = prints(spark, [text, longer])
+    one, other = (p.split("/")[1:] for p in (own[0], own[1]))
+    assert len(set(other) - set(one)) <= 2 < len(one) and len(set(one) - set(other)) == 1
+    assert located(spark, text, longer) == [("right", 3, 0)] and located(spark, longer, text) == [("left", 3, 0)]
+
+
+def test_moved_and_repeated_parts_are_located(spark):
+    lines = LINES[:20]
+    repeated = located(spark, "\n".join(lines), "\n".join(lines[:5] + lines[4:]))
+    assert repeated in ([("right", 5, 0)], [("right", 5, 0), ("right", 5, 1)])
+    assert located(spark, "one, two, three, ", "two, one, three, ", whole=True) == [("left", 0, None), ("right", 0, None)]
+
+
+def test_differences_of_odd_pairs(spark):
+    schema = "fingerprint string, edited_fingerprint string"
+    own = prints(spark, ["a, b", "a, c"])
+    df = spark.createDataFrame([(None, own[0]), (own[0], None), (own[0], own[1]), (own[0], own[1])], schema)
+    assert sorted(r.side for r in merkle.differences(df).collect()) == ["left", "left", "right", "right"]
+    assert merkle.differences(df.limit(0)).collect() == []
 
 
 def test_matches_sql(spark, tmp_path):

@@ -16,6 +16,11 @@ def with_rules(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.join(rules, "pair_id", "left")
 
 
+def with_pair(tasks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All tasks or configurations, with the columns of their pair; nulls where the pair is unknown."""
+    return tasks.join(pairs, "pair_id", "left")
+
+
 def resolved(names: DataFrame, exact: DataFrame, standard: DataFrame) -> DataFrame:
     """Add pair_id to (name): by the exchange's name, else by the standard symbol without a suffix."""
     base = F.regexp_replace("name", "-(SWAP|FUTURES)$", "")

@@ -33,6 +33,15 @@ def fresh(incoming: DataFrame, stored: DataFrame, keys: list[str], arrival: str
     return new.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
 
 
+def system_definitions(incoming: DataFrame, stored: DataFrame, arrival: str) -> DataFrame:
+    """Definitions (code, version, ...) that the system lacks, as its own: user_id is 0, whatever the rows say.
+
+    A stored definition is never changed, and other users' with the same code and version don't count.
+    """
+    own = incoming.withColumn("user_id", F.lit(0).cast("long"))
+    return fresh(own, stored.filter("user_id = 0"), ["user_id", "code", "version"], arrival)
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of both by key; values are those of ``new`` where it has the key, but for ``keep`` columns those of ``old``."""
     values = [c for c in old.columns if c not in keys]

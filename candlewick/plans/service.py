@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import MINUTE, align, plain, plus_ms
-from candlewick.operators import checks, indicators, rollup, signals
+from candlewick.operators import checks, dims, indicators, rollup, signals
 from candlewick.plans.market import BEGIN, END, WITH, hourly
 from candlewick.sources.tables import bars_1m, table, ticks
 
@@ -44,6 +44,25 @@ def _(spark, sf_dir):
     return signals.page(rows, [F.col("o_orderdate"), F.col("o_orderkey")], page=2, size=30)
 
 
+@query("tasks_with_pair", "SELECT o_orderkey, o_orderdate, o_custkey AS pair_id, c_name AS symbol, c_mktsegment AS market FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")
+def _(spark, sf_dir):
+    tasks = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.col("o_custkey").alias("pair_id"))
+    pairs = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
+    return dims.with_pair(tasks, pairs.select(F.col("c_custkey").alias("pair_id"), F.col("c_name").alias("symbol"), F.col("c_mktsegment").alias("market")))
+
+
+_DEFINITIONS = """WITH d AS (SELECT c_custkey AS id, c_mktsegment AS code, c_nationkey AS version, c_acctbal < 0 AS stored FROM customer)
+SELECT 0::BIGINT AS user_id, code, version, min(id) AS id FROM d GROUP BY code, version HAVING NOT bool_or(stored)"""
+
+
+@query("system_definitions", _DEFINITIONS)
+def _(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    all_ = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("code"), F.col("c_nationkey").alias("version"), F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") < 0).alias("stored"))
+    kept = all_.filter("stored").withColumn("user_id", F.lit(0).cast("long"))
+    return signals.system_definitions(all_, kept, "id").select("user_id", "code", "version", "id")
+
+
 @query("task_log_page", "SELECT o_orderkey, o_custkey, o_orderdate, count(*) OVER () AS total FROM orders WHERE o_custkey BETWEEN 10 AND 60 AND o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").filter("o_custkey between 10 and 60 and o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderdate")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.functions.timegrid import plain
+from candlewick.functions.timegrid import TIMEFRAMES, plain
 from candlewick.plans.market import WITH
 from candlewick.sources.tables import table
 from candlewick.streaming import bars
@@ -25,21 +26,43 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
 
 
-def run_to_table(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Run a stream over all that is there into a table that takes each key once."""
-    spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="candlewick-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    sink = stream.writeStream.foreachBatch(bars.insert_if_absent(f"{base}/rows", keys)).option("checkpointLocation", f"{base}/state")
-    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+def own_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset, a local session's own, and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or tempfile.mkdtemp(prefix="candlewick-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
 
 
-def stream_bars_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-minute bars whose windows the watermark has passed."""
-    ticks = bars.deduplicated(tick_stream(spark, sf_dir), ["event_id"])
-    return plain(run_to_table(bars.windowed(ticks, "5m", watermarked=True), ["symbol", "ts"]))
+def run_to_table(stream: DataFrame, sink: Callable[[str], Callable[[DataFrame, int], None]]) -> DataFrame:
+    """Run a stream over all that is there into the table of a sink, and read that."""
+    base = own_folder(stream.sparkSession)
+    rows = stream.writeStream.foreachBatch(sink(f"{base}/rows")).option("checkpointLocation", f"{base}/state")
+    rows.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows").select(*stream.columns)
 
 
-QUERIES["stream_bars_5m"] = stream_bars_5m
-ORACLES["stream_bars_5m"] = WITH + """SELECT symbol, ts, open, high, low, close, volume, n AS source_count FROM m5 JOIN (SELECT symbol, make_timestamp(epoch_us(ts) // 300000000 * 300000000) AS ts, count(*)::INTEGER AS n FROM ticks GROUP BY ALL) USING (symbol, ts)
-WHERE ts + INTERVAL 5 MINUTE <= (SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000) - INTERVAL 10 MINUTE FROM ticks)"""
+def _bars_of(tf: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Bars of one timeframe whose windows the watermark has passed."""
+        ticks = bars.deduplicated(tick_stream(spark, sf_dir), ["event_id"])
+        return plain(run_to_table(bars.windowed(ticks, tf, watermarked=True), lambda path: bars.insert_if_absent(path, ["symbol", "ts"])))
+
+    return run
+
+
+for _tf, _ms in TIMEFRAMES.items():
+    QUERIES[f"stream_bars_{_tf}"] = _bars_of(_tf)
+    ORACLES[f"stream_bars_{_tf}"] = WITH + f"""SELECT symbol, ts, open, high, low, close, volume, n AS source_count
+FROM (SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE tf = '{_tf}')
+JOIN (SELECT symbol, make_timestamp(epoch_us(ts) // {_ms * 1000} * {_ms * 1000}) AS ts, count(*)::INTEGER AS n FROM ticks GROUP BY ALL) USING (symbol, ts)
+WHERE epoch_us(ts) + {_ms * 1000} <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM ticks)"""
+
+
+def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tick, as a record of an append-only log."""
+    return plain(run_to_table(tick_stream(spark, sf_dir), bars.append_log))
+
+
+QUERIES["log_append"] = log_append
+ORACLES["log_append"] = WITH + "SELECT event_id, symbol, ts::TIMESTAMP AS ts, price, volume FROM ticks"

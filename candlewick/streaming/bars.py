@@ -46,3 +46,12 @@ def insert_if_absent(path: str, keys: list[str]) -> Callable[[DataFrame, int], N
         rows.write.mode("append").parquet(path)
 
     return write
+
+
+def append_log(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: append all rows to the log at ``path``, a folder for each batch; a repeated batch writes its own folder anew."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write

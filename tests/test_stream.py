@@ -61,3 +61,20 @@ def test_upsert_and_fresh(spark):
     assert sorted(map(tuple, signals.upserted(old, new, ["k"], keep=("enabled",)).collect())) == [(1, "a", 1), (2, "c", 0), (3, "d", 1)]
     incoming = spark.createDataFrame([(3, "x", 2), (3, "y", 1), (2, "z", 1)], "k int, v string, seq int")
     assert [tuple(r) for r in signals.fresh(incoming, old, ["k"], "seq").collect()] == [(3, "y", 1)]
+
+
+def test_log_takes_a_repeated_batch_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write = bars.append_log(path)
+    first, second = ticks(spark, [(1, "s", 0, 1), (1, "s", 0, 1)]), ticks(spark, [(2, "s", 9, 1)])
+    for number, batch in ((0, first), (1, second), (1, second)):
+        write(batch, number)
+    assert sorted(r.event_id for r in spark.read.schema(SCHEMA).parquet(path).collect()) == [1, 1, 2]
+
+
+def test_system_definitions_are_inserted_once(spark):
+    schema = "id long, user_id long, code string, version string"
+    stored = spark.createDataFrame([(1, 0, "SMA", "v1"), (2, 7, "EMA", "v1")], schema)
+    incoming = spark.createDataFrame([(11, 3, "SMA", "v1"), (12, 3, "EMA", "v1"), (13, 0, "EMA", "v1"), (14, None, "SMA", "v2")], schema)
+    found = signals.system_definitions(incoming, stored, "id").collect()
+    assert sorted((r.id, r.user_id, r.code, r.version) for r in found) == [(12, 0, "EMA", "v1"), (14, 0, "SMA", "v2")]

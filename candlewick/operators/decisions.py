@@ -130,3 +130,33 @@ def order_quantity(action: Column) -> Column:
     """Capital times ratio for what isn't HOLD, in exact decimals."""
     qty = F.col("param_capital").cast("decimal(20,8)") * F.col("param_ratio").cast("decimal(10,4)")
     return F.when(action == "HOLD", F.lit(0.0)).otherwise(F.coalesce(qty.cast("double"), F.lit(0.0)))
+
+
+def reason_document(action: Column, timeframe: str = "1h") -> Column:
+    """Why a decision was made, as JSON: trigger, state before, what was known, parameters, basis and change of state.
+
+    The trigger's source is the signal's id where a signal decided, else the indicator's code, and HOLD where nothing
+    is done. Times are epoch milliseconds. What wasn't known (no signal, no value, no price over 0) is left out.
+    """
+    ms = lambda c: F.unix_millis(c)
+    part = lambda there, **fields: F.when(there, F.struct(*(c.alias(k) for k, c in fields.items())))
+    col = F.col
+    by_a_signal = (col("strategy_type") == "SIGNAL_DRIVEN") | ((col("strategy_type") == "HYBRID") & (by_signal() != "HOLD"))
+    source = F.when(action == "HOLD", "HOLD").when(by_a_signal, col("sig_intent_id").cast("string")).otherwise(col("ind_code"))
+    known = F.lit(True)
+    return F.to_json(
+        F.struct(
+            part(known, type=F.coalesce("trigger_type", F.lit("UNKNOWN")), source=source, timestamp=ms("bar_time")).alias("trigger"),
+            part(col("state_side").isNotNull(), positionSide=col("state_side"), positionQty=col("state_qty"), avgEntryPrice=col("state_entry")).alias("logicStateBefore"),
+            part(
+                known,
+                signal=part(col("sig_intent_id").isNotNull(), intentId=col("sig_intent_id"), direction=col("sig_direction"), activatedAt=ms("sig_received_at")),
+                indicator=part(has_indicator(), code=col("ind_code"), value=col("ind_value"), barTime=ms("bar_time")),
+                bar=part(col("bar_close").isNotNull(), timeframe=F.lit(timeframe), closeTime=ms("bar_time"), close=col("bar_close")),
+                price=part(col("px_last") > 0, current=col("px_last"), timestamp=ms("bar_time")),
+            ).alias("snapshots"),
+            part(col("param_capital").isNotNull(), initialCapital=col("param_capital"), baseOrderRatio=col("param_ratio"), stopLossRatio=col("param_stop_loss")).alias("paramsDigest"),
+            part(known, strategyType=col("strategy_type"), action=action).alias("decisionBasis"),
+            F.concat_ws(" -> ", F.coalesce("state_side", F.lit("FLAT")), action).alias("stateChange"),
+        )
+    )

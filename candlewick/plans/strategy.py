@@ -193,6 +193,30 @@ def _(spark, sf_dir):
     return rows.select("strategy_id", "symbol", "bar_time", "action", decisions.order_quantity(F.col("action")).alias("qty"), reason.alias("reason"))
 
 
+_REASONS = """
+SELECT strategy_id, symbol, bar_time, trigger_type, position_side, position_qty, intent_id, ind_value, close, price, capital, state_change,
+ CASE WHEN action = 'HOLD' THEN 'HOLD' WHEN strategy_type = 'SIGNAL_DRIVEN' OR (strategy_type = 'HYBRID' AND signalled) THEN intent_id::VARCHAR ELSE 'SMA' END AS trigger_source
+FROM (SELECT strategy_id, symbol, bar_time, trigger_type, strategy_type, action, state_side AS position_side, CASE WHEN state_side IS NOT NULL THEN state_qty END AS position_qty, sig_intent_id AS intent_id, ind_value, bar_close AS close,
+  CASE WHEN px_last > 0 THEN px_last END AS price, param_capital AS capital, coalesce(state_side, 'FLAT') || ' -> ' || action AS state_change,
+  sig_valid AND param_capital IS NOT NULL AND CASE WHEN state_side = 'FLAT' OR state_qty = 0 THEN sig_direction IN ('BUY', 'SELL', 'REVERSE')
+   WHEN state_side = 'LONG' THEN sig_direction IN ('SELL', 'FLAT', 'REVERSE') WHEN state_side = 'SHORT' THEN sig_direction IN ('BUY', 'FLAT', 'REVERSE') ELSE false END AS signalled
+ FROM (SELECT *, {} AS action FROM ctx))"""
+
+
+@query("decision_reasons", _REASONS.format(_DECIDE))
+def _(spark, sf_dir):
+    rows = context(spark, sf_dir).withColumn("action", decisions.decide(*_trees()))
+    rows = rows.select("strategy_id", "symbol", "bar_time", decisions.reason_document(F.col("action")).alias("reason"))
+    get = lambda path, kind="string": F.get_json_object("reason", f"$.{path}").cast(kind)
+    return rows.select(
+        "strategy_id", "symbol", "bar_time", get("trigger.type").alias("trigger_type"), get("trigger.source").alias("trigger_source"),
+        get("logicStateBefore.positionSide").alias("position_side"), get("logicStateBefore.positionQty", "double").alias("position_qty"),
+        get("snapshots.signal.intentId", "long").alias("intent_id"), get("snapshots.indicator.value", "double").alias("ind_value"),
+        get("snapshots.bar.close", "double").alias("close"), get("snapshots.price.current", "double").alias("price"),
+        get("paramsDigest.initialCapital", "double").alias("capital"), get("stateChange").alias("state_change"),
+    )
+
+
 @query("decision_history", _GUARD + f"SELECT symbol, bar_time, action FROM (SELECT *, {_DECIDE} AS action FROM g WHERE reject IS NULL) WHERE action <> 'HOLD' AND symbol = 'click' AND bar_time BETWEEN '2024-01-03' AND '2024-01-20' ORDER BY bar_time DESC, strategy_id LIMIT 25")
 def _(spark, sf_dir):
     found = QUERIES["decisions"](spark, sf_dir).filter("symbol = 'click' and bar_time between timestamp_ntz'2024-01-03' and timestamp_ntz'2024-01-20'")

@@ -34,6 +34,8 @@ SEEDS = ("adult", "ads", "bets", "casino", "farm", "pills", "porn", "spam")
 LONGEST = 24
 #: Parts that a host's paths are dealt to, so that a hot host is no single group.
 SALTS = 32
+#: What isn't visible text: scripts and styles (one that isn't closed hides the rest of the page), tags, entities. Linear on broken pages.
+HIDDEN = re.compile(r"<(script|style)\b(?:.*?</\1>|.*)|<[^<>]*>|&#?\w+;", re.S | re.I)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,12 +63,11 @@ def word_counts(pages: DataFrame) -> DataFrame:
     """(word, n): how often each run of letters of up to LONGEST occurs in the pages' visible text and URLs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hidden = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>|&#?\w+;", re.S | re.I)
         words = re.compile(r"[a-z]+")
         for batch in batches:
             found: Counter = Counter()
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update(words.findall(hidden.sub(" ", html or "").lower()))
+                found.update(words.findall(HIDDEN.sub(" ", html or "").lower()))
                 found.update(words.findall((url or "").lower()))
             kept = {w: n for w, n in found.items() if len(w) <= LONGEST}
             yield pa.RecordBatch.from_pydict({"word": list(kept), "n": list(kept.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
@@ -84,12 +85,11 @@ def outside_words(pages: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hidden = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>|&#?\w+;", re.S | re.I)
         address, words = re.compile(r"\b\w+://\S+|\bwww\.\S+"), re.compile(r"[a-z]+")
         for batch in batches:
             found: Counter = Counter()
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = words.findall(address.sub(" ", hidden.sub(" ", html or "").lower()))
+                seen = words.findall(address.sub(" ", HIDDEN.sub(" ", html or "").lower()))
                 found.update(seen)
                 for own in set(words.findall((url or "").lower())):
                     if own in found:

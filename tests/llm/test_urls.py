@@ -84,3 +84,40 @@ def test_query_splits_concatenated_hosts(spark, tmp_path):
     assert split == {"cheappills": ["cheap", "pills"], "freecasinowin": ["free", "casino", "win"], "casinobets": ["casino", "bets"], "daily": ["daily"], "casino": ["casino"], "cheap": ["cheap"]}
     verdicts = {r.page_id: r.verdict for r in urls.op7_urls(spark, str(tmp_path)).collect()}
     assert {verdicts[i] for i in range(134)} == {"block"} and {verdicts[i] for i in range(200, 500)} == {"allow"}
+
+
+def test_bayes_decides_beyond_seed_words(spark, tmp_path):
+    rows = [(i, f"http://{a}-{b}.net/{a}/{i}", "<p>cheap, free, win, now</p>") for i, (a, b) in enumerate([(a, b) for a in ("cheap", "free", "win", "now") for b in ("casino", "pills", "bets")] * 9)]
+    rows += [(1000 + i, f"http://daily-news{i % 9}.net/news/{i}", "<p>daily news of the town</p>") for i in range(300)]
+    rows += [(2000, "http://winfreecheap.net/free/now", "x"), (2001, "http://farm.daily-news.net/news/daily", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    verdicts = {r.page_id: r.verdict for r in urls.op7_urls(spark, str(tmp_path)).collect()}
+    assert verdicts[2000] == "block"  # no seed word, but words of the hosts that have one
+    assert verdicts[2001] == "allow"  # a seed word among words of the others
+    assert {verdicts[i] for i in range(108)} == {"block"} and {verdicts[1000 + i] for i in range(300)} == {"allow"}
+
+
+def test_viterbi_against_all_splits():
+    counts = {"a": 3, "ab": 5, "ba": 2, "aba": 1, "b": 1, "bab": 4, "abab": 1}
+
+    def splits(run):
+        return [[]] if not run else [[run[:i], *rest] for i in range(1, len(run) + 1) for rest in splits(run[i:])]
+
+    def log_p(words):
+        return sum(math.log(counts[w] / 20) if w in counts else -math.log(20) - len(w) * math.log(10) for w in words)
+
+    for n in range(1, 9):
+        for k in range(2**n):
+            run = "".join("ab"[k >> i & 1] for i in range(n))
+            found = urls.viterbi(run, counts, 20)
+            assert "".join(found) == run and abs(log_p(found) - max(map(log_p, splits(run)))) < 1e-9
+
+
+def test_hidden_text_of_broken_pages_is_linear():
+    import time
+
+    begin = time.perf_counter()
+    assert urls.HIDDEN.sub(" ", "seen <script>a</script> too <style>b").split() == ["seen", "too"]
+    urls.HIDDEN.sub(" ", "<script " * 200_000)
+    urls.HIDDEN.sub(" ", "<" * 400_000)
+    assert time.perf_counter() - begin < 5

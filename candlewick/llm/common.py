@@ -132,3 +132,12 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+#: A-Z and what they become; no other letter changes.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
+    """``body`` of a value that is computed once, however often the body (or a lambda in it) reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import bpe, counts, langid, media, merkle, packing, quality, simhash, substring, urls
+from candlewick.llm import bpe, counts, divergence, langid, media, merkle, packing, quality, simhash, substring, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_merkle_fingerprint": merkle.op9_merkle_fingerprint,
     "op10_counts": counts.op10_counts,
+    "op11_divergence": divergence.op11_divergence,
 }
 
 ORACLES = {
     "op5_substring": substring.ORACLE,
     "op9_merkle_fingerprint": merkle.ORACLE,
+    "op11_divergence": divergence.ORACLE,
 }

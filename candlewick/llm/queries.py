@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import bpe, counts, divergence, langid, media, merkle, packing, quality, simhash, substring, urls
+from candlewick.llm import alignment, bpe, counts, divergence, langid, licenses, media, merkle, packing, quality, simhash, substring, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_merkle_fingerprint": merkle.op9_merkle_fingerprint,
     "op10_counts": counts.op10_counts,
     "op11_divergence": divergence.op11_divergence,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_licenses": licenses.op13_licenses,
 }
 
 ORACLES = {
     "op5_substring": substring.ORACLE,
     "op9_merkle_fingerprint": merkle.ORACLE,
     "op11_divergence": divergence.ORACLE,
+    "op13_licenses": licenses.ORACLE,
 }

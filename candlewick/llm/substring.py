@@ -20,7 +20,7 @@ ANCHOR = 5
 #: Batches that the query over a whole table adds to the index one after another.
 BATCHES = 3
 #: Runs of the index; one more, and they are compacted into one.
-RUNS = 4
+RUNS = 2
 # odd multipliers of the positions in a window, two lanes
 _LANES = np.random.default_rng(20).integers(0, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -82,8 +82,8 @@ def anchors(lane: np.ndarray, window: int = WINDOW, width: int = ANCHOR) -> np.n
 
 
 def windows(lanes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of each window of a document, and 32 bits of an independent fingerprint of its 13 words."""
-    return anchors(lanes[0]), (rolled(lanes[1], WINDOW, 1) >> np.uint64(32)).astype(np.uint32)
+    """The anchor of each window of a document, and an independent 64-bit fingerprint of its 13 words."""
+    return anchors(lanes[0]), rolled(lanes[1], WINDOW, 1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 1):
             doc = part.column(0).to_numpy()
-            anchor, window, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            anchor, window, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, text in enumerate(part.column(1).to_pylist()):
                 a, w = windows(lanes((text or "").encode().split()))
                 anchor.append(a)
@@ -107,10 +107,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
             at = np.flatnonzero(new)
             ends = np.append(at, len(anchor)).astype(np.int32)
-            held = pa.ListArray.from_arrays(ends, pa.array(window.view(np.int32)))
+            held = pa.ListArray.from_arrays(ends, pa.array(window.view(np.int64)))
             anchor, owner = anchor[at], doc[owner[at]]
             # rows with equal anchors and equal windows, the least doc_id first
-            sums = np.add.reduceat(_mixed(window.astype(np.uint64) + np.uint64(1)), at) if len(at) else anchor
+            sums = np.add.reduceat(_mixed(window + np.uint64(1)), at) if len(at) else anchor
             order = np.lexsort((owner, sums, anchor))
             first = np.ones(len(order), bool)
             first[1:] = (anchor[order][1:] != anchor[order][:-1]) | (sums[order][1:] != sums[order][:-1])
@@ -132,7 +132,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = len(words)
                 if repeats.is_valid and n >= WINDOW:
                     anchor, window = windows(lanes(words))
-                    key = anchor.view(np.int64) ^ (window.astype(np.int64) << 32)
+                    key = (anchor ^ window).view(np.int64)
                     begins = np.flatnonzero(np.isin(key, np.concatenate([r.values.to_numpy() for r in repeats.values])))
                     edge = np.bincount(begins, minlength=n + 1) - np.bincount(begins + WINDOW, minlength=n + 1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
@@ -147,12 +147,12 @@ class WindowIndex:
 
     A row of a run holds an anchor, the hashes of windows that have it, and the documents that have these windows.
     ``add`` writes a batch as the newest run and merge-joins it with the older ones bucket by bucket, without another
-    shuffle: windows with one anchor are compared by their hashes. Beyond ``most`` runs, ``compact`` first rewrites
-    each bucket as one run that has every window once with its first document; no shuffle either. An index is
+    shuffle: windows with one anchor are verified by their hashes. Beyond ``most`` runs, ``compact`` first rewrites
+    each bucket as one run that has equal rows of windows once, with their first document; no shuffle either. An index is
     opened again, in this session or a later one, by its path.
     """
 
-    SCHEMA = "anchor BIGINT, windows ARRAY<INT>, doc_id BIGINT, more ARRAY<BIGINT>, run INT"
+    SCHEMA = "anchor BIGINT, windows ARRAY<BIGINT>, doc_id BIGINT, more ARRAY<BIGINT>, run INT"
 
     def __init__(self, spark: SparkSession, path: str | None = None, most: int = RUNS):
         self.spark, self.most = spark, most
@@ -189,12 +189,13 @@ class WindowIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """Index (doc_id, text) as the newest run; gives (doc_id, key) of its windows that a smaller doc_id of any run has too.
 
-        Of rows with one anchor, windows are equal if their 32-bit hashes are, which with the anchor's 64 makes 96 bits.
+        Windows of one anchor are verified by 64 bits of their own, over all 13 words and independent of the anchor: however
+        many windows stand round a common phrase, that is the chance that two of them are taken for one.
         """
         if self.runs >= self.most:
             self.compact()
         run = self.runs
-        rows = small_batches(batch).filter("doc_id is not null").select("doc_id", "text").mapInArrow(_runs, "anchor long, windows array<int>, doc_id long, more array<long>")
+        rows = small_batches(batch).filter("doc_id is not null").select("doc_id", "text").mapInArrow(_runs, "anchor long, windows array<long>, doc_id long, more array<long>")
         self._append(rows.withColumn("run", F.lit(run)).repartition(self.buckets, "anchor"))
         return self._repeated(run)
 
@@ -209,15 +210,13 @@ class WindowIndex:
         first = F.min("doc_id").over(Window.partitionBy("anchor", "w"))
         later = each.withColumn("first", first).filter(f"run = {run} and (doc_id > first or more is not null)")
         docs = F.filter(F.concat(F.array("doc_id"), F.coalesce("more", F.array().cast("array<long>"))), lambda d: d > F.col("first"))
-        key = F.col("anchor").bitwiseXOR(F.shiftleft(F.col("w").cast("long"), 32))
+        key = F.col("anchor").bitwiseXOR(F.col("w"))
         return later.select(key.alias("key"), F.explode(F.array_distinct(docs)).alias("doc_id"))
 
     def compact(self) -> None:
-        """Merge all runs into one with the first document of each window, then drop them."""
+        """Merge all runs into one, bucket by bucket, in which equal rows of windows are one row with their first document; then drop them."""
         old, folder = self.table, self._folder()
-        each = self.spark.table(old).select("anchor", F.explode("windows").alias("w"), "doc_id")
-        first = each.groupBy("anchor", "w").agg(F.min("doc_id").alias("doc_id"))
-        merged = first.groupBy("anchor", "doc_id").agg(F.collect_list("w").alias("windows"))
+        merged = self.spark.table(old).groupBy("anchor", "windows").agg(F.min("doc_id").alias("doc_id"))
         self.generation, self.table, self.runs = self.generation + 1, None, 0
         self._append(merged.select("anchor", "windows", "doc_id", F.lit(None).cast("array<long>").alias("more"), F.lit(0).alias("run")))
         self.spark.sql(f"DROP TABLE {old}")
@@ -264,7 +263,8 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: WindowIndex
     text is as it was where nothing goes, else the kept words joined by one space.
 
     A word goes if a window of 13 words over it also starts in a document with a smaller doc_id, of ``docs`` or of
-    what ``index`` has from before. Windows are equal if 96 bits of two independent fingerprints of their words are.
+    what ``index`` has from before. Windows are equal if their anchors and
+    independent 64-bit fingerprints of their 13 words are.
     Null text has no words; rows with equal doc_id don't part each other's words and all stay; null doc_id neither
     removes nor loses words; texts of any length are judged whole; an empty table gives no rows; other columns stay in ``row`` and can't clash.
     """

@@ -70,7 +70,7 @@ def test_index_is_opened_again_and_compacted(spark, tmp_path):
 
 def test_hot_passages_are_a_row_for_each_slice(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40))) for i in range(200)], "doc_id long, text string").coalesce(1)
-    rows = docs.mapInArrow(substring._runs, "anchor long, windows array<int>, doc_id long, more array<long>").collect()
+    rows = docs.mapInArrow(substring._runs, "anchor long, windows array<long>, doc_id long, more array<long>").collect()
     assert len(rows) <= 28 and all(r.doc_id == 0 and r.more == list(range(1, 200)) for r in rows)
     assert sum(len(r.windows) for r in rows) == 28
 
@@ -85,3 +85,26 @@ def test_anchors_depend_on_the_window_alone():
     lane = np.random.default_rng(0).integers(0, 2**63, 60, dtype=np.uint64)
     whole = substring.anchors(lane)
     assert [int(substring.anchors(lane[i : i + 13])[0]) for i in range(48)] == whole.tolist()
+
+
+def test_a_common_phrase_makes_no_false_repeats(spark):
+    texts = [
+        "w12451 w29244 w3705 w6243 c17 c17 c13 c4 c32 w15532 w8020 w23879 w1141",
+        "w1697 w26421 w10193 w8310 c17 c17 c13 c4 c32 w4815 w24314 w27476 w26591",
+        "w2251 w9440 w25998 w28495 c17 c17 c13 c4 c32 w3451 w24791 w2981 w13265",
+        "w27084 w3577 w16908 w22822 c17 c17 c13 c4 c32 w1124 w29042 w3203 w18862",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in substring.substring_dedup(docs).collect()] == [0] * 4
+
+
+def test_a_million_windows_of_one_anchor_differ():
+    import numpy as np
+
+    pick = np.random.default_rng(5)
+    size, phrase = 1_000_000, pick.integers(0, 2**63, 5, dtype=np.uint64)
+    # in place of each document's words their fingerprints: four of its own, the phrase, four of its own
+    around = [pick.integers(0, 2**63, size, dtype=np.uint64) for _ in range(8)]
+    words = around[:4] + [np.full(size, w) for w in phrase] + around[4:]
+    sums = sum(w * substring._LANES[1, j] for j, w in enumerate(words))
+    assert len(np.unique(substring._mixed(sums))) == size > len(np.unique(substring._mixed(sums) >> np.uint64(32)))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import durable
+from candlewick.llm.common import durable, slices, small_batches
 
 
 class Rule(NamedTuple):
@@ -32,6 +32,8 @@ RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("
 SEEDS = ("adult", "ads", "bets", "casino", "farm", "pills", "porn", "spam")
 #: Letters of the longest word that a name is split into.
 LONGEST = 24
+#: Places of a run whose pieces are made at once.
+SLICE = 4096
 #: Parts that a host's paths are dealt to, so that a hot host is no single group.
 SALTS = 32
 #: What isn't visible text: scripts and styles (one that isn't closed hides the rest of the page), tags, entities. Linear on broken pages.
@@ -59,6 +61,12 @@ def runs(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: x != "")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str | None, str | None]]:
+    """(url, html) of a batch, in slices of bounded size."""
+    for part in slices(batch, "html"):
+        yield from zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True)
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
     """(word, n): how often each run of letters of up to LONGEST occurs in the pages' visible text and URLs."""
 
@@ -66,13 +74,13 @@ def word_counts(pages: DataFrame) -> DataFrame:
         words = re.compile(r"[a-z]+")
         for batch in batches:
             found: Counter = Counter()
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for url, html in _rows(batch):
                 found.update(words.findall(HIDDEN.sub(" ", html or "").lower()))
                 found.update(words.findall((url or "").lower()))
             kept = {w: n for w, n in found.items() if len(w) <= LONGEST}
             yield pa.RecordBatch.from_pydict({"word": list(kept), "n": list(kept.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
-    return pages.select("url", "html").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(pages).select("url", "html").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def outside_words(pages: DataFrame) -> DataFrame:
@@ -88,7 +96,7 @@ def outside_words(pages: DataFrame) -> DataFrame:
         address, words = re.compile(r"\b\w+://\S+|\bwww\.\S+"), re.compile(r"[a-z]+")
         for batch in batches:
             found: Counter = Counter()
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for url, html in _rows(batch):
                 seen = words.findall(address.sub(" ", HIDDEN.sub(" ", html or "").lower()))
                 found.update(seen)
                 for own in set(words.findall((url or "").lower())):
@@ -97,7 +105,7 @@ def outside_words(pages: DataFrame) -> DataFrame:
             kept = {w: n for w, n in found.items() if n and len(w) <= LONGEST}
             yield pa.RecordBatch.from_pydict({"word": list(kept), "n": list(kept.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
-    text = pages.select("url", "html").mapInArrow(count, "word string, n long").select("word", "n", F.lit(0).alias("labels"))
+    text = small_batches(pages).select("url", "html").mapInArrow(count, "word string, n long").select("word", "n", F.lit(0).alias("labels"))
     host, path = host_and_path(F.col("url"))
     named = pages.select(host.alias("host"), path.alias("path")).distinct()
     labels = named.select(F.explode(F.concat(F.split("host", "[.]"), F.split("path", "/"))).alias("label")).distinct()
@@ -125,25 +133,48 @@ def viterbi(run: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
+def _pieces(run: str) -> Iterator[set[str]]:
+    """The distinct pieces of up to LONGEST letters of a run, in sets for each SLICE of places that they begin at."""
+    for begin in range(0, len(run), SLICE):
+        yield {run[i:j] for i in range(begin, min(begin + SLICE, len(run))) for j in range(i + 1, min(i + LONGEST, len(run)) + 1)}
+
+
 def segmented(kinds: DataFrame, words: DataFrame) -> DataFrame:
-    """(run, tokens) for each distinct ``run``: its pieces are looked up in the word counts by a join; the whole run has the count ``itself``, if there is one."""
+    """(run, tokens) for each distinct ``run``: its pieces are looked up in the word counts by a join; the whole run has the count ``itself``, if there is one.
+
+    Runs are numbered in a written table, and pieces carry the number alone, a bounded number of them at a time: a
+    run of a million letters costs no more for each letter than a short one.
+    """
     if "itself" not in words.columns:
         words = words.withColumn("itself", F.col("n"))
     total = words.agg(F.sum("n")).first()[0] or 1
+    numbered = durable(small_batches(kinds).select(F.monotonically_increasing_id().alias("id"), "run"), "runs")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("word", pa.string())])
+        ids: list[int] = []
+        found: list[str] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                found = [(r, p) for r in batch.column(0).slice(at, 256).to_pylist() for p in {r[i:j] for i in range(len(r)) for j in range(i + 1, min(i + LONGEST, len(r)) + 1)}]
-                yield pa.RecordBatch.from_pydict({"run": [r for r, _ in found], "word": [p for _, p in found]}, pa.schema([("run", pa.string()), ("word", pa.string())]))
+            for part in slices(batch, "run"):
+                for number, run in zip(part.column("id").to_pylist(), part.column("run").to_pylist(), strict=True):
+                    for some in _pieces(run):
+                        ids += [number] * len(some)
+                        found += some
+                        if len(found) >= 50_000:
+                            yield pa.RecordBatch.from_pydict({"id": ids, "word": found}, schema)
+                            ids, found = [], []
+        yield pa.RecordBatch.from_pydict({"id": ids, "word": found}, schema)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [viterbi(r, {x["word"]: x["itself" if x["word"] == r else "n"] for x in known or ()}, total) for r, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"run": batch.column(0), "tokens": pa.array(tokens, pa.list_(pa.string()))})
-
-    known = kinds.mapInArrow(pieces, "run string, word string").join(words, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n", "itself")).alias("known"))
-    return kinds.join(known, "run", "left").mapInArrow(split, "run string, tokens array<string>")
+            for part in slices(batch, "run"):
+                names = part.column("run").to_pylist()
+                tokens = [viterbi(r, {x["word"]: x["itself" if x["word"] == r else "n"] for x in known or ()}, total) for r, known in zip(names, part.column("known").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({"run": part.column("run"), "tokens": pa.array(tokens, pa.list_(pa.string()))})
+
+    found = numbered.mapInArrow(pieces, "id long, word string").join(words, "word")
+    known = found.groupBy("id").agg(F.collect_set(F.struct("word", "n", "itself")).alias("known"))
+    return numbered.join(known, "id", "left").select("run", "known").mapInArrow(split, "run string, tokens array<string>")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: tuple[str, ...] = SEEDS, words: Callable[[DataFrame], DataFrame] = word_counts) -> DataFrame:

@@ -1,6 +1,7 @@
 """URL verdicts against a plain loop."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -121,3 +122,17 @@ def test_hidden_text_of_broken_pages_is_linear():
     urls.HIDDEN.sub(" ", "<script " * 200_000)
     urls.HIDDEN.sub(" ", "<" * 400_000)
     assert time.perf_counter() - begin < 5
+
+
+def test_urls_of_very_many_letters_are_judged(spark):
+    pick = random.Random(9)
+    long = "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    rows = [(1, "https://spamfarm.com/x", "spam farm"), (2, f"https://{long[:20_000]}.net/spam", None), (3, f"https://good.net/{long}", "good text"), (4, "https://good.net/", None)]
+    found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), words=urls.outside_words).collect()}
+    assert len(found) == 4 and found[3].path == f"/{long}" and found[4].verdict == "allow" and all(r.verdict in ("allow", "block") for r in found.values())
+
+
+def test_pieces_of_a_run_are_whole_over_slices():
+    run = "".join(random.Random(2).choices("abc", k=urls.SLICE * 2 + 100))
+    want = {run[i:j] for i in range(len(run)) for j in range(i + 1, min(i + urls.LONGEST, len(run)) + 1)}
+    assert set().union(*urls._pieces(run)) == want

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import grid
+from candlewick.operators import halo
 
 #: Entries of a list in a report.
 LISTED = 100
+#: Places of arrival that a task gets of one symbol.
+ARRIVALS = 1_000_000
 
 
 def valid(o: str = "open", h: str = "high", low: str = "low", c: str = "close") -> Column:
@@ -34,11 +37,18 @@ def missing(source: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def missing_report(source: DataFrame, stored: DataFrame, begin: str, end: str) -> DataFrame:
-    """(symbol, missing_count, filled_count, minutes): gaps, how many ``source`` can fill, and a list unless too long."""
+    """(symbol, missing_count, filled_count, minutes): gaps, how many ``source`` can fill, and a list unless too long.
+
+    Minutes are ranked first, and only symbols that lack few enough are listed.
+    """
     lacking = gaps(stored, begin, end)
     can = source.select("symbol", "ts", F.lit(1).alias("there"))
-    met = lacking.join(can, ["symbol", "ts"], "left").groupBy("symbol").agg(F.count("*").alias("missing_count"), F.count("there").alias("filled_count"), F.array_sort(F.collect_list(F.date_format("ts", "yyyy-MM-dd HH:mm"))).alias("all"))
-    return met.select("symbol", "missing_count", "filled_count", F.when(F.col("missing_count") <= LISTED, F.array_join("all", ",")).alias("minutes"))
+    met = lacking.join(can, ["symbol", "ts"], "left")
+    sums = met.groupBy("symbol").agg(F.count("*").alias("missing_count"), F.count("there").alias("filled_count"))
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))
+    first = lacking.withColumn("rank", rank).filter(F.col("rank") <= LISTED)
+    listed = first.groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_list(F.date_format("ts", "yyyy-MM-dd HH:mm"))), ",").alias("all"))
+    return sums.join(listed, "symbol").select("symbol", "missing_count", "filled_count", F.when(F.col("missing_count") <= LISTED, F.col("all")).alias("minutes"))
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
@@ -46,10 +56,17 @@ def duplicates(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", "ts").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def out_of_order(rows: DataFrame, arrival: str) -> DataFrame:
+def with_previous(rows: DataFrame, arrival: str, places: int = ARRIVALS) -> DataFrame:
+    """``rows`` with ``previous``: the time of the symbol's row that arrived before. A symbol is cut by ``places`` of arrival."""
+    chunk = F.floor(F.col(arrival) / places)
+    spread = halo.with_rows_before(rows, ("symbol",), chunk, arrival, 1)
+    order = Window.partitionBy("symbol", halo.PART).orderBy(arrival)
+    return spread.withColumn("previous", F.lag("ts").over(order)).filter(F.col(halo.PART) == chunk).drop(halo.PART)
+
+
+def out_of_order(rows: DataFrame, arrival: str, places: int = ARRIVALS) -> DataFrame:
     """Rows earlier than the one that arrived before them."""
-    order = Window.partitionBy("symbol").orderBy(arrival)
-    return rows.withColumn("previous", F.lag("ts").over(order)).filter(F.col("ts") < F.col("previous"))
+    return with_previous(rows, arrival, places).filter(F.col("ts") < F.col("previous"))
 
 
 def data_errors() -> Column:
@@ -62,23 +79,30 @@ def data_errors() -> Column:
     return F.concat_ws(",", *(F.when(wrong, name) for name, wrong in named))
 
 
-def verify_report(rows: DataFrame, arrival: str) -> DataFrame:
-    """(symbol, total, duplicates, out_of_order, data_errors, error_count, details) of bars in order of arrival."""
-    order = Window.partitionBy("symbol").orderBy(arrival)
-    marked = rows.withColumn("late", F.col("ts") < F.lag("ts").over(order)).withColumn("errors", data_errors())
-    # at most LISTED details a symbol are kept at any time: ranks, then a short list
-    rank = F.row_number().over(Window.partitionBy("symbol", F.col("errors") != "").orderBy("ts", arrival))
-    detail = F.when((F.col("errors") != "") & (F.col("rank") <= LISTED), F.struct("rank", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" "), "errors").alias("text")))
-    sums = marked.withColumn("rank", rank).groupBy("symbol").agg(F.count("*").alias("total"), F.count_if("late").alias("out_of_order"), F.count_if(F.col("errors") != "").alias("data_errors"), F.array_sort(F.collect_list(detail)).alias("d"))
+def verify_report(rows: DataFrame, arrival: str, places: int = ARRIVALS) -> DataFrame:
+    """(symbol, total, duplicates, out_of_order, data_errors, error_count, details) of bars in order of arrival.
+
+    Details are the first LISTED rows with errors in order of time: rows without any never go to a task that lists them.
+    """
+    marked = with_previous(rows, arrival, places).withColumn("late", F.col("ts") < F.col("previous")).withColumn("errors", data_errors())
+    sums = marked.groupBy("symbol").agg(F.count("*").alias("total"), F.count_if("late").alias("out_of_order"), F.count_if(F.col("errors") != "").alias("data_errors"))
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy("ts", arrival))
+    # the limit on the rank is applied before the shuffle too, so that a task sends LISTED rows of a symbol at most
+    first = rows.withColumn("errors", data_errors()).filter("errors <> ''").withColumn("rank", rank).filter(F.col("rank") <= LISTED)
+    text = F.struct("rank", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" "), "errors").alias("text"))
+    details = first.groupBy("symbol").agg(F.array_sort(F.collect_list(text)).alias("d"))
     twice = duplicates(rows).groupBy("symbol").agg(F.count("*").alias("dup"))
-    met = sums.join(twice, "symbol", "left")
-    return met.select("symbol", "total", F.coalesce("dup", F.lit(0)).cast("long").alias("duplicates"), "out_of_order", "data_errors", (F.col("data_errors") + F.col("out_of_order")).alias("error_count"), F.array_join(F.transform("d", lambda x: x["text"]), ";").alias("details"))
+    met = sums.join(twice, "symbol", "left").join(details, "symbol", "left")
+    listed = F.coalesce(F.array_join(F.transform("d", lambda x: x["text"]), ";"), F.lit(""))
+    return met.select("symbol", "total", F.coalesce("dup", F.lit(0)).cast("long").alias("duplicates"), "out_of_order", "data_errors", (F.col("data_errors") + F.col("out_of_order")).alias("error_count"), listed.alias("details"))
 
 
-def continuity(bars: DataFrame, span_minutes: int = 60) -> DataFrame:
-    """Each bar with how many bars the minutes before it have; fewer than all is a gap."""
-    order = Window.partitionBy("symbol").orderBy(F.unix_seconds("ts")).rangeBetween(-60 * span_minutes, -1)
-    return bars.select("symbol", "ts", F.count("*").over(order).alias("seen")).withColumn("has_gap", F.col("seen") < span_minutes)
+def continuity(bars: DataFrame, span_minutes: int = 60, span_ms: int = 86_400_000) -> DataFrame:
+    """Each bar with how many bars the minutes before it have; fewer than all is a gap. Chunks of ``span_ms`` have the minutes before them."""
+    spread = halo.with_time_before(bars.select("symbol", "ts"), span_ms, span_minutes * 60_000)
+    order = Window.partitionBy("symbol", halo.PART).orderBy(F.unix_seconds("ts")).rangeBetween(-60 * span_minutes, -1)
+    rows = spread.withColumn("seen", F.count("*").over(order)).filter(F.col(halo.PART) == halo.time_chunk("ts", span_ms))
+    return rows.select("symbol", "ts", "seen", (F.col("seen") < span_minutes).alias("has_gap"))
 
 
 def cooldown(triggers: DataFrame, seconds: int = 300) -> DataFrame:

@@ -1,17 +1,21 @@
 """Technical indicators of each bar, over the bars up to it: column expressions alone, no Python on rows.
 
 Frames are a symbol's last 365 bars. Moving indicators take fewer bars at a series' head; recursive ones start at
-the frame's oldest bar. Outputs are rounded half up to 8 decimals.
+the frame's oldest bar. Outputs are rounded half up to 8 decimals. A symbol's bars are computed in chunks of time
+(``span_ms``), each with the bars before it that its frames need.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import wraps
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from candlewick.operators import halo
+
 FRAME = 365
 SCALE = 8
 
@@ -32,11 +36,23 @@ def _rows(bars: DataFrame, keys: tuple[str, ...], **values: Column) -> DataFrame
     return bars.select(*keys, "ts", *(c.alias(k) for k, c in values.items()))
 
 
+def in_chunks(compute: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An indicator whose frames stay within FRAME bars, computed for each chunk of time with its halo."""
+
+    @wraps(compute)
+    def run(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), span_ms: int = halo.SPAN_MS, **parameters: float) -> DataFrame:
+        return halo.windowed(bars, lambda rows, by: compute(rows, by, **parameters), keys, FRAME - 1, span_ms)
+
+    return run
+
+
+@in_chunks
 def sma(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 20) -> DataFrame:
     """Simple moving average of closes."""
     return _rows(bars, keys, value=_rounded(F.avg("close").over(_tail(keys, min(period, FRAME)))))
 
 
+@in_chunks
 def sma_strict(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 20) -> DataFrame:
     """Moving average of exactly ``period`` closes, in exact decimals; fewer bars give no value."""
     return _rows(bars, keys, value=strict_average(keys, period))
@@ -59,12 +75,14 @@ def _ema(frame: Column, alpha: float) -> Column:
     return F.aggregate(F.slice(frame, 2, FRAME), F.element_at(frame, 1), lambda acc, v: acc + F.lit(alpha) * (v - acc))
 
 
+@in_chunks
 def ema(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 20) -> DataFrame:
     """Exponential moving average of closes, weight 2 / (period + 1)."""
     rows = _folded(bars, keys, F.col("close"))
     return _rows(rows, keys, value=_rounded(_ema(F.col("frame"), 2.0 / (period + 1))))
 
 
+@in_chunks
 def wma(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 20) -> DataFrame:
     """Linearly weighted moving average of closes; the newest weighs most."""
     n = min(period, FRAME)
@@ -74,6 +92,7 @@ def wma(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 20)
     return _rows(rows, keys, value=_rounded(weighted * 2 / (k * (k + 1))))
 
 
+@in_chunks
 def rsi(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 14) -> DataFrame:
     """Relative strength index with Wilder's averages; without losses 100, or 0 if there are no gains either."""
     change = F.col("close") - F.lag("close").over(_order(keys))
@@ -88,6 +107,7 @@ def rsi(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 14)
     return _rows(rows, keys, value=_rounded(value))
 
 
+@in_chunks
 def atr(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 14) -> DataFrame:
     """Average true range with Wilder's average."""
     previous = F.lag("close").over(_order(keys))
@@ -97,6 +117,7 @@ def atr(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 14)
     return _rows(rows, keys, value=_rounded(value))
 
 
+@in_chunks
 def bollinger(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 20, deviation: float = 2.0) -> DataFrame:
     """Moving average and bands ``deviation`` population deviations around it."""
     frame = _tail(keys, min(period, FRAME))
@@ -104,6 +125,7 @@ def bollinger(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int
     return _rows(bars, keys, upper=_rounded(middle + width), middle=_rounded(middle), lower=_rounded(middle - width))
 
 
+@in_chunks
 def macd(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Difference of two exponential averages, its own average, and their difference: one fold for all."""
     rows = _folded(bars, keys, F.col("close"))
@@ -119,6 +141,7 @@ def macd(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), fast: int = 12, s
     return _rows(rows, keys, macd=_rounded(line), signal=_rounded(F.col("w.g")), histogram=_rounded(line - F.col("w.g")))
 
 
+@in_chunks
 def stochastic(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 14) -> DataFrame:
     """Place of the close between lowest low and highest high; d is k, as the declared operator gives it."""
     frame = _tail(keys, min(period, FRAME))
@@ -127,12 +150,14 @@ def stochastic(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int
     return _rows(bars, keys, k=k, d=k)
 
 
+@in_chunks
 def stochastic_smoothed(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 14, smooth: int = 3) -> DataFrame:
     """The stochastic with d as the average of the last ``smooth`` k, null before there are as many: an extension."""
-    rows, frame = stochastic(bars, keys, period), _tail(keys, smooth)
+    rows, frame = stochastic.__wrapped__(bars, keys, period), _tail(keys, smooth)
     return rows.select(*keys, "ts", "k", F.when(F.count("k").over(frame) == smooth, _rounded(F.avg("k").over(frame))).alias("d"))
 
 
+@in_chunks
 def momentum(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), period: int = 10) -> DataFrame:
     """Rate of change in per cent against ``period`` bars before, or the oldest bar at a series' head."""
     then = F.first("close").over(_tail(keys, min(period + 1, FRAME)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import align, local_time, plus_ms
+from candlewick.operators import halo
 
 #: Rows that a range query gives at most when it has a limit.
 MOST = 10_000
@@ -59,10 +60,10 @@ def series(bars: DataFrame, ms: int, most: int = SERIES) -> DataFrame:
     return rows.filter(F.col("nth") <= most).drop("nth").withColumn("bar_time", plus_ms(F.col("ts"), ms))
 
 
-def step_anomalies(bars: DataFrame, ms: int) -> DataFrame:
+def step_anomalies(bars: DataFrame, ms: int, span_ms: int = halo.SPAN_MS) -> DataFrame:
     """(symbol, ts, previous, step_ms) where two bars that follow each other are not ``ms`` apart."""
-    order = Window.partitionBy("symbol").orderBy("ts")
-    rows = bars.select("symbol", "ts", F.lag("ts").over(order).alias("previous"))
+    previous = lambda rows, by: rows.select(*by, "ts", F.lag("ts").over(Window.partitionBy(*by).orderBy("ts")).alias("previous"))
+    rows = halo.windowed(bars.select("symbol", "ts"), previous, ("symbol",), 1, span_ms)
     step = F.unix_millis("ts") - F.unix_millis("previous")
     return rows.withColumn("step_ms", step).filter(F.col("step_ms") != ms)
 

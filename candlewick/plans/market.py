@@ -286,3 +286,13 @@ _indicator("stoch", indicators.stochastic, f"SELECT symbol, ts, k, k AS d FROM (
 _indicator("momentum", indicators.momentum, f"SELECT symbol, ts, CASE WHEN p <> 0 THEN round((close - p) / p * 100, 8) END AS value FROM (SELECT *, first(close) {_F.format(10)} AS p FROM h1)")
 _indicator("sma_strict", indicators.sma_strict, f"SELECT symbol, ts, CASE WHEN n >= 20 THEN round(s / 20, 8) END::DOUBLE AS value FROM (SELECT symbol, ts, count(*) {_F.format(19)} AS n, (sum(close::DECIMAL(20, 8)) {_F.format(19)})::DOUBLE AS s FROM h1)")
 _indicator("kdj_failed", lambda bars: indicators.values(bars, "KDJ").select("symbol", "ts", F.when(F.col("value").isNull() & F.col("extra_values").isNull(), "FAILED").otherwise("SUCCESS").alias("status")), "SELECT symbol, ts, 'FAILED' AS status FROM h1")
+
+
+def _in_chunks(name: str, f, days: int) -> None:
+    """An indicator's query in chunks of some days, each with its halo."""
+    query(f"ind_{name}_chunks")(lambda spark, sf_dir: f(hourly(spark, sf_dir), span_ms=days * 86_400_000))
+    ORACLES[f"ind_{name}_chunks"] = ORACLES[f"ind_{name}"]
+
+
+_in_chunks("ema", indicators.ema, 5)
+_in_chunks("atr", indicators.atr, 20)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import TIMEFRAMES, plain, plus_ms
-from candlewick.operators import conditions, decisions, indicators, signals
+from candlewick.operators import conditions, decisions, halo, indicators, signals
 from candlewick.plans.market import WITH, hourly
 from candlewick.sources.tables import table
 
@@ -49,7 +49,7 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One context row for each hourly bar: as-of signal, indicator, state, parameters."""
     bars = hourly(spark, sf_dir)
-    with_ind = bars.withColumn("v", indicators.strict_average())
+    with_ind = halo.windowed(bars, lambda rows, by: rows.withColumn("v", indicators.strict_average(by)), ("symbol",), 19)
     rows = with_ind.withColumn("bar_time", plus_ms(F.col("ts"), TIMEFRAMES["1h"])).withColumn("h", F.hour("ts").cast("long")).withColumn("strategy_id", F.col("h"))
     # the latest active one of a strategy's own: consumed ones don't hide those before them
     sig = intents(spark, sf_dir).filter("status = 'ACTIVE'").select("symbol", "strategy_id", "received_at", F.struct("received_at", "intent_id", "direction", "status", "expired_at").alias("sig"))

@@ -1,7 +1,8 @@
 """Cross-tokenizer alignment: where two tokenizers' tokens end together, and which of their tokens overlap.
 
-Python tokenises; groups, links and counts are Spark's higher-order functions on arrays of ids and byte ends. Every
-step reads an array once or sorts two runs that are in order, so that a text costs about as much as it is long.
+Python tokenises; groups, links and counts are Spark's higher-order functions on arrays of ids and byte ends. Both
+tokenizers' ends are sorted into one array of events; what an event needs of the other side follows from its place there,
+so that each step reads an array once and a text costs about as much as it is long.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.bpe import default_path
-from candlewick.llm.common import documents, dropped, durable, let, slices, texts
+from candlewick.llm.common import documents, durable, slices, texts
 
 #: At most as many id pairs are broadcast with their counts; all others are joined by pair.
 COMMON = 250_000
@@ -24,19 +25,26 @@ BLANK = "▁"
 
 
 class Tokens:
-    """Both tokenizers, with the bytes of each of their ids."""
+    """Both tokenizers, with the bytes of each of their ids.
+
+    Byte pairs are merged by tiktoken over the ranks that the file holds. Texts with characters beyond Latin ones, for
+    which the libraries' Unicode tables can differ, go through tokenizers itself.
+    """
 
     def __init__(self, byte_path: str, piece_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import public_tokenizers
+        import regex
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
-        self.b = SentencePieceProcessor(model_file=piece_path)
+        self.b = b = SentencePieceProcessor(model_file=piece_path)
         # the byte alphabet: printable bytes stand for themselves, the others follow from 256 on in order
         alphabet = set(ByteLevel.alphabet())
         others = [b for b in range(256) if chr(b) not in alphabet]
@@ -44,22 +52,26 @@ class Tokens:
         names = {i: t for t, i in self.a.get_vocab().items()}
         special = self.a.get_added_tokens_decoder()
         self.a_bytes = [names[i].encode() if i in special else bytes(byte[c] for c in names[i]) for i in range(len(names))]
-        b = self.b
         self.b_bytes = [bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(BLANK, " ").encode() for i in range(len(b))]
         self.a_size, self.b_size = (np.array([len(x) for x in table], np.int32) for table in (self.a_bytes, self.b_bytes))
+        ranks = {token: i for i, token in enumerate(self.a_bytes) if i not in special}
+        self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.odd = regex.compile("[^\x00-\u024f\u2000-\u206f]")
+
+    def first(self, text: str) -> list[int]:
+        """Ids of a space and the text by the byte-level tokenizer, special strings as text."""
+        return self.a.encode(text, add_special_tokens=False).ids if self.odd.search(text) else self.fast.encode_ordinary(text)
 
     def both(self, batch: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of each text by both; none where either's bytes aren't those of a space and the text."""
-        there = [t for t in batch if t]
-        found = zip(there, self.a.encode_batch_fast([" " + t for t in there], add_special_tokens=False), self.b.encode(there, num_threads=1), strict=True)
+        found = iter(self.b.encode([t for t in batch if t], num_threads=1))
         none = np.empty(0, np.int32)
         for text in batch:
             a_ids, b_ids = none, none
             if text:
-                _, a, b = next(found)
-                whole = b" " + text.encode()
-                if b"".join(map(self.a_bytes.__getitem__, a.ids)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
-                    a_ids, b_ids = np.array(a.ids, np.int32), np.array(b, np.int32)
+                a, b, whole = self.first(" " + text), next(found), b" " + text.encode()
+                if b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
+                    a_ids, b_ids = np.array(a, np.int32), np.array(b, np.int32)
             yield a_ids, b_ids
 
 
@@ -87,89 +99,95 @@ def tokenised(docs: DataFrame, byte_path: str | None = None, piece_path: str | N
     return texts(docs).mapInArrow(run, "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
 
 
-def _passed(ends: Column, marks: Column, equal: bool) -> Column:
-    """For each of the ascending ``marks``, how many of the ascending ``ends`` are below it (or equal to it)."""
-    doubled = F.concat(F.transform(ends, lambda x: x * 2 + int(not equal)), F.transform(marks, lambda x: x * 2 + int(equal)))
-    odd = int(equal)
+#: An event: the byte that a token ends at, from bit 33 on, which tokenizer's it is, in bit 32, and its number there.
+_END, _SECOND = 33, 2**32
 
-    def places(s: Column) -> Column:
-        at = F.filter(F.transform(s, lambda x, i: F.when(x % 2 == odd, i)), lambda i: i.isNotNull())
-        return F.transform(at, lambda m, k: m - k)
 
-    return let(F.sort_array(doubled), places)
+def _events(a_ends: str, b_ends: str) -> Column:
+    """The ends of both, in order; where both end, the first tokenizer's comes first."""
+    event = lambda side: lambda end, i: F.shiftleft(end.cast("long"), _END) + (i + side)
+    return F.sort_array(F.concat(F.transform(a_ends, event(0)), F.transform(b_ends, event(_SECOND))))
 
 
-def _groups(a: Column, b: Column, until_a: Column, until_b: Column) -> Column:
-    """Ids from one common end to the next, by both tokenizers."""
+def _is_second(event: Column) -> Column:
+    return event.bitwiseAND(_SECOND) != 0
 
-    def part(ids: Column, until: Column, k: Column) -> Column:
-        begin = F.when(k == 0, 0).otherwise(F.get(until, k - 1))
-        return F.slice(ids, begin + 1, F.get(until, k) - begin)
 
-    every = F.sequence(F.lit(0), F.size(until_a) - 1)
-    return F.transform(every, lambda k: F.struct(part(a, until_a, k).alias("a"), part(b, until_b, k).alias("b")))
+def _number(event: Column) -> Column:
+    return event.bitwiseAND(_SECOND - 1).cast("int")
 
 
-def aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
-    """(doc_id, n_a, n_b, groups, links) for each row of documents.
+def _ends_together(event: Column, other: Column) -> Column:
+    return F.coalesce(F.shiftright(event, _END) == F.shiftright(other, _END), F.lit(False))
 
-    ``groups`` has the ids (a, b) between byte offsets at which both tokenizers' tokens end. ``links`` has each pair of
-    occurrences with overlapping bytes, in the order of the text, as ``a * 2**32 + b``. Texts that are null, empty, or
-    whose bytes a tokenizer doesn't give back have no tokens. Texts are taken whole; repeated rows and null doc_id
-    stay; an empty table gives no rows; other columns are ignored.
-    """
-    rows = tokenised(docs, byte_path, piece_path)
-    some = F.size("a_ids") > 0
-    none = F.array().cast("array<int>")
-    # each stretch between neighbouring ends, of either tokenizer, lies in one token of each: that is a link
-    rows = rows.withColumn("common", F.array_intersect("a_ends", "b_ends")).withColumn("every", F.sort_array(F.array_union("a_ends", "b_ends")))
-    until = lambda ends: F.when(some, _passed(F.col(ends), F.col("common"), True)).otherwise(none)
-    over = lambda ends: F.when(some, _passed(F.col(ends), F.col("every"), False)).otherwise(none)
-    groups = let(until("a_ends"), lambda p: let(until("b_ends"), lambda q: _groups(F.col("a_ids"), F.col("b_ids"), p, q)))
-    links = F.zip_with(over("a_ends"), over("b_ends"), lambda i, j: F.get("a_ids", i).cast("long") * 2**32 + F.get("b_ids", j))
-    empty = F.array().cast("array<struct<a:array<int>,b:array<int>>>")
-    return rows.select("doc_id", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.when(some, groups).otherwise(empty).alias("groups"), links.alias("links"))
 
+def _group_ids(ids: str, second: bool) -> Column:
+    """One tokenizer's ids as text, a text for each group: an event whose end the other one has too closes a group."""
 
-def group_text(groups: Column) -> Column:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    return F.array_join(F.transform(groups, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
+    def one(event: Column, at: Column) -> Column:
+        closes = _ends_together(event, F.get("events", at - 1 if second else at + 1))
+        text = F.concat(F.get(ids, _number(event)).cast("string"), F.when(closes, ";").otherwise(","))
+        return F.when(_is_second(event) == F.lit(second), text).otherwise("")
 
+    return F.split(F.rtrim(F.array_join(F.transform("events", one), ""), F.lit(";")), ";")
 
-def counted(values: Column) -> Column:
-    """(pair, times) for the distinct values of an array."""
 
-    def runs(s: Column) -> Column:
-        begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
-        return let(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("pair"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("times"))))
+def _links() -> Column:
+    """Each pair of overlapping tokens once: the stretch before an end lies in one token of each tokenizer.
 
-    return let(F.sort_array(values), runs)
+    An event at place m that is number i of its own side has m - i of the other side before it. An end that both have
+    is one stretch, that of its first event.
+    """
+    pair = lambda i, j: F.shiftleft(F.get("a_ids", i).cast("long"), 32) + F.get("b_ids", j)
+
+    def one(event: Column, at: Column) -> Column:
+        i = _number(event)
+        second = F.when(~_ends_together(event, F.get("events", at - 1)), pair(at - i, i))
+        return F.when(_is_second(event), second).otherwise(pair(i, at - i))
+
+    return F.array_compact(F.transform("events", one))
+
+
+def aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, groups, links) for each row of documents.
+
+    ``groups`` has the ids between byte offsets at which both tokenizers' tokens end, each as ``a1,a2|b1``. ``links``
+    has each pair of occurrences with overlapping bytes, in the order of the text, as ``a * 2**32 + b``. Texts that are null,
+    empty, or whose bytes a tokenizer doesn't give back have no tokens. Texts are taken whole; repeated rows and null
+    doc_id stay; an empty table gives no rows; other columns are ignored.
+    """
+    rows = tokenised(docs, byte_path, piece_path).withColumn("events", _events("a_ends", "b_ends"))
+    groups = F.zip_with(_group_ids("a_ids", False), _group_ids("b_ids", True), lambda a, b: F.concat(a, F.lit("|"), b))
+    groups = F.when(F.size("events") > 0, groups).otherwise(F.array().cast("array<string>"))
+    sizes = (F.size(c).cast("long").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b")))
+    common = F.size(F.array_intersect("a_ends", "b_ends")).cast("long").alias("n_groups")
+    return rows.select("doc_id", *sizes, common, groups.alias("groups"), _links().alias("links"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """(pair, docs, best) of rows with ``pairs``: how many rows have a pair, and whether no pair of its first id has more."""
-    counts = rows.select(F.explode("pairs.pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs"))
+    """(pair, docs, best) of rows with ``links``: how many rows have a pair, and whether no pair of its first id has more."""
+    counts = rows.select(F.explode_outer(F.array_distinct("links")).alias("pair")).filter("pair is not null").groupBy("pair").agg(F.count("*").alias("docs"))
     most = F.max("docs").over(Window.partitionBy(F.shiftrightunsigned("pair", 32)))  # one row for each id of the second vocabulary at most
     return counts.withColumn("best", F.col("docs") == most)
 
 
 def scored(rows: DataFrame, common: int = COMMON) -> DataFrame:
-    """(row, n_best, count_sum) of rows with (row, pairs): links whose pair is its first id's best, and the counts of all.
+    """(row, n_best, count_sum) of rows with (row, links): links whose pair is its first id's best, and the counts of all.
 
-    Pairs that at least one ``common``-th of all links have, by distinct pair and document, can be ``common`` at most:
-    these are broadcast, and no pair among the others is frequent enough to fill a task of the join. Up to ``common``
-    pairs in all are broadcast whole.
+    Pairs that at least one ``common``-th of all distinct pairs of documents are can be ``common`` at most: these are
+    broadcast, and no pair among the others is frequent enough to fill a task of the join. Up to ``common`` pairs in
+    all are broadcast whole. Of the others a document has one row for each, with its number of links.
     """
     counts = durable(pair_counts(rows), "alignment-pairs")
     size = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("docs"), F.lit(0)).alias("all")).first()
     often = F.lit(size["n"] <= common) | (F.col("docs") * common >= size["all"])
-    links = rows.select("row", F.explode("pairs").alias("p")).select("row", "p.pair", "p.times")
+    links = rows.select("row", F.explode_outer("links").alias("pair")).filter("pair is not null")
     frequent = F.broadcast(counts.filter(often))
-    parts = links.join(frequent, "pair")
+    parts = links.join(frequent, "pair").select("row", "docs", "best", F.lit(1).cast("long").alias("times"))
     if size["n"] > common:
-        others = links.join(frequent, "pair", "left_anti").join(counts.filter(~often).hint("merge"), "pair")
-        parts = parts.unionByName(others)
+        others = links.join(frequent, "pair", "left_anti").groupBy("row", "pair").agg(F.count("*").alias("times"))
+        met = others.join(counts.filter(~often).hint("merge"), "pair")
+        parts = parts.unionByName(met.select("row", "docs", "best", "times"))
     return parts.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
 
 
@@ -180,14 +198,11 @@ def alignment(docs: DataFrame, byte_path: str | None = None, piece_path: str | N
     zeros and an empty digest. Rows are numbered once, in a written table, so that equal doc_ids stay apart.
     """
     rows = aligned(docs, byte_path, piece_path)
-    digest = F.when(F.size("groups") > 0, F.sha2(group_text(F.col("groups")), 256)).otherwise("")
-    counts = (F.size(c).cast("long").alias(n) for c, n in (("groups", "n_groups"), ("links", "n_links")))
-    rows = rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", *(F.col(c).cast("long").alias(c) for c in ("n_a", "n_b")), *counts, digest.alias("groups_sha256"), counted(F.col("links")).alias("pairs")
-    )
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("").alias("groups_sha256")
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), digest, "links")
     rows = durable(rows, "alignment-rows")
-    found = durable(scored(rows.select("row", "pairs"), common), "alignment-scores")
-    out = rows.drop("pairs").join(found, "row", "left").na.fill(0, ["n_best", "count_sum"])
+    found = durable(scored(rows.select("row", "links"), common), "alignment-scores")
+    out = rows.drop("links").join(found, "row", "left").na.fill(0, ["n_best", "count_sum"])
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

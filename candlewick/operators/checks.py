@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import grid
 from candlewick.operators import halo
+from candlewick.sources.written import durable
 
 #: Entries of a list in a report.
 LISTED = 100
@@ -105,12 +106,40 @@ def continuity(bars: DataFrame, span_minutes: int = 60, span_ms: int = 86_400_00
     return rows.select("symbol", "ts", "seen", (F.col("seen") < span_minutes).alias("has_gap"))
 
 
-def cooldown(triggers: DataFrame, seconds: int = 300) -> DataFrame:
-    """(key, ts) of the triggers that a cooldown lets pass: each at least ``seconds`` after the last that passed.
+def cooldown(triggers: DataFrame, hold: Column | int = 300, rounds: int = 40) -> DataFrame:
+    """(key, ts) of the triggers that a cooldown lets pass: each at least ``hold`` after the last of its key that passed.
 
-    Whether one passes hangs on all before it, so a key's times are folded in order; a key's times are one array.
+    ``hold`` is in seconds, or a column of microseconds that is the same for all rows of a key. Whether a trigger passes
+    hangs on all before it, but the first after a pause of ``hold`` passes whatever was before. From each trigger a
+    pointer leads to the first that is ``hold`` later; those reached from the first ones are found by doubling pointers,
+    so that a chain of n needs log n rounds, each written. No task has all of a key, and no array holds its times. Where
+    all chains are short (most keys of a trigger are), that is one round or none.
     """
-    times = triggers.groupBy("key").agg(F.array_sort(F.collect_list(F.unix_micros("ts"))).alias("t"))
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= seconds * 1_000_000), F.concat(acc, F.array(x))).otherwise(acc)
-    passed = F.aggregate("t", F.array().cast("array<bigint>"), step)
-    return times.select("key", F.explode(passed).alias("us")).select("key", F.timestamp_micros("us").alias("ts"))
+    us = F.lit(hold * 1_000_000).cast("long") if isinstance(hold, int) else hold.cast("long")
+    rows = triggers.select("key", F.unix_micros("ts").alias("us"), us.alias("hold")).distinct().filter("us is not null")
+    rows = durable(rows, "cooldown-triggers")
+    # at most one trigger of a span as long as the hold can pass; probes ask for the first one at or after their time
+    probes = rows.select("key", (F.col("us") + F.col("hold")).alias("at"), "hold", F.col("us").alias("origin"))
+    both = rows.select("key", F.col("us").alias("at"), "hold", F.lit(None).cast("long").alias("origin")).unionByName(probes).withColumn("span", F.floor(F.col("at") / F.col("hold")))
+    ahead = Window.partitionBy("key", "span").orderBy("at", F.col("origin").isNull().cast("int")).rowsBetween(0, Window.unboundedFollowing)
+    own = F.when(F.col("origin").isNull(), F.col("at"))
+    inside = both.withColumn("next", F.min(own).over(ahead)).withColumn("first", F.min(own).over(Window.partitionBy("key", "span")))
+    spans = both.groupBy("key", "span").agg(F.min(own).alias("first"))
+    after = F.first("first", ignorenulls=True).over(Window.partitionBy("key").orderBy("span").rowsBetween(1, Window.unboundedFollowing))
+    later = spans.select("key", "span", after.alias("later"))
+    leads = inside.filter("origin is not null").join(later, ["key", "span"], "left").select("key", F.col("origin").alias("us"), F.coalesce("next", "later").alias("next"))
+    # a trigger with none before it within the hold begins a chain; what it leads to over a pause begins one of its own
+    back = rows.withColumn("span", F.floor(F.col("us") / F.col("hold")))
+    before = F.lag("us").over(Window.partitionBy("key", "span").orderBy("us"))
+    ends = back.groupBy("key", "span").agg(F.max("us").alias("end")).withColumn("end", F.lag("end").over(Window.partitionBy("key").orderBy("span")))
+    heads = back.withColumn("before", before).join(ends, ["key", "span"]).filter("coalesce(before, end) is null or us - coalesce(before, end) >= hold").select("key", "us")
+    jump = durable(leads.filter("next is not null").join(heads.select("key", F.col("us").alias("next")), ["key", "next"], "left_anti").select("key", "us", "next"), "cooldown-leads")
+    reached = durable(heads, "cooldown-reached")
+    # each round: what the pointers reach from all that is reached, then pointers over twice as many
+    for _ in range(rounds):
+        if jump.isEmpty():
+            return reached.select("key", F.timestamp_micros("us").alias("ts"))
+        more = jump.join(reached, ["key", "us"], "left_semi").select("key", F.col("next").alias("us"))
+        reached = durable(reached.unionByName(more).distinct(), "cooldown-reached")
+        jump = durable(jump.join(jump.select("key", F.col("us").alias("next"), F.col("next").alias("end")), ["key", "next"]).select("key", "us", F.col("end").alias("next")), "cooldown-leads")
+    raise RuntimeError(f"chains of over 2 ** {rounds} triggers")

@@ -5,25 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewick.operators import halo
 from candlewick.operators.conditions import PASSED, Outcome
 
 MAX_AGE_S = 30
 COOLDOWN_S = 5
+REPEATED = "DedupGate: repeated"
 #: Seconds that a key of a trigger's type is held.
 TTL_S = {"SIGNAL": 3600, "INDICATOR": 3600, "BAR": 86_400, "PRICE": COOLDOWN_S + 1}
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str, span_ms: int = halo.SPAN_MS) -> DataFrame:
     """Each row of ``left`` with the latest struct ``value`` of ``right`` at or before its time.
 
-    Both sides are one sorted stream for each key: one shuffle, no pairs. Of rows of ``right`` with one time the
-    last by value counts; a row of ``left`` sees those with its own time.
+    Of rows of ``right`` with one time the last by value counts; a row of ``left`` sees those with its own time. A key is
+    cut into chunks of time: within one, both sides are one sorted stream; what a chunk finds nothing for has the last
+    value of the chunks before it, which comes from one row for each chunk. No pairs, and no task has all of a key.
     """
     a = left.withColumn("_t", F.col(left_ts)).withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast(right.schema[value].dataType))
     b = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), value)
-    order = Window.partitionBy(*keys).orderBy("_t", "_side", value).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last(value, ignorenulls=True).over(order))
-    return both.filter("_side = 1").drop("_t", "_side")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_chunk", halo.time_chunk("_t", span_ms))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_t", "_side", value).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_found", F.last(value, ignorenulls=True).over(inside)).filter("_side = 1")
+    last = F.max(F.when(F.col("_side") == 0, F.struct("_t", value)))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.filter(F.col("_t").isNotNull() & (F.col(value).isNotNull() | (F.col("_side") == 1))).groupBy(*keys, "_chunk").agg(last.alias("_last"))
+    carried = carried.withColumn("_carried", F.last(F.col(f"_last.{value}"), ignorenulls=True).over(earlier)).select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_chunk").alias("_of_chunk"), "_carried")
+    same = F.col("_chunk") == F.col("_of_chunk")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    met = found.join(carried, same, "left").withColumn(value, F.coalesce("_found", "_carried"))
+    return met.drop("_t", "_side", "_chunk", "_found", "_carried", "_of_chunk", *(f"_of_{k}" for k in keys))
 
 
 def signal_valid(as_of_ts: Column) -> Column:
@@ -76,29 +88,42 @@ def sanity_gate() -> Column:
     )
 
 
+def with_keys(rows: DataFrame, as_of_ts: str, timeframe: str = "1h") -> DataFrame:
+    """Add ``_early`` (why the first gates reject a row), ``_key`` (null where none is to be held) and ``_hold`` (for how many microseconds)."""
+    rows = rows.withColumn("_early", F.coalesce(phase_gate(), staleness_gate(F.col(as_of_ts))))
+    rows = rows.withColumn("_key", F.when(F.col("_early").isNull(), dedup_key(F.col(as_of_ts), timeframe)))
+    hold = F.element_at(F.create_map(*(F.lit(x) for k, v in TTL_S.items() for x in (k, v * 1_000_000))), F.col("trigger_type"))
+    return rows.withColumn("_hold", F.coalesce(hold, F.lit(3_600_000_000)))
+
+
+def _taken(keyed: DataFrame) -> DataFrame:
+    """(_key, _us) at which keys are taken, from (_key, _us, _hold).
+
+    A key's times are cut where none comes for its hold, and each part is folded once, in order. Keys hold a signal, a
+    bar or five seconds, so that parts are short; ``checks.cooldown`` is for keys that go on.
+    """
+    order = Window.partitionBy("_key").orderBy("_us")
+    apart = F.coalesce(F.col("_us") - F.lag("_us").over(order) >= F.col("_hold"), F.lit(True)).cast("int")
+    parts = keyed.distinct().withColumn("_apart", apart).withColumn("_part", F.sum("_apart").over(order))
+    times = parts.groupBy("_key", "_hold", "_part").agg(F.array_sort(F.collect_list("_us")).alias("t"))
+    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= F.col("_hold")), F.concat(acc, F.array(x))).otherwise(acc)
+    return times.select("_key", F.explode(F.aggregate("t", F.array().cast("array<bigint>"), step)).alias("_us"))
+
+
 def guarded(rows: DataFrame, as_of_ts: str, timeframe: str = "1h") -> DataFrame:
     """Add ``reject``: the first gate's reason, or null.
 
     A key is taken by the first row that gets to it, even if sanity rejects that row, and held for TTL_S from then;
-    rows that it turns away don't prolong it. A key's rows are cut where none comes for that long, and each part is
-    folded in order. Rows without a key, and those that an earlier gate rejects, stand alone.
+    rows that it turns away don't prolong it. Rows without a key, and those that an earlier gate rejects, stand alone.
     """
-    early = F.coalesce(phase_gate(), staleness_gate(F.col(as_of_ts)))
-    rows = rows.withColumn("_early", early).withColumn("_key", dedup_key(F.col(as_of_ts), timeframe)).withColumn("_us", F.unix_micros(as_of_ts))
-    alone = F.col("_key").isNull() | F.col("_early").isNotNull()
-    apart = F.concat_ws("/", F.lit("alone"), F.xxhash64("symbol", "strategy_id", "_us", "sig_intent_id").cast("string"))
-    rows = rows.withColumn("_group", F.when(alone, apart).otherwise(F.concat(F.lit("key/"), "_key")))
-    ttl = F.element_at(F.create_map(*(F.lit(x) for k, v in TTL_S.items() for x in (k, v * 1_000_000))), F.col("trigger_type"))
-    rows = rows.withColumn("_ttl", F.coalesce(ttl, F.lit(3_600_000_000)))
-    order = Window.partitionBy("_group").orderBy("_us", "sig_intent_id")
-    rows = rows.withColumn("_begins", (F.col("_us") - F.lag("_us", 1).over(order) < F.col("_ttl")).cast("int")).withColumn("_part", F.sum(1 - F.coalesce("_begins", F.lit(0))).over(order))
-    part = Window.partitionBy("_group", "_part")
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= F.col("_ttl")), F.concat(acc, F.array(x))).otherwise(acc)
-    taken = F.aggregate(F.array_sort(F.collect_list("_us").over(part)), F.array().cast("array<bigint>"), step)
-    nth = F.row_number().over(Window.partitionBy("_group", "_part", "_us").orderBy("sig_intent_id"))
-    rows = rows.withColumn("_taken", taken).withColumn("_nth", nth)
-    repeated = F.when(~alone & ~(F.array_contains("_taken", F.col("_us")) & (F.col("_nth") == 1)), "DedupGate: repeated")
-    return rows.withColumn("reject", F.coalesce("_early", repeated, sanity_gate())).drop("_early", "_key", "_us", "_group", "_ttl", "_begins", "_part", "_taken", "_nth")
+    rows = with_keys(rows, as_of_ts, timeframe).withColumn("_us", F.unix_micros(as_of_ts))
+    taken = _taken(rows.filter("_key is not null").select("_key", "_us", "_hold")).withColumn("_there", F.lit(True))
+    # rows without a key are dealt by what they are, not to one task
+    alone = F.when(F.col("_key").isNull(), F.xxhash64("symbol", "strategy_id", "sig_intent_id"))
+    nth = F.row_number().over(Window.partitionBy("_key", "_us", alone).orderBy("sig_intent_id"))
+    rows = rows.withColumn("_nth", nth).join(taken, ["_key", "_us"], "left")
+    repeated = F.when(F.col("_key").isNotNull() & ~(F.coalesce("_there", F.lit(False)) & (F.col("_nth") == 1)), REPEATED)
+    return rows.withColumn("reject", F.coalesce("_early", repeated, sanity_gate())).drop("_early", "_key", "_us", "_hold", "_there", "_nth")
 
 
 def by_signal() -> Column:

@@ -2,67 +2,116 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import TIMEFRAMES, plain
+from candlewick.plans.market import ORACLES as ORACLES_OF_BARS
 from candlewick.plans.market import WITH
-from candlewick.sources.tables import table
-from candlewick.streaming import bars
+from candlewick.plans.strategy import ORACLES as ORACLES_OF_RULES
+from candlewick.plans.strategy import context
+from candlewick.sources.store import Store
+from candlewick.sources.tables import as_ticks, bars_1m, in_utc
+from candlewick.sources.tables import ticks as ticks_of
+from candlewick.sources.written import new_folder
+from candlewick.streaming import bars, keyed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of ticks."""
+    """The events table as a stream of ticks, by the same expressions as the table's: numbers that don't parse are null."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    table(spark, sf_dir, "events")  # times are in UTC
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    return rows.select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
+    return as_ticks(in_utc(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")))
 
 
-def own_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a local session's own, and an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (folder or tempfile.mkdtemp(prefix="candlewick-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-
-
-def run_to_table(stream: DataFrame, sink: Callable[[str], Callable[[DataFrame, int], None]]) -> DataFrame:
-    """Run a stream over all that is there into the table of a sink, and read that."""
-    base = own_folder(stream.sparkSession)
-    rows = stream.writeStream.foreachBatch(sink(f"{base}/rows")).option("checkpointLocation", f"{base}/state")
-    rows.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows").select(*stream.columns)
+def run_to_store(stream: DataFrame, keys: list[str], arrival: str | None = None, name: str = "query") -> Store:
+    """Run a stream over all that is there into a store of its own."""
+    spark = stream.sparkSession
+    base = new_folder(spark, "stream")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    store = Store(spark, f"{base}/store", schema, keys, next(f.name for f in stream.schema if f.dataType.typeName() == "timestamp"), arrival)
+    with keyed.keyed_state(spark):
+        query = stream.writeStream.foreachBatch(store.sink(name)).option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return store
 
 
 def _bars_of(tf: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Bars of one timeframe whose windows the watermark has passed."""
         ticks = bars.deduplicated(tick_stream(spark, sf_dir), ["event_id"])
-        return plain(run_to_table(bars.windowed(ticks, tf, watermarked=True), lambda path: bars.insert_if_absent(path, ["symbol", "ts"])))
+        return plain(run_to_store(bars.windowed(ticks, tf, watermarked=True), ["symbol", "ts"]).read())
 
     return run
 
 
 for _tf, _ms in TIMEFRAMES.items():
     QUERIES[f"stream_bars_{_tf}"] = _bars_of(_tf)
-    ORACLES[f"stream_bars_{_tf}"] = WITH + f"""SELECT symbol, ts, open, high, low, close, volume, n AS source_count
+    ORACLES[f"stream_bars_{_tf}"] = (
+        WITH
+        + f"""SELECT symbol, ts, open, high, low, close, volume, n AS source_count
 FROM (SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE tf = '{_tf}')
 JOIN (SELECT symbol, make_timestamp(epoch_us(ts) // {_ms * 1000} * {_ms * 1000}) AS ts, count(*)::INTEGER AS n FROM ticks GROUP BY ALL) USING (symbol, ts)
 WHERE epoch_us(ts) + {_ms * 1000} <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM ticks)"""
+    )
 
 
 def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tick, as a record of an append-only log."""
-    return plain(run_to_table(tick_stream(spark, sf_dir), bars.append_log))
+    """Errors and other ticks as records of one append-only log, by two streams that both begin with batch 0."""
+    ticks = tick_stream(spark, sf_dir)
+    store = run_to_store(ticks.filter("symbol = 'error'"), [], name="errors")
+    store.save(ticks_of(spark, sf_dir).filter("symbol <> 'error'"), "others", 0)
+    return plain(store.read().groupBy("symbol").agg(F.count("*").alias("records"), F.max("ts").alias("latest"), F.sum(F.col("volume").cast("decimal(18,2)")).cast("double").alias("volume")))
 
 
 QUERIES["log_append"] = log_append
-ORACLES["log_append"] = WITH + "SELECT event_id, symbol, ts::TIMESTAMP AS ts, price, volume FROM ticks"
+ORACLES["log_append"] = WITH + "SELECT symbol, count(*) AS records, max(ts)::TIMESTAMP AS latest, sum(volume::DECIMAL(18, 2))::DOUBLE AS volume FROM ticks GROUP BY symbol"
+
+
+def save_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What saving bars in three batches came to, by two writers and with one batch twice: inserted and skipped of each."""
+    rows = bars_1m(spark, sf_dir)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    store = Store(spark, new_folder(spark, "store"), schema, ["symbol", "ts"])
+    halves = {"first": rows.filter("minute(ts) < 40"), "second": rows.filter("minute(ts) >= 20"), "all": rows}
+    for number, (name, some) in enumerate([*halves.items(), ("first", halves["first"])]):
+        store.save(some, name, 0 if name == "first" else number)
+    found = spark.createDataFrame([(c["stream"], c["inserted"], c["skipped"]) for c in store.log()], "batch string, inserted long, skipped long")
+    return found.withColumn("stored", F.lit(store.read().count()))
+
+
+QUERIES["save_report"] = save_report
+ORACLES["save_report"] = (
+    WITH
+    + """SELECT batch, inserted, total - inserted AS skipped, (SELECT count(*) FROM b1) AS stored FROM (
+SELECT 'first' AS batch, count(*) FILTER (minute(ts) < 40) AS inserted, count(*) FILTER (minute(ts) < 40) AS total FROM b1
+UNION ALL SELECT 'second', count(*) FILTER (minute(ts) >= 40), count(*) FILTER (minute(ts) >= 20) FROM b1
+UNION ALL SELECT 'all', 0, count(*) FROM b1)"""
+)
+
+
+def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticks of a stream that a cooldown of an hour for each symbol lets pass."""
+    found = keyed.cooled_down(tick_stream(spark, sf_dir).withColumnRenamed("symbol", "key"), 3600)
+    return plain(run_to_store(found.select("key", "ts"), ["key", "ts"]).read())
+
+
+QUERIES["stream_cooldown"] = stream_cooldown
+ORACLES["stream_cooldown"] = ORACLES_OF_BARS["cooldown_filter"]
+
+
+def stream_guard_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guard chain over context rows as a stream: keys are held in state, with timers."""
+    path = new_folder(spark, "context")
+    context(spark, sf_dir).write.parquet(path)
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    found = keyed.guarded(rows, "bar_time").select("symbol", "bar_time", "strategy_id", "reject")
+    return plain(run_to_store(found, ["symbol", "bar_time", "strategy_id"]).read().drop("strategy_id"))
+
+
+QUERIES["stream_guard_chain"] = stream_guard_chain
+ORACLES["stream_guard_chain"] = ORACLES_OF_RULES["guard_chain"]

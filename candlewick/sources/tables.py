@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 from candlewick.functions.timegrid import align
 
 
+def in_utc(df: DataFrame) -> DataFrame:
+    """Timestamps without a zone as instants in UTC."""
+    df.sparkSession.conf.set("spark.sql.session.timeZone", "UTC")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, its timestamps as instants in UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
+    return in_utc(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, symbol, ts, price, volume) from events."""
+def as_ticks(events: DataFrame) -> DataFrame:
+    """(event_id, symbol, ts, price, volume) from events, of a table or a stream; a volume that doesn't parse is null."""
     volume = F.get_json_object("props", "$.k").try_cast("double")
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), volume.alias("volume"))
+    return events.select("event_id", F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), volume.alias("volume"))
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as ticks."""
+    return as_ticks(table(spark, sf_dir, "events"))
 
 
 def minute_bars(ticks_: DataFrame) -> DataFrame:

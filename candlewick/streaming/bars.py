@@ -27,7 +27,8 @@ def windowed(ticks: DataFrame, tf: str = "5m", delay: str = "10 minutes", waterm
 def seen(ticks: DataFrame, minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
     """Ticks in each sliding window of ``minutes`` that moves by a minute: fewer than expected is a gap."""
     w = F.window("ts", f"{minutes} minutes", "1 minute")
-    return ticks.withWatermark("ts", delay).groupBy("symbol", w.alias("w")).agg(F.count("*").alias("seen")).select("symbol", F.col("w.end").alias("ts"), "seen")
+    rows = ticks.withWatermark("ts", delay) if ticks.isStreaming else ticks
+    return rows.groupBy("symbol", w.alias("w")).agg(F.count("*").alias("seen")).select("symbol", F.col("w.end").alias("ts"), "seen")
 
 
 def latest_price(ticks: DataFrame) -> DataFrame:
@@ -36,7 +37,10 @@ def latest_price(ticks: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: append the rows whose key the Parquet table at ``path`` lacks; a repeated batch adds nothing."""
+    """For foreachBatch: append the rows whose key the Parquet table at ``path`` lacks; a repeated batch adds nothing.
+
+    One stream alone may write the table, and each batch reads its keys: ``sources.store`` has one for many streams, by day.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -46,12 +50,3 @@ def insert_if_absent(path: str, keys: list[str]) -> Callable[[DataFrame, int], N
         rows.write.mode("append").parquet(path)
 
     return write
-
-
-def append_log(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: append all rows to the log at ``path``, a folder for each batch; a repeated batch writes its own folder anew."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return write

@@ -63,15 +63,6 @@ def test_upsert_and_fresh(spark):
     assert [tuple(r) for r in signals.fresh(incoming, old, ["k"], "seq").collect()] == [(3, "y", 1)]
 
 
-def test_log_takes_a_repeated_batch_once(spark, tmp_path):
-    path = str(tmp_path / "log")
-    write = bars.append_log(path)
-    first, second = ticks(spark, [(1, "s", 0, 1), (1, "s", 0, 1)]), ticks(spark, [(2, "s", 9, 1)])
-    for number, batch in ((0, first), (1, second), (1, second)):
-        write(batch, number)
-    assert sorted(r.event_id for r in spark.read.schema(SCHEMA).parquet(path).collect()) == [1, 1, 2]
-
-
 def test_system_definitions_are_inserted_once(spark):
     schema = "id long, user_id long, code string, version string"
     stored = spark.createDataFrame([(1, 0, "SMA", "v1"), (2, 7, "EMA", "v1")], schema)

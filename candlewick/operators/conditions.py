@@ -1,4 +1,4 @@
-"""Rule trees in JSON, compiled to columns: PASSED, FAILED or BLOCKED for each row, and a trace of the rules.
+"""Rule trees in JSON, compiled to columns: PASSED, FAILED or BLOCKED for each row, and what was hit.
 
 Three outcomes, not SQL's null logic: a rule or group that is BLOCKED blocks its tree, unless the tree's mode is
 ANY and one before it has passed. Modes other than ANY mean ALL; ALL of nothing passes, ANY of nothing fails.
@@ -29,10 +29,15 @@ class Value(NamedTuple):
 
 
 class Outcome(NamedTuple):
-    """The state of a tree or rule, and its trace as an array of (factor, operator, value, state)."""
+    """The state of a tree or rule, why it is BLOCKED (else null), and its hits (null for a tree that is BLOCKED).
+
+    A rule's hits are a struct (factor, operator, value, hit, reason); a tree's are (rules, groups) with the rules' structs
+    and one (mode, hit, rules) for each group, as far as evaluation went.
+    """
 
     state: Column
-    trace: Column
+    reason: Column
+    hits: Column
 
 
 def factors(code: str = "ind_code", value: str = "ind_value", extra: str = "ind_extra") -> Mapping[str, Value]:
@@ -96,25 +101,45 @@ def _compared(left: Value, operator: str, right: Value) -> Column | None:
 def rule(spec: Mapping, known: Mapping[str, Value]) -> Outcome:
     """Compile one rule {factor, operator, value, type, nullable}."""
     key, operator, value = spec.get("factor"), str(spec.get("operator", "")), spec.get("value")
-    blocked = F.lit(BLOCKED)
-    state = blocked
+    state, reason = F.lit(BLOCKED), F.lit(f"factor not allowed: {key}")
     if allowed(key):
         left = known[key]
-        gone = F.lit(FAILED if spec.get("nullable") is True else BLOCKED)
         if isinstance(value, str) and "." in value and allowed(value):
             right = known[value]
         else:
             right = None if value is None else _literal(value, spec.get("type", NUMBER))
         made = _compared(left, operator, right) if right is not None else None
-        found = blocked if made is None else F.when(right.column.isNull() | made.isNull(), BLOCKED).when(made, PASSED).otherwise(FAILED)
-        state = F.when(left.column.isNull(), gone).otherwise(found)
-    trace = F.array(F.struct(F.lit(key).cast("string").alias("factor"), F.lit(operator).alias("operator"), F.lit(None if value is None else str(value)).cast("string").alias("value"), state.alias("state")))
-    return Outcome(state, trace)
+        state = reason = F.lit(None).cast("string")
+        if right is None:
+            state, reason = F.lit(BLOCKED), F.lit(f"no such value: {value}")
+        elif made is None:
+            state, reason = F.lit(BLOCKED), F.lit(f"can't be compared: {key} {operator}")
+        else:
+            none, odd = right.column.isNull(), made.isNull()
+            state = F.when(none | odd, BLOCKED).when(made, PASSED).otherwise(FAILED)
+            reason = F.when(none, f"no such value: {value}").when(odd, f"can't be compared: {key} {operator}")
+        gone, nullable = left.column.isNull(), spec.get("nullable") is True
+        state = F.when(gone, FAILED if nullable else BLOCKED).otherwise(state)
+        reason = F.when(gone, F.lit(None if nullable else f"factor has no value: {key}").cast("string")).otherwise(reason)
+    text = F.lit(None if value is None else str(value)).cast("string")
+    told = F.coalesce(reason, F.when(state == PASSED, "hit").otherwise("miss"))
+    fields = {"factor": F.lit(key).cast("string"), "operator": F.lit(operator), "value": text, "hit": state == PASSED, "reason": told}
+    return Outcome(state, reason.cast("string"), F.struct(*(c.alias(n) for n, c in fields.items())))
+
+
+_RULES = "array<struct<factor:string,operator:string,value:string,hit:boolean,reason:string>>"
+_GROUPS = f"array<struct<mode:string,hit:boolean,rules:{_RULES}>>"
 
 
 def tree(spec: Mapping, known: Mapping[str, Value]) -> Outcome:
-    """Compile a tree {mode, rules, groups}: its parts in order, rules before groups."""
-    parts = [rule(r, known) for r in spec.get("rules") or []] + [tree(g, known) for g in spec.get("groups") or []]
+    """Compile a tree {mode, rules, groups}: its parts in order, rules before groups.
+
+    Evaluation ends at the first part that is BLOCKED, and where the mode is ANY at the first that passes; what comes
+    after it isn't among the hits. A group's hits are its rules, not those of groups inside it.
+    """
+    rules = [rule(r, known) for r in spec.get("rules") or []]
+    groups = [(g.get("mode", "ALL"), tree(g, known)) for g in spec.get("groups") or []]
+    parts = rules + [g for _, g in groups]
     any_ = spec.get("mode", "ALL") == "ANY"
     if any_:
         state = F.lit(FAILED)
@@ -125,8 +150,16 @@ def tree(spec: Mapping, known: Mapping[str, Value]) -> Outcome:
         for p in parts:
             blocked, failed = blocked | (p.state == BLOCKED), failed | (p.state == FAILED)
         state = F.when(blocked, BLOCKED).when(failed, FAILED).otherwise(PASSED)
-    trace = F.concat(*(p.trace for p in parts)) if parts else F.array().cast("array<struct<factor:string,operator:string,value:string,state:string>>")
-    return Outcome(state, trace)
+    reached, going, reason = [], F.lit(True), F.lit(None).cast("string")
+    for p in parts:
+        reached.append(going)
+        reason = F.coalesce(reason, F.when(going & (p.state == BLOCKED), p.reason))
+        going = going & (p.state != BLOCKED) & ((p.state != PASSED) if any_ else F.lit(True))
+    shown = [F.when(on, p.hits) for on, p in zip(reached, rules)]
+    inner = [F.when(on, F.struct(F.lit(mode).alias("mode"), (g.state == PASSED).alias("hit"), F.coalesce(g.hits["rules"], F.array().cast(_RULES)).alias("rules"))) for on, (mode, g) in zip(reached[len(rules) :], groups)]
+    listed = lambda xs, kind: (F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs else F.array()).cast(kind)
+    hits = F.when(state != BLOCKED, F.struct(listed(shown, _RULES).alias("rules"), listed(inner, _GROUPS).alias("groups")))
+    return Outcome(state, reason, hits)
 
 
 def compiled(text: str | None, known: Mapping[str, Value]) -> Outcome:
@@ -136,5 +169,6 @@ def compiled(text: str | None, known: Mapping[str, Value]) -> Outcome:
     except json.JSONDecodeError:
         spec = None
     if not isinstance(spec, dict) or not spec:
-        return Outcome(F.lit(BLOCKED), tree({}, known).trace)
+        none = F.lit(None).cast(f"struct<rules:{_RULES},groups:{_GROUPS}>")
+        return Outcome(F.lit(BLOCKED), F.lit("no condition"), none)
     return tree(spec, known)

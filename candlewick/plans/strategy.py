@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import TIMEFRAMES, plain, plus_ms
-from candlewick.operators import conditions, decisions, halo, indicators, signals
+from candlewick.operators import conditions, decisions, halo, indicators, quantiles, signals
 from candlewick.plans.market import WITH, hourly
 from candlewick.sources.tables import table
 
@@ -117,7 +117,25 @@ for _name in TREES:
 @query("cond_trace", "SELECT symbol, bar_time, 'BAR.CLOSE GT BAR.OPEN ' || CASE WHEN bar_close > bar_open THEN 'PASSED' ELSE 'FAILED' END || ';BAR.VOLUME GTE 40 ' || CASE WHEN bar_volume >= 40 THEN 'PASSED' ELSE 'FAILED' END AS trace FROM ctx")
 def _(spark, sf_dir):
     out = conditions.compiled(json.dumps(TREES["cond_bar"][0]), conditions.factors())
-    return context(spark, sf_dir).select("symbol", "bar_time", F.array_join(F.transform(out.trace, lambda x: F.concat_ws(" ", x["factor"], x["operator"], x["value"], x["state"])), ";").alias("trace"))
+    said = F.transform(out.hits["rules"], lambda x: F.concat_ws(" ", x["factor"], x["operator"], x["value"], F.when(x["hit"], "PASSED").otherwise("FAILED")))
+    return context(spark, sf_dir).select("symbol", "bar_time", F.array_join(said, ";").alias("trace"))
+
+
+def _hit_text(rules: F.Column) -> F.Column:
+    return F.array_join(F.transform(rules, lambda x: F.concat_ws(" ", x["factor"], x["operator"], x["value"], x["reason"])), ";")
+
+
+@query(
+    "cond_hits",
+    """SELECT symbol, bar_time, CASE WHEN NOT first AND ind_value IS NULL THEN 'factor has no value: IND.SMA' WHEN NOT first AND NOT second AND NOT sig_valid THEN 'factor has no value: SIG.INTENT_ID' END AS blocked,
+ CASE WHEN first THEN 'PX.LAST GT 50 hit' WHEN ind_value IS NULL THEN NULL WHEN second THEN 'PX.LAST GT 50 miss;IND.SMA GT 30 hit' WHEN NOT sig_valid THEN NULL ELSE 'PX.LAST GT 50 miss;IND.SMA GT 30 miss' END AS rules,
+ CASE WHEN first THEN '' WHEN ind_value IS NULL THEN NULL WHEN second THEN '' WHEN NOT sig_valid THEN NULL ELSE 'ALL miss: SIG.INTENT_ID GT 500 ' || CASE WHEN sig_intent_id > 500 THEN 'hit' ELSE 'miss' END || '/ALL hit: ' END AS groups
+FROM (SELECT *, coalesce(px_last > 50, false) AS first, coalesce(ind_value > 30, false) AS second FROM ctx)""",
+)
+def _(spark, sf_dir):
+    out = conditions.compiled(json.dumps(TREES["cond_tree"][0]), conditions.factors())
+    group = lambda g: F.concat(g["mode"], F.when(g["hit"], " hit: ").otherwise(" miss: "), _hit_text(g["rules"]))
+    return context(spark, sf_dir).select("symbol", "bar_time", out.reason.alias("blocked"), _hit_text(out.hits["rules"]).alias("rules"), F.array_join(F.transform(out.hits["groups"], group), "/").alias("groups"))
 
 
 _PHASE = "CASE WHEN state_side IS NULL THEN 'PhaseGate: no state' END"
@@ -266,10 +284,16 @@ def _(spark, sf_dir):
     return signals.page(rows, [F.desc("ts"), F.desc("event_id")], page=2, size=50)
 
 
-@query("calc_cost_percentiles", "SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi, round(sum(value::DECIMAL(18, 2))::DOUBLE / count(*), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+@query(
+    "calc_cost_percentiles",
+    """SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi, round(sum(value::DECIMAL(18, 2))::DOUBLE / count(*), 6) AS mean,
+ quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type""",
+)
 def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
     mean = F.round(F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count("*"), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), mean.alias("mean"), F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
+    sums = e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), mean.alias("mean"))
+    return sums.join(quantiles.exact(e, ["event_type"], "value", {"p50": "0.5", "p95": "0.95", "p99": "0.99"}), "event_type", "left")
 
 
 @query("fingerprint", "SELECT p_partkey, sha256(p_brand || ':' || p_size || ':' || 'brand=' || p_brand || ',size=' || p_size || ',type=' || p_type || ':ta') AS fingerprint FROM part")

@@ -241,13 +241,19 @@ def _(spark, sf_dir):
     return found.orderBy(F.desc("bar_time"), "strategy_id").limit(25).select("symbol", "bar_time", "action")
 
 
-@query("signal_parse", "SELECT event_id, direction, price, quantity, event_type FROM (SELECT event_id, CASE WHEN a LIKE '%BUY%' OR a LIKE '%LONG%' THEN 'LONG' WHEN a LIKE '%SELL%' OR a LIKE '%SHORT%' THEN 'SHORT' ELSE 'NEUTRAL' END AS direction, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS price, CASE WHEN event_id % 2 = 0 THEN event_id % 50 + 0.5 ELSE event_id % 7 END::DOUBLE AS quantity, upper(event_type) AS event_type FROM (SELECT *, upper(coalesce(['buy', 'Go LONG', 'sell', 'x-short', 'close', ''][1 + event_id % 6], '')) AS a FROM events))")
-def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+def payloads(events: DataFrame) -> DataFrame:
+    """(event_id, ts, payload): events as webhook signals in JSON, some with numbers that don't parse."""
     words = F.element_at(F.array(*map(F.lit, ("buy", "Go LONG", "sell", "x-short", "close", ""))), (F.col("event_id") % 6 + 1).cast("int"))
     price = F.when(F.col("event_id") % 9 == 0, "n/a").otherwise(F.col("value").cast("string"))
-    payload = F.to_json(F.struct(words.alias("action"), price.alias("price"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 50 + 0.5).alias("quantity"), (F.col("event_id") % 7).alias("qty"), F.col("event_type")))
-    return signals.parsed(e.select("event_id", payload.alias("payload")), "payload").select("event_id", "direction", "price", "quantity", "event_type")
+    quantity = F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 50 + 0.5)
+    payload = F.to_json(F.struct(words.alias("action"), price.alias("price"), quantity.alias("quantity"), (F.col("event_id") % 7).alias("qty"), F.col("event_type")))
+    return events.select("event_id", "ts", payload.alias("payload"))
+
+
+@query("signal_parse", "SELECT event_id, direction, price, quantity, event_type FROM (SELECT event_id, CASE WHEN a LIKE '%BUY%' OR a LIKE '%LONG%' THEN 'LONG' WHEN a LIKE '%SELL%' OR a LIKE '%SHORT%' THEN 'SHORT' ELSE 'NEUTRAL' END AS direction, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS price, CASE WHEN event_id % 2 = 0 THEN event_id % 50 + 0.5 ELSE event_id % 7 END::DOUBLE AS quantity, upper(event_type) AS event_type FROM (SELECT *, upper(coalesce(['buy', 'Go LONG', 'sell', 'x-short', 'close', ''][1 + event_id % 6], '')) AS a FROM events))")
+def _(spark, sf_dir):
+    found = signals.parsed(payloads(table(spark, sf_dir, "events")), "payload")
+    return found.select("event_id", "direction", "price", "quantity", "event_type")
 
 
 @query("signals_latest", "SELECT intent_id, symbol, received_at, direction FROM sig ORDER BY received_at DESC, intent_id DESC LIMIT 40")

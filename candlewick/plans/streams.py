@@ -11,12 +11,12 @@ from candlewick.functions.timegrid import TIMEFRAMES, plain
 from candlewick.plans.market import ORACLES as ORACLES_OF_BARS
 from candlewick.plans.market import WITH
 from candlewick.plans.strategy import ORACLES as ORACLES_OF_RULES
-from candlewick.plans.strategy import context
+from candlewick.plans.strategy import context, payloads
 from candlewick.sources.store import Store
-from candlewick.sources.tables import as_ticks, bars_1m, in_utc
+from candlewick.sources.tables import as_ticks, bars_1m, in_utc, table
 from candlewick.sources.tables import ticks as ticks_of
 from candlewick.sources.written import new_folder
-from candlewick.streaming import bars, keyed
+from candlewick.streaming import bars, fanout, keyed, monitor, series
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,92 @@ def stream_guard_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_guard_chain"] = stream_guard_chain
 ORACLES["stream_guard_chain"] = ORACLES_OF_RULES["guard_chain"]
+
+
+_CLOSED = "epoch_us(ts) + 3600000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM ticks)"
+
+
+def closed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars as a stream, each when the watermark has passed its end."""
+    return bars.windowed(bars.deduplicated(tick_stream(spark, sf_dir), ["event_id"]), "1h", watermarked=True)
+
+
+def stream_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages, strength and MACD of hourly bars: bars close on one stream, and are the input of another that keeps the series."""
+    closed = run_to_store(closed_hours(spark, sf_dir), ["symbol", "ts"]).read()
+    path = new_folder(spark, "closed-bars")
+    closed.select("symbol", "ts", "close").write.parquet(path)
+    rows = spark.readStream.schema("symbol string, ts timestamp, close double").parquet(path)
+    return plain(run_to_store(series.indicators(rows), ["symbol", "ts"]).read())
+
+
+def _of(name: str) -> str:
+    return "(" + ORACLES_OF_BARS[f"ind_{name}"].removeprefix(WITH) + ")"
+
+
+QUERIES["stream_indicators"] = stream_indicators
+ORACLES["stream_indicators"] = (
+    WITH
+    + f"""SELECT symbol, ts::TIMESTAMP AS ts, e.value AS ema, r.value AS rsi, macd, signal, histogram
+FROM {_of("ema")} e JOIN {_of("rsi")} r USING (symbol, ts) JOIN {_of("macd")} m USING (symbol, ts) WHERE {_CLOSED}"""
+)
+
+
+def _subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as subscriptions: several configurations of a nation's user on a symbol."""
+    names = F.element_at(F.array(*map(F.lit, ("click", "view", "error", "none"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(names.alias("symbol"), F.col("c_nationkey").alias("user_id"), F.col("c_custkey").alias("config_id"), (F.col("c_acctbal") > 0).cast("int").alias("enabled"))
+
+
+def stream_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars as they close, for each user who has subscribed to their symbol."""
+    found = fanout.subscribers(closed_hours(spark, sf_dir).select("symbol", "ts", "close"), _subscriptions(spark, sf_dir))
+    rows = run_to_store(found.select("symbol", "ts", "close", "user_id", F.size("configs").alias("configs"), F.array_min("configs").alias("first_config")), ["symbol", "ts", "user_id"]).read()
+    return plain(rows)
+
+
+QUERIES["stream_subscribers"] = stream_subscribers
+ORACLES["stream_subscribers"] = (
+    WITH
+    + f"""SELECT symbol, ts::TIMESTAMP AS ts, close, user_id, configs, first_config FROM h1
+JOIN (SELECT ['click', 'view', 'error', 'none'][1 + c_custkey % 4] AS symbol, c_nationkey AS user_id, count(DISTINCT c_custkey)::INTEGER AS configs, min(c_custkey) AS first_config
+ FROM customer WHERE c_acctbal > 0 GROUP BY ALL) USING (symbol) WHERE {_CLOSED}"""
+)
+
+
+def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webhook signals on a stream with the configuration of their key, where one is enabled."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = in_utc(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+    stream = payloads(events).withColumn("signal_key", F.concat(F.lit("k"), F.col("event_id") % 40))
+    configs = table(spark, sf_dir, "customer").filter("c_custkey <= 30")
+    configs = configs.select(F.concat(F.lit("k"), F.col("c_custkey")).alias("signal_key"), F.col("c_custkey").alias("signal_config_id"), F.col("c_nationkey").alias("user_id"), (F.col("c_acctbal") > 0).cast("int").alias("enabled"))
+    found = fanout.configured(stream, configs).select("event_id", "ts", "direction", "price", "quantity", "signal_config_id", "user_id")
+    return plain(run_to_store(found, ["event_id"]).read())
+
+
+QUERIES["stream_signals"] = stream_signals
+ORACLES["stream_signals"] = f"""SELECT event_id, ts::TIMESTAMP AS ts, direction, price, quantity, signal_config_id, user_id
+FROM ({ORACLES_OF_RULES["signal_parse"]}) JOIN (SELECT event_id, ts FROM events) USING (event_id)
+LEFT JOIN (SELECT c_custkey AS signal_config_id, c_nationkey AS user_id FROM customer WHERE c_custkey <= 30 AND c_acctbal > 0) ON event_id % 40 = signal_config_id"""
+
+
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two streams of writes report of themselves, with the alerts that follow: one is slow and loses writes, one isn't."""
+    found = monitor.Metrics("good", "bad")
+    for name, latency, lost in (("good", F.lit(2.5), 0), ("bad", F.col("volume"), 20)):
+        rows = tick_stream(spark, sf_dir).select("event_id", "ts", latency.alias("latency_ms"), (F.col("event_id") % 100 >= lost).alias("written"))
+        query = monitor.observed(rows, name).writeStream.format("noop").option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        for progress in query.recentProgress:
+            found.add(progress)
+    return monitor.alerts(found.table(spark))
+
+
+QUERIES["stream_alerts"] = stream_alerts
+ORACLES["stream_alerts"] = (
+    WITH
+    + """SELECT stream, count(*) AS total, count(*) FILTER (w) AS written, round(count(*) FILTER (w) * 100.0::DOUBLE / count(*), 6) AS rate, min(ms) AS min_ms, max(ms) AS max_ms, round(sum(ms) / count(*), 6) AS mean_ms,
+ concat_ws(',', CASE WHEN max(ms) > 10 THEN 'LATENCY' END, CASE WHEN count(*) FILTER (w) * 100.0::DOUBLE / count(*) < 99 THEN 'WRITE_RATE' END) AS alerts
+FROM (SELECT 'good' AS stream, 2.5::DOUBLE AS ms, true AS w FROM ticks UNION ALL SELECT 'bad', volume, event_id % 100 >= 20 FROM ticks) GROUP BY stream"""
+)

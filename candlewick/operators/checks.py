@@ -98,11 +98,16 @@ def verify_report(rows: DataFrame, arrival: str, places: int = ARRIVALS) -> Data
     return met.select("symbol", "total", F.coalesce("dup", F.lit(0)).cast("long").alias("duplicates"), "out_of_order", "data_errors", (F.col("data_errors") + F.col("out_of_order")).alias("error_count"), listed.alias("details"))
 
 
-def continuity(bars: DataFrame, span_minutes: int = 60, span_ms: int = 86_400_000) -> DataFrame:
-    """Each bar with how many bars the minutes before it have; fewer than all is a gap. Chunks of ``span_ms`` have the minutes before them."""
-    spread = halo.with_time_before(bars.select("symbol", "ts"), span_ms, span_minutes * 60_000)
+def continuity(bars: DataFrame, span_minutes: int = 60, span_ms: int = 86_400_000, arrival: str | None = None, places: int = ARRIVALS) -> DataFrame:
+    """Each bar with how many bars the minutes before it have; fewer than all is a gap. Chunks of ``span_ms`` have the minutes before them.
+
+    In order of ``arrival``, a bar that isn't after all that came before it (late, or again) isn't looked at.
+    """
+    spread = halo.with_time_before(bars, span_ms, span_minutes * 60_000)
     order = Window.partitionBy("symbol", halo.PART).orderBy(F.unix_seconds("ts")).rangeBetween(-60 * span_minutes, -1)
     rows = spread.withColumn("seen", F.count("*").over(order)).filter(F.col(halo.PART) == halo.time_chunk("ts", span_ms))
+    if arrival is not None:
+        rows = halo.greatest_before(rows, ("symbol",), F.floor(F.col(arrival) / places), arrival, "ts", "_latest").filter("_latest is null or ts > _latest")
     return rows.select("symbol", "ts", "seen", (F.col("seen") < span_minutes).alias("has_gap"))
 
 

@@ -174,7 +174,7 @@ def reason_document(action: Column, timeframe: str = "1h") -> Column:
     return F.to_json(
         F.struct(
             part(known, type=F.coalesce("trigger_type", F.lit("UNKNOWN")), source=source, timestamp=ms("bar_time")).alias("trigger"),
-            part(col("state_side").isNotNull(), positionSide=col("state_side"), positionQty=col("state_qty"), avgEntryPrice=col("state_entry")).alias("logicStateBefore"),
+            part(col("state_side").isNotNull(), phase=col("state_phase"), positionSide=col("state_side"), positionQty=col("state_qty"), avgEntryPrice=col("state_entry")).alias("logicStateBefore"),
             part(
                 known,
                 signal=part(col("sig_intent_id").isNotNull(), intentId=col("sig_intent_id"), direction=col("sig_direction"), activatedAt=ms("sig_received_at")),
@@ -182,7 +182,7 @@ def reason_document(action: Column, timeframe: str = "1h") -> Column:
                 bar=part(col("bar_close").isNotNull(), timeframe=F.lit(timeframe), closeTime=ms("bar_time"), close=col("bar_close")),
                 price=part(col("px_last") > 0, current=col("px_last"), timestamp=ms("bar_time")),
             ).alias("snapshots"),
-            part(col("param_capital").isNotNull(), initialCapital=col("param_capital"), baseOrderRatio=col("param_ratio"), stopLossRatio=col("param_stop_loss")).alias("paramsDigest"),
+            part(col("param_capital").isNotNull(), initialCapital=col("param_capital"), baseOrderRatio=col("param_ratio"), takeProfitRatio=col("param_take_profit"), stopLossRatio=col("param_stop_loss")).alias("paramsDigest"),
             part(known, strategyType=col("strategy_type"), action=action).alias("decisionBasis"),
             F.concat_ws(" -> ", F.coalesce("state_side", F.lit("FLAT")), action).alias("stateChange"),
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,34 @@ def search(rows: DataFrame, word: str, columns: list[str]) -> DataFrame:
     for c in columns:
         found = found | F.col(c).contains(word)
     return rows.filter(found)
+
+
+def _given(value: object) -> bool:
+    return value is not None and not (isinstance(value, str) and not value.strip())
+
+
+def matching(rows: DataFrame, equal: Mapping[str, object] | None = None, since: Mapping[str, object] | None = None, until: Mapping[str, object] | None = None) -> DataFrame:
+    """Rows that meet the predicates that are given: columns equal to, not below, not above a value. None and blank text ask for nothing."""
+    for c, v in (equal or {}).items():
+        rows = rows.filter(F.col(c) == F.lit(v)) if _given(v) else rows
+    for c, v in (since or {}).items():
+        rows = rows.filter(F.col(c) >= F.lit(v).cast(rows.schema[c].dataType)) if _given(v) else rows
+    for c, v in (until or {}).items():
+        rows = rows.filter(F.col(c) <= F.lit(v).cast(rows.schema[c].dataType)) if _given(v) else rows
+    return rows
+
+
+def lookup(rows: DataFrame, enabled: bool | None = None, order: tuple[str, ...] = (), **keys: object) -> DataFrame:
+    """Rows of a dimension by its keys (user_id, strategy_id, pair_id, ...), all of which must be given; only enabled ones if asked."""
+    for c, v in keys.items():
+        if not _given(v):
+            raise ValueError(f"{c} is to be given")
+    rows = matching(rows, {**keys, "enabled": None if enabled is None else int(enabled)})
+    return rows.orderBy(*order) if order else rows
+
+
+def pair_info(requests: DataFrame, pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Each of ``requests`` (pair_id, ...) with its pair's and its listing's columns, and ``error`` where either isn't there."""
+    met = requests.join(pairs.withColumn("_pair", F.lit(1)), "pair_id", "left").join(listed.withColumn("_listed", F.lit(1)), "pair_id", "left")
+    error = F.when(F.col("_pair").isNull(), F.concat(F.lit("no pair "), F.col("pair_id").cast("string"))).when(F.col("_listed").isNull(), F.concat(F.lit("pair "), F.col("pair_id").cast("string"), F.lit(" isn't listed")))
+    return met.withColumn("error", error).drop("_pair", "_listed")

@@ -57,3 +57,16 @@ def windowed(rows: DataFrame, compute: Callable[[DataFrame, tuple[str, ...]], Da
     spread = with_rows_before(rows, keys, time_chunk(ts, span_ms), ts, before)
     found = compute(spread, (*keys, PART))
     return found.filter(F.col(PART) == time_chunk(ts, span_ms)).drop(PART)
+
+
+def greatest_before(rows: DataFrame, keys: tuple[str, ...], chunk: Column, order: str, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the greatest ``value`` of all rows of the key that stand before in ``order``, in many tasks.
+
+    Inside a chunk it is a window's; what the chunks before it hold comes from one row for each chunk.
+    """
+    cut = rows.withColumn("_chunk", chunk)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = cut.groupBy(*keys, "_chunk").agg(F.max(value).alias("_most")).withColumn("_earlier", F.max("_most").over(along)).drop("_most")
+    found = cut.withColumn("_inside", F.max(value).over(inside)).join(earlier, [*keys, "_chunk"])
+    return found.select(*rows.columns, F.greatest("_inside", "_earlier").alias(name))

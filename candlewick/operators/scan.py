@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.functions.timegrid import align, local_time, plus_ms
+from candlewick.functions.timegrid import TIMEFRAMES, align, local_time, plus_ms
 from candlewick.operators import halo
 
 #: Rows that a range query gives at most when it has a limit.
@@ -60,6 +60,23 @@ def series(bars: DataFrame, ms: int, most: int = SERIES) -> DataFrame:
     return rows.filter(F.col("nth") <= most).drop("nth").withColumn("bar_time", plus_ms(F.col("ts"), ms))
 
 
+def series_for(requests: DataFrame, bars: DataFrame, listed: DataFrame, standard: DataFrame, most: int = SERIES) -> DataFrame:
+    """(pair_id, tf, symbol, ts, bar_time, open, high, low, close, volume) for each of ``requests`` (pair_id, tf, n): the pair's latest bars.
+
+    ``bars`` are rollups (symbol, tf, ts, ...) of TIMEFRAMES; other timeframes have no series. Bars are stored under the
+    exchange's symbol of a pair (``listed``: pair_id, symbol; null and empty ones don't count), else under the ``standard``
+    one; a pair without either has none. At most ``n`` and ``most`` bars. Requests are few beside bars, and distinct.
+    """
+    named = listed.filter("symbol <> ''").select("pair_id", F.col("symbol").alias("_listed"))
+    wanted = requests.filter(F.col("tf").isin(*TIMEFRAMES)).join(named, "pair_id", "left").join(standard.select("pair_id", F.col("symbol").alias("_standard")), "pair_id", "left")
+    wanted = wanted.select("pair_id", "tf", F.least("n", F.lit(most)).alias("n"), F.coalesce("_listed", "_standard").alias("symbol")).filter("symbol <> ''")
+    newest = Window.partitionBy("pair_id", "tf").orderBy(F.desc("ts"))
+    # the rank's limit cuts rows before the shuffle; the request's own limit comes after
+    rows = bars.join(wanted, ["symbol", "tf"]).withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") <= most).filter("_nth <= n")
+    ms = F.element_at(F.create_map(*(F.lit(x) for kv in TIMEFRAMES.items() for x in kv)), F.col("tf"))
+    return rows.select("pair_id", "tf", "symbol", "ts", plus_ms(F.col("ts"), ms).alias("bar_time"), "open", "high", "low", "close", "volume")
+
+
 def step_anomalies(bars: DataFrame, ms: int, span_ms: int = halo.SPAN_MS) -> DataFrame:
     """(symbol, ts, previous, step_ms) where two bars that follow each other are not ``ms`` apart."""
     previous = lambda rows, by: rows.select(*by, "ts", F.lag("ts").over(Window.partitionBy(*by).orderBy("ts")).alias("previous"))

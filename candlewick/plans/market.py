@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from candlewick.functions.timegrid import MINUTE, TIMEFRAMES, plain, plus_ms
 from candlewick.operators import checks, indicators, rollup, scan
 from candlewick.sources.tables import bars_1m, ticks
+from candlewick.streaming import bars as streams
 
 SYMBOL, DAY, BEGIN, END = "click", "2024-01-05", "2024-01-05 00:00:00", "2024-01-06 00:00:00"
 
@@ -251,7 +252,7 @@ ORACLES["cooldown_filter"] = ORACLES["cooldown_filter"].replace("WITH ticks", "W
 
 @query("latest_price", "SELECT symbol, arg_max(price, (ts, event_id)) AS price, max(ts) AS ts FROM ticks GROUP BY symbol")
 def _(spark, sf_dir):
-    return ticks(spark, sf_dir).groupBy("symbol").agg(F.max_by("price", F.struct("ts", "event_id")).alias("price"), F.max("ts").alias("ts"))
+    return streams.latest_price(ticks(spark, sf_dir))
 
 
 _F = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {0} PRECEDING AND CURRENT ROW)"

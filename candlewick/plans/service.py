@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import MINUTE, align, plain, plus_ms
-from candlewick.operators import checks, dims, indicators, rollup, signals
+from candlewick.operators import checks, dims, indicators, rollup, scan, signals
 from candlewick.plans.market import BEGIN, END, WITH, hourly
+from candlewick.sources import exchange
 from candlewick.sources.tables import bars_1m, table, ticks
+from candlewick.streaming import bars as streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,9 +99,7 @@ def _(spark, sf_dir):
     name = F.when(F.col("event_type") == "error", "other").when(F.col("event_id") % 2 == 0, "candle1m").otherwise("tickers")
     text = F.when(F.col("event_id") % 10 == 9, F.lit('{"event":"login"}')).otherwise(F.to_json(F.struct(F.struct(name.alias("channel")).alias("arg"))))
     rows = table(spark, sf_dir, "events").select(text.alias("message"))
-    channel = F.get_json_object("message", "$.arg.channel")
-    kind = F.when(F.get_json_object("message", "$.event").isNotNull(), "system").when(channel.startswith("candle"), "candle").when(channel == "tickers", "ticker").otherwise("unknown")
-    return rows.groupBy(kind.alias("channel")).agg(F.count("*").alias("n"))
+    return rows.groupBy(exchange.channel("message").alias("channel")).agg(F.count("*").alias("n"))
 
 
 @query("backfill_pages", WITH + f"SELECT symbol, make_timestamp(epoch_us(ts) // 18000000000 * 18000000000) AS page_start, make_timestamp(epoch_us(ts) // 18000000000 * 18000000000) + INTERVAL 300 MINUTE AS page_end, count(*) AS missing FROM (SELECT symbol, unnest(generate_series(TIMESTAMP '{BEGIN}', TIMESTAMP '2024-01-05 23:59:00', INTERVAL 1 MINUTE)) AS ts FROM (SELECT DISTINCT symbol FROM b1)) g ANTI JOIN b1 USING (symbol, ts) GROUP BY ALL")
@@ -111,8 +111,7 @@ def _(spark, sf_dir):
 
 @query("sliding_seen", WITH + "SELECT symbol, w AS ts, count(*) AS seen FROM (SELECT symbol, unnest(generate_series(date_trunc('minute', ts)::TIMESTAMP + INTERVAL 1 MINUTE, date_trunc('minute', ts)::TIMESTAMP + INTERVAL 60 MINUTE, INTERVAL 1 MINUTE)) AS w FROM ticks) GROUP BY ALL")
 def _(spark, sf_dir):
-    w = F.window("ts", "60 minutes", "1 minute")
-    return ticks(spark, sf_dir).groupBy("symbol", w.alias("w")).agg(F.count("*").alias("seen")).select("symbol", F.col("w.end").alias("ts"), "seen")
+    return streams.seen(ticks(spark, sf_dir))
 
 
 @query("ind_stoch_smoothed", WITH + ", k AS (SELECT symbol, ts, CASE WHEN hh <> ll THEN round((close - ll) / (hh - ll) * 100, 8) END AS k FROM (SELECT *, min(low) OVER w AS ll, max(high) OVER w AS hh FROM h1 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))) SELECT symbol, ts, k, CASE WHEN count(k) OVER v = 3 THEN round(avg(k) OVER v, 8) END AS d FROM k WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
@@ -130,3 +129,74 @@ def _(spark, sf_dir):
 @query("incomplete_windows", WITH + "SELECT tf, count(*) AS windows, count(*) FILTER (NOT is_complete) AS incomplete FROM bars GROUP BY tf")
 def _(spark, sf_dir):
     return rollup.rollup(bars_1m(spark, sf_dir)).groupBy("tf").agg(F.count("*").alias("windows"), F.count_if(~F.col("is_complete")).alias("incomplete"))
+
+
+_ARRIVED = "(epoch_us(ts) // 60000000 // 100 * 100 + epoch_us(ts) // 60000000 % 10 * 10 + epoch_us(ts) // 60000000 // 10 % 10)"
+
+
+@query(
+    "continuity_in_order",
+    WITH
+    + f"""SELECT symbol, ts, n AS seen, n < 60 AS has_gap FROM (SELECT symbol, ts, n, max(ts) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest
+FROM (SELECT symbol, ts, {_ARRIVED} AS seq, count(*) OVER (PARTITION BY symbol ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS n FROM b1)) WHERE latest IS NULL OR ts > latest""",
+)
+def _(spark, sf_dir):
+    minute = F.floor(F.unix_micros("ts") / 60_000_000)
+    arrived = F.floor(minute / 100) * 100 + minute % 10 * 10 + F.floor(minute / 10) % 10
+    return checks.continuity(bars_1m(spark, sf_dir).select("symbol", "ts", arrived.alias("seq")), arrival="seq", places=5_000)
+
+
+@query(
+    "series_requests",
+    WITH
+    + """, r AS (SELECT c_custkey AS pair_id, ['5m', '1h', '4h', '1m', '2h'][1 + c_custkey % 5] AS tf, c_nationkey * 30 AS n, ['click', 'view', '', 'error'][1 + c_custkey % 4] AS listed,
+ CASE WHEN c_custkey % 8 = 2 THEN 'view' END AS standard FROM customer WHERE c_custkey <= 60)
+SELECT pair_id, tf, symbol, ts::TIMESTAMP AS ts, (ts + tfs.ms * INTERVAL 1 MILLISECOND)::TIMESTAMP AS bar_time, open, high, low, close, volume
+FROM (SELECT pair_id, tf, n, CASE WHEN listed <> '' THEN listed ELSE standard END AS symbol FROM r) JOIN bars USING (symbol, tf) JOIN tfs USING (tf)
+QUALIFY row_number() OVER (PARTITION BY pair_id, tf ORDER BY ts DESC) <= least(n, 365)""",
+)
+def _(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").filter("c_custkey <= 60")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("c_custkey") % len(xs) + 1).cast("int"))
+    key = F.col("c_custkey").alias("pair_id")
+    requests = c.select(key, pick("5m", "1h", "4h", "1m", "2h").alias("tf"), (F.col("c_nationkey") * 30).alias("n"))
+    listed = c.select(key, pick("click", "view", "", "error").alias("symbol"))
+    standard = c.filter("c_custkey % 8 = 2").select(key, F.lit("view").alias("symbol"))
+    return scan.series_for(requests, rollup.rollup(bars_1m(spark, sf_dir)), listed, standard)
+
+
+@query(
+    "pair_lookup",
+    """SELECT o_orderkey, o_custkey AS pair_id, c.c_name AS symbol, l.c_mktsegment AS listing, CASE WHEN c.c_custkey IS NULL THEN 'no pair ' || o_custkey WHEN l.c_custkey IS NULL THEN 'pair ' || o_custkey || ' isn''t listed' END AS error
+FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_nationkey <> 3 LEFT JOIN customer l ON l.c_custkey = o_custkey AND l.c_acctbal > 0""",
+)
+def _(spark, sf_dir):
+    requests = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("pair_id"))
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "pair_id")
+    pairs, listed = c.filter("c_nationkey <> 3"), c.filter("c_acctbal > 0")
+    return dims.pair_info(requests, pairs.select("pair_id", F.col("c_name").alias("symbol")), listed.select("pair_id", F.col("c_mktsegment").alias("listing")))
+
+
+def _strategies(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("strategy_id"), F.col("c_nationkey").alias("user_id"), F.col("c_mktsegment").alias("kind"), (F.col("c_acctbal") > 0).cast("int").alias("enabled"))
+
+
+_STRATEGIES = "SELECT c_custkey AS strategy_id, c_nationkey AS user_id, c_mktsegment AS kind, (c_acctbal > 0)::INTEGER AS enabled FROM customer"
+
+
+@query("lookup_by_user", f"SELECT * FROM ({_STRATEGIES}) WHERE user_id = 7 AND enabled = 1")
+def _(spark, sf_dir):
+    return dims.lookup(_strategies(spark, sf_dir), enabled=True, user_id=7)
+
+
+@query("lookup_by_key", f"SELECT * FROM ({_STRATEGIES}) WHERE user_id = 7 AND strategy_id BETWEEN 1 AND 1000000 AND kind = 'BUILDING'")
+def _(spark, sf_dir):
+    return dims.matching(dims.lookup(_strategies(spark, sf_dir), user_id=7, kind="BUILDING"), {"enabled": None, "kind": "  "}, since={"strategy_id": 1}, until={"strategy_id": 1_000_000, "user_id": None})
+
+
+@query("other_intervals", WITH + "SELECT * FROM bars WHERE tf = '1h'")
+def _(spark, sf_dir):
+    one = bars_1m(spark, sf_dir)
+    both = one.withColumn("interval", F.lit("1m")).unionByName(one.withColumn("interval", F.lit("5m")).withColumn("high", F.col("high") + 1))
+    return rollup.rollup(both, {"1h": 60 * MINUTE})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import TIMEFRAMES, plain, plus_ms
-from candlewick.operators import conditions, decisions, halo, indicators, quantiles, signals
+from candlewick.operators import conditions, decisions, dims, halo, indicators, quantiles, signals
 from candlewick.plans.market import WITH, hourly
 from candlewick.sources.tables import table
 
@@ -23,7 +23,8 @@ c1 AS (SELECT c0.*, intent_id, direction, status, received_at, expired_at FROM c
 ctx AS (SELECT symbol, bar_time, h AS strategy_id, CASE symbol WHEN 'click' THEN 'SIGNAL_DRIVEN' WHEN 'view' THEN 'INDICATOR_DRIVEN' WHEN 'error' THEN 'OTHER' ELSE 'HYBRID' END AS strategy_type, ['SIGNAL', 'INDICATOR', 'BAR', 'PRICE'][1 + h % 4] AS trigger_type,
  open AS bar_open, high AS bar_high, low AS bar_low, close AS bar_close, volume AS bar_volume, 'SMA' AS ind_code, v AS ind_value, CASE WHEN h % 7 = 0 THEN 0.0::DOUBLE WHEN h % 7 = 1 THEN NULL ELSE close END AS px_last,
  intent_id AS sig_intent_id, direction AS sig_direction, status AS sig_status, received_at AS sig_received_at, expired_at AS sig_expired_at, coalesce(status = 'ACTIVE' AND expired_at > bar_time, false) AS sig_valid,
- CASE WHEN h = 23 THEN NULL ELSE ['FLAT', 'LONG', 'SHORT'][1 + h % 3] END AS state_side, (h % 5)::DOUBLE AS state_qty, open AS state_entry, CASE WHEN h = 22 THEN NULL ELSE 10000.0::DOUBLE END AS param_capital, CASE WHEN h = 21 THEN 1.0001::DOUBLE WHEN h = 20 THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END AS param_ratio, 0.05::DOUBLE AS param_stop_loss FROM c1)
+ CASE WHEN h = 23 THEN NULL ELSE ['FLAT', 'LONG', 'SHORT'][1 + h % 3] END AS state_side, (h % 5)::DOUBLE AS state_qty, open AS state_entry, CASE WHEN h = 22 THEN NULL ELSE 10000.0::DOUBLE END AS param_capital, CASE WHEN h = 21 THEN 1.0001::DOUBLE WHEN h = 20 THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END AS param_ratio, 0.05::DOUBLE AS param_stop_loss,
+ CASE WHEN h = 23 THEN NULL ELSE ['IDLE', 'OPENED', 'OPENED'][1 + h % 3] END AS state_phase, CASE WHEN h % 2 = 0 THEN 0.1::DOUBLE END AS param_take_profit FROM c1)
 """
 
 
@@ -62,6 +63,7 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("SMA").alias("ind_code"), F.col("v").alias("ind_value"), F.lit(None).cast("map<string,double>").alias("ind_extra"), F.when(h % 7 == 0, F.lit(0.0)).when(h % 7 != 1, F.col("close")).alias("px_last"),
         F.col("sig.intent_id").alias("sig_intent_id"), F.col("sig.direction").alias("sig_direction"), F.col("sig.status").alias("sig_status"), F.col("sig.received_at").alias("sig_received_at"), F.col("sig.expired_at").alias("sig_expired_at"),
         F.when(h != 23, pick("FLAT", "LONG", "SHORT")).alias("state_side"), (h % 5).cast("double").alias("state_qty"), F.col("open").alias("state_entry"), F.when(h != 22, F.lit(10000.0)).alias("param_capital"), F.when(h == 21, F.lit(1.0001)).when(h == 20, F.lit(0.0)).otherwise(F.lit(0.25)).alias("param_ratio"), F.lit(0.05).alias("param_stop_loss"),
+        F.when(h != 23, pick("IDLE", "OPENED", "OPENED")).alias("state_phase"), F.when(h % 2 == 0, F.lit(0.1)).alias("param_take_profit"),
     )
     return out.withColumn("sig_valid", decisions.signal_valid(F.col("bar_time")))
 
@@ -98,6 +100,9 @@ TREES: dict[str, tuple[dict, str]] = {
     "cond_string_ops": ({"rules": [{"factor": "SIG.DIRECTION", "operator": "STARTS_WITH", "value": "B", "type": "STRING", "nullable": True}, {"factor": "SIG.DIRECTION", "operator": "CONTAINS", "value": "U", "type": "STRING", "nullable": True}, {"factor": "SIG.DIRECTION", "operator": "ENDS_WITH", "value": "Y", "type": "STRING", "nullable": True}]}, "CASE WHEN sig_valid AND sig_direction = 'BUY' THEN 'PASSED' ELSE 'FAILED' END"),
     "cond_coercion": ({"mode": "ANY", "rules": [{"factor": "STATE.POSITION_QTY", "operator": "GT", "value": "3.0", "type": "STRING", "nullable": True}, {"factor": "STATE.POSITION_SIDE", "operator": "EQ", "value": 1}]}, "CASE WHEN state_qty > 3 THEN 'PASSED' ELSE 'BLOCKED' END"),
     "cond_state": ({"rules": [{"factor": "STATE.POSITION_SIDE", "operator": "EQ", "value": "LONG", "type": "STRING"}, {"factor": "BAR.LOW", "operator": "LT", "value": "STATE.STOP_LOSS_PRICE"}]}, "CASE WHEN state_side IS NULL THEN 'BLOCKED' WHEN state_side = 'LONG' AND bar_low < state_entry * (1 - param_stop_loss) THEN 'PASSED' ELSE 'FAILED' END"),
+    "cond_prefix": ({"mode": "ANY", "rules": [{"factor": "BAR.CLOSE", "operator": "GT", "value": 30}, {"factor": "ACCOUNT.CASH", "operator": "GT", "value": 1}]}, "CASE WHEN bar_close > 30 THEN 'PASSED' ELSE 'BLOCKED' END"),
+    "cond_boolean": ({"rules": [{"factor": "STATE.POSITION_QTY", "operator": "EQ", "value": True, "type": "BOOLEAN", "nullable": True}]}, "CASE WHEN state_qty IS NULL THEN 'FAILED' ELSE 'BLOCKED' END"),
+    "cond_empty": ({}, "'BLOCKED'"),
     "cond_tree": (
         {"mode": "ANY", "rules": [{"factor": "PX.LAST", "operator": "GT", "value": 50, "nullable": True}, {"factor": "IND.SMA", "operator": "GT", "value": 30}], "groups": [{"mode": "ALL", "rules": [{"factor": "SIG.INTENT_ID", "operator": "GT", "value": 500}], "groups": [{"mode": "ANY"}]}, {"rules": []}]},
         "CASE WHEN coalesce(px_last > 50, false) THEN 'PASSED' WHEN ind_value IS NULL THEN 'BLOCKED' WHEN ind_value > 30 THEN 'PASSED' WHEN NOT sig_valid THEN 'BLOCKED' ELSE 'PASSED' END",
@@ -271,7 +276,8 @@ def _(spark, sf_dir):
 
 @query("indicator_values_page", "SELECT symbol, ts, v AS value, count(*) OVER () AS total FROM ind WHERE symbol = 'view' AND v IS NOT NULL AND ts BETWEEN '2024-01-04' AND '2024-01-25' ORDER BY ts DESC LIMIT 20 OFFSET 40")
 def _(spark, sf_dir):
-    rows = indicators.sma_strict(hourly(spark, sf_dir)).filter("symbol = 'view' and value is not null and ts between timestamp'2024-01-04' and timestamp'2024-01-25'")
+    stored = indicators.sma_strict(hourly(spark, sf_dir)).filter("value is not null")
+    rows = dims.matching(stored, {"symbol": "view", "value": None}, since={"ts": "2024-01-04"}, until={"ts": "2024-01-25"})
     return signals.page(rows, [F.desc("ts")], page=3, size=20)
 
 

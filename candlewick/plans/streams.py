@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import TIMEFRAMES, plain
+from candlewick.operators import decisions
 from candlewick.plans.market import ORACLES as ORACLES_OF_BARS
 from candlewick.plans.market import WITH
 from candlewick.plans.strategy import ORACLES as ORACLES_OF_RULES
+from candlewick.plans import strategy
 from candlewick.plans.strategy import context, payloads
 from candlewick.sources.store import Store
 from candlewick.sources.tables import as_ticks, bars_1m, in_utc, table
@@ -204,3 +206,29 @@ ORACLES["stream_alerts"] = (
  concat_ws(',', CASE WHEN max(ms) > 10 THEN 'LATENCY' END, CASE WHEN count(*) FILTER (w) * 100.0::DOUBLE / count(*) < 99 THEN 'WRITE_RATE' END) AS alerts
 FROM (SELECT 'good' AS stream, 2.5::DOUBLE AS ms, true AS w FROM ticks UNION ALL SELECT 'bad', volume, event_id % 100 >= 20 FROM ticks) GROUP BY stream"""
 )
+
+
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions that act, recorded once with their whole reason as a document, and read back from the log."""
+    rows = decisions.guarded(context(spark, sf_dir), "bar_time").filter("reject is null").withColumn("action", decisions.decide(*strategy._trees())).filter("action <> 'HOLD'")
+    records = rows.select("strategy_id", "symbol", "bar_time", "action", decisions.order_quantity(F.col("action")).alias("qty"), F.col("sig_intent_id").alias("signal_id"), decisions.reason_document(F.col("action")).alias("reason"))
+    schema = "strategy_id long, symbol string, bar_time timestamp, action string, qty double, signal_id long, reason string"
+    store = Store(spark, new_folder(spark, "decisions"), schema, ["strategy_id", "symbol", "bar_time"], ts="bar_time")
+    for batch in range(2):  # the second time nothing is new
+        store.save(records, "decisions", batch)
+    get = lambda path, kind="string": F.get_json_object("reason", f"$.{path}").cast(kind)
+    found = store.read().select(
+        "strategy_id", "symbol", "bar_time", "action", "qty", "signal_id", get("logicStateBefore.phase").alias("phase"), get("paramsDigest.takeProfitRatio", "double").alias("take_profit"),
+        get("paramsDigest.stopLossRatio", "double").alias("stop_loss"), get("decisionBasis.strategyType").alias("strategy_type"), get("stateChange").alias("state_change"),
+    )
+    return plain(found)
+
+
+QUERIES["decision_log"] = decision_log
+ORACLES["decision_log"] = (
+    strategy.WITH
+    + strategy._SIG
+    + strategy._GUARD
+    + f"""SELECT strategy_id, symbol, bar_time::TIMESTAMP AS bar_time, action, {strategy._QTY} AS qty, sig_intent_id AS signal_id, state_phase AS phase, param_take_profit AS take_profit, param_stop_loss AS stop_loss,
+ strategy_type, coalesce(state_side, 'FLAT') || ' -> ' || action AS state_change FROM (SELECT *, {strategy._DECIDE} AS action FROM g WHERE reject IS NULL) WHERE action <> 'HOLD'"""
+)

@@ -14,6 +14,13 @@ def is_data(message: str) -> F.Column:
     return F.get_json_object(message, "$.event").isNull() & F.get_json_object(message, "$.data").isNotNull()
 
 
+def channel(message: str) -> F.Column:
+    """Where a message goes: ``candle`` or ``ticker`` by its channel, ``system`` for those about the connection, else ``unknown``."""
+    name = F.get_json_object(message, "$.arg.channel")
+    about = F.get_json_object(message, "$.event").isNotNull()
+    return F.when(about, "system").when(name.startswith("candle"), "candle").when(name == "tickers", "ticker").otherwise("unknown")
+
+
 def candles(messages: DataFrame, message: str = "message", received: str = "received") -> DataFrame:
     """One-minute bars from candle messages ({arg: {instId}, data: [[ms, o, h, l, c, volume, .., .., confirm]]}).
 

@@ -25,8 +25,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, righ
     a = left.withColumn("_t", F.col(left_ts)).withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast(right.schema[value].dataType))
     b = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), value)
     both = a.unionByName(b, allowMissingColumns=True)
-    timed = both.schema["_t"].dataType.typeName() == "timestamp"  # else a number, cut by the same span
-    both = both.withColumn("_chunk", halo.time_chunk("_t", span_ms) if timed else F.floor(F.col("_t") / span_ms))
+    both = both.withColumn("_chunk", halo.chunk_of(both, "_t", span_ms))
     inside = Window.partitionBy(*keys, "_chunk").orderBy("_t", "_side", value).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_found", F.last(value, ignorenulls=True).over(inside)).filter("_side = 1")
     last = F.max(F.when(F.col("_side") == 0, F.struct("_t", value)))

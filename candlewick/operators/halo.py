@@ -22,6 +22,11 @@ def time_chunk(ts: str = "ts", span_ms: int = SPAN_MS) -> Column:
     return F.floor(F.unix_millis(ts) / span_ms)
 
 
+def chunk_of(rows: DataFrame, ts: str, span_ms: int = SPAN_MS) -> Column:
+    """``time_chunk``, or the same cut of a number in place of a time."""
+    return time_chunk(ts, span_ms) if rows.schema[ts].dataType.typeName() == "timestamp" else F.floor(F.col(ts) / span_ms)
+
+
 def with_rows_before(rows: DataFrame, keys: tuple[str, ...], chunk: Column, order: str, before: int) -> DataFrame:
     """``rows`` with PART: each row in its own chunk, and in those after it for which it is among the ``before`` rows before.
 
@@ -54,9 +59,9 @@ def windowed(rows: DataFrame, compute: Callable[[DataFrame, tuple[str, ...]], Da
 
     ``compute`` gets PART as one more key, must partition by all keys given, and keep ``ts`` and the keys.
     """
-    spread = with_rows_before(rows, keys, time_chunk(ts, span_ms), ts, before)
-    found = compute(spread, (*keys, PART))
-    return found.filter(F.col(PART) == time_chunk(ts, span_ms)).drop(PART)
+    chunk = chunk_of(rows, ts, span_ms)
+    found = compute(with_rows_before(rows, keys, chunk, ts, before), (*keys, PART))
+    return found.filter(F.col(PART) == chunk).drop(PART)
 
 
 def greatest_before(rows: DataFrame, keys: tuple[str, ...], chunk: Column, order: str, value: str, name: str) -> DataFrame:

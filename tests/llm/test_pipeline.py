@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from candlewick.llm import langid, simhash
 
@@ -75,3 +77,16 @@ def test_stages_take_empty_tables(spark, tmp_path):
 def test_language_score_has_a_floor(spark):
     docs = spark.createDataFrame([(i, "the cat sat on the mat and the dog", "en") for i in range(8)] + [(9, "щщщ жжж ъъъ " * 40, None)], "doc_id long, text string, lang string")
     assert langid.known(docs, least=0.2).count() == 8
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    corpus(spark, str(tmp_path))
+    names = ["row", "fp", "repeats", "keep", "others", "words", "component_id", "id"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names})
+    long = docs.filter("doc_id = 1").withColumns({"doc_id": F.lit(999).cast("long"), "text": F.repeat(F.lit("the of and tion "), 50_000)})
+    docs = docs.unionByName(long)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, name
+        rows = found.filter("doc_id is not null").collect()
+        assert len(rows) > 100 and all(r[n] == f"{n} of {r.doc_id if r.doc_id != 999 else 1}" for r in rows for n in names), name

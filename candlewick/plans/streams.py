@@ -16,7 +16,6 @@ from candlewick.plans import strategy
 from candlewick.plans.strategy import context, payloads
 from candlewick.sources.store import Store
 from candlewick.sources.tables import as_ticks, bars_1m, in_utc, table
-from candlewick.sources.tables import ticks as ticks_of
 from candlewick.sources.written import new_folder
 from candlewick.streaming import bars, fanout, keyed, monitor, series
 
@@ -30,12 +29,13 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_ticks(in_utc(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")))
 
 
-def run_to_store(stream: DataFrame, keys: list[str], arrival: str | None = None, name: str = "query") -> Store:
-    """Run a stream over all that is there into a store of its own."""
+def run_to_store(stream: DataFrame, keys: list[str], arrival: str | None = None, name: str = "query", store: Store | None = None) -> Store:
+    """Run a stream over all that is there into ``store``, or one of its own."""
     spark = stream.sparkSession
     base = new_folder(spark, "stream")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
-    store = Store(spark, f"{base}/store", schema, keys, next(f.name for f in stream.schema if f.dataType.typeName() == "timestamp"), arrival)
+    if store is None:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+        store = Store(spark, f"{base}/store", schema, keys, next(f.name for f in stream.schema if f.dataType.typeName() == "timestamp"), arrival)
     with keyed.keyed_state(spark):
         query = stream.writeStream.foreachBatch(store.sink(name)).option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -63,15 +63,14 @@ WHERE epoch_us(ts) + {_ms * 1000} <= (SELECT epoch_us(max(ts)) // 1000 * 1000 -
 
 
 def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors and other ticks as records of one append-only log, by two streams that both begin with batch 0."""
-    ticks = tick_stream(spark, sf_dir)
-    store = run_to_store(ticks.filter("symbol = 'error'"), [], name="errors")
-    store.save(ticks_of(spark, sf_dir).filter("symbol <> 'error'"), "others", 0)
-    return plain(store.read().groupBy("symbol").agg(F.count("*").alias("records"), F.max("ts").alias("latest"), F.sum(F.col("volume").cast("decimal(18,2)")).cast("double").alias("volume")))
+    """Every tick as a record of one append-only log: errors and all others come by two streams that both begin with batch 0."""
+    ticks, error = tick_stream(spark, sf_dir), F.col("symbol").eqNullSafe("error")
+    store = run_to_store(ticks.filter(error), [], name="errors")
+    return plain(run_to_store(ticks.filter(~error), [], name="others", store=store).read())
 
 
 QUERIES["log_append"] = log_append
-ORACLES["log_append"] = WITH + "SELECT symbol, count(*) AS records, max(ts)::TIMESTAMP AS latest, sum(volume::DECIMAL(18, 2))::DOUBLE AS volume FROM ticks GROUP BY symbol"
+ORACLES["log_append"] = WITH + "SELECT event_id, symbol, ts::TIMESTAMP AS ts, price, volume FROM ticks"
 
 
 def save_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +97,7 @@ UNION ALL SELECT 'all', 0, count(*) FROM b1)"""
 
 def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ticks of a stream that a cooldown of an hour for each symbol lets pass."""
-    found = keyed.cooled_down(tick_stream(spark, sf_dir).withColumnRenamed("symbol", "key"), 3600)
+    found = keyed.cooled_down(tick_stream(spark, sf_dir).select("event_id", F.col("symbol").alias("key"), "ts"), 3600)
     return plain(run_to_store(found.select("key", "ts"), ["key", "ts"]).read())
 
 

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from candlewick.operators import indicators
+from candlewick.plans import streams
 from candlewick.streaming import fanout, keyed, monitor, series
 
 START = datetime(2024, 1, 1)
@@ -63,3 +64,10 @@ def test_subscribers_and_configured_signals(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "i int, signal_key string").withColumn("payload", F.lit('{"action": "buy", "qty": "2"}'))
     configs = spark.createDataFrame([("x", 7, 1, 1), ("y", 8, 1, 0)], "signal_key string, signal_config_id int, user_id int, enabled int")
     assert sorted((r.i, r.direction, r.quantity, r.signal_config_id) for r in fanout.configured(rows, configs).collect()) == [(1, "LONG", 2.0, 7), (2, "LONG", 2.0, None), (3, "LONG", 2.0, None)]
+
+
+def test_the_log_has_every_tick_as_it_came(spark, tmp_path):
+    rows = [(i, START + timedelta(hours=i % 50), ("error", "view", None)[i % 3], float(i), f'{{"k": {i}}}' if i % 4 else "{}") for i in range(90)]
+    spark.createDataFrame(rows + rows[:3], "event_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = [tuple(r) for r in streams.log_append(spark, str(tmp_path)).select("event_id", "symbol", "ts", "price", "volume").collect()]
+    assert sorted(found, key=str) == sorted(((i, kind, ts, price, float(i) if i % 4 else None) for i, ts, kind, price, _ in rows + rows[:3]), key=str)

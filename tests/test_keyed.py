@@ -1,9 +1,11 @@
 """Holds on streams and in batches: cooldowns, duplicate triggers, as-of values over chunks."""
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from candlewick.operators import checks, decisions
@@ -106,3 +108,55 @@ def test_as_of_carries_over_chunks(spark):
     expected = {i: max(((u, v) for kk, u, v in right if kk == k and u <= t), default=(None, None))[1] for i, k, t in left}
     for span in (50_000, 10**12):
         assert {r.i: r.x for r in decisions.as_of(a, b, ["k"], "t", "u", "v", span_ms=span).select("i", F.col("v.x").alias("x")).collect()} == expected
+
+
+class Handle:
+    """The state and timers of one key, in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    getValueState = lambda self, name, schema: self
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    update = lambda self, value: setattr(self, "value", value)
+    listTimers = lambda self: iter(self.timers)
+    deleteTimer = lambda self, t: self.timers.remove(t)
+    registerTimer = lambda self, t: self.timers.append(t)
+
+
+def test_a_key_with_many_rows_is_not_held_in_memory():
+    row, pick, n = Row("event_id", "key", "_us", "_ttl"), random.Random(5), 300_000
+    hold = keyed.Hold("event_id", passed=True)
+    hold.init(handle := Handle())
+    times = {}
+
+    def rows():
+        for i in range(n):
+            us = pick.randrange(10**9)
+            times[i] = us
+            yield row(i, "hot", us, 10**6)
+
+    list(map(times.get, rows()))  # the times themselves are no part of what is measured
+    pick.seed(5)
+    tracemalloc.start()
+    found = list(hold.handleInputRows(("hot",), rows(), None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["_us"] for r in found] == passed(times.values(), 10**6) and all(r.taken for r in found)
+    assert handle.value == (found[-1]["_us"], 10**6) and len(handle.timers) == 1
+    assert peak < 50 << 20
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 57])
+def test_rows_in_order_by_runs(n):
+    rows = [(random.Random(i).randrange(9), i) for i in range(n)]
+    assert list(keyed.in_order(iter(rows), lambda r: r[0], 10, 3)) == sorted(rows, key=lambda r: r[0])
+
+
+def test_rows_without_a_key_pass_and_are_dealt_to_parts(spark, tmp_path):
+    table = spark.createDataFrame([(i, None if i % 2 else "k", START + timedelta(seconds=i)) for i in range(40)], "event_id long, key string, ts timestamp")
+    table.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in")
+    found = run(keyed.cooled_down(source, 10), str(tmp_path), spark).collect()
+    assert sorted((r.event_id, r.key) for r in found) == sorted([(i, None) for i in range(1, 40, 2)] + [(i, "k") for i in range(0, 40, 10)])

@@ -7,6 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Parts that the subscriptions of a key are dealt to, and tasks that meet them with events: a set number, since rows are small before they meet.
+PARTS, TASKS = 64, 192
+
 
 def targets(configs: DataFrame, pairs: DataFrame, rules: DataFrame) -> DataFrame:
     """Enabled configurations with their pair and exchange rule; those without either are left out."""
@@ -31,9 +34,17 @@ def resolved(names: DataFrame, exact: DataFrame, standard: DataFrame) -> DataFra
     return names.join(a, "name", "left").withColumn("_base", base).join(b, "_base", "left").select("name", F.coalesce("_a", "_b").alias("pair_id"))
 
 
-def fanned_out(events: DataFrame, subscriptions: DataFrame, keys: list[str]) -> DataFrame:
-    """Each event once for every enabled subscription on its keys."""
-    return events.join(subscriptions.filter("enabled = 1").drop("enabled"), keys)
+def fanned_out(events: DataFrame, subscriptions: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
+    """Each event once for every enabled subscription on its keys.
+
+    Keys can be few, with most of the rows. So subscriptions are dealt to ``parts``, each event goes to all of these, and
+    what one key gives is spread over ``TASKS`` tasks, whatever the size of either side; nothing is broadcast.
+    """
+    enabled = subscriptions.filter("enabled = 1").drop("enabled")
+    dealt = enabled.withColumn("_part", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in enabled.dtypes if "map<" not in kind)), F.lit(parts)))
+    spread = events.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    by = [*keys, "_part"]
+    return spread.repartition(TASKS, *by).join(dealt.repartition(TASKS, *by).hint("merge"), by).drop("_part")
 
 
 def strategies(definitions: DataFrame, params: DataFrame, symbols: DataFrame, subscriptions: DataFrame) -> DataFrame:

@@ -81,3 +81,14 @@ def test_hits_end_where_evaluation_ends(spark):
     assert run({"rules": [{"factor": "X.Y"}]})[:2] == ("BLOCKED", "factor not allowed: X.Y") and run({})[:2] == ("BLOCKED", "no condition")
     assert run({"rules": [{"factor": "BAR.CLOSE", "operator": "LIKE", "value": 1}]})[1] == "can't be compared: BAR.CLOSE LIKE"
     assert run({"rules": [{"factor": "BAR.CLOSE", "operator": "GT", "value": "x1"}]})[1] == "no such value: x1"
+
+
+def test_one_key_is_fanned_out_by_many_tasks(spark):
+    events = spark.createDataFrame([("hot", i) for i in range(20)] + [("cold", 1), (None, 2), ("none", 3), ("hot", 0)], "symbol string, n int")
+    subs = spark.createDataFrame([("hot", i, int(i % 3 > 0), {"a": i}) for i in range(300)] + [("cold", 1, 1, {}), (None, 2, 1, {}), ("cold", 1, 1, {})], "symbol string, user_id int, enabled int, more map<string,int>")
+    found = dims.fanned_out(events, subs, ["symbol"])
+    assert found.columns == ["symbol", "n", "user_id", "more"]
+    want = [("hot", n, u) for n in [*range(20), 0] for u in range(300) if u % 3] + [("cold", 1, 1)] * 2
+    assert sorted((r.symbol, r.n, r.user_id) for r in found.collect()) == sorted(want)
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(tasks) > 30 and max(tasks) < len(want) / 8

@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: where two tokenizers' tokens end together, and which of their tokens overlap.
 
-Python tokenises; groups, links and counts are Spark's higher-order functions on arrays of ids and byte ends. Both
-tokenizers' ends are sorted into one array of events; what an event needs of the other side follows from its place there,
-so that each step reads an array once and a text costs about as much as it is long.
+Arrow batches tokenise, with the ends of both merged by numpy: the ids along the stretches between neighbouring ends, and
+each side's ids as text, cut at common ends. Spark's functions make groups and links of these, an array each, and count
+pairs over the corpus. A text costs about as much as it is long.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.bpe import default_path
@@ -54,6 +54,8 @@ class Tokens:
         self.a_bytes = [names[i].encode() if i in special else bytes(byte[c] for c in names[i]) for i in range(len(names))]
         self.b_bytes = [bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(BLANK, " ").encode() for i in range(len(b))]
         self.a_size, self.b_size = (np.array([len(x) for x in table], np.int32) for table in (self.a_bytes, self.b_bytes))
+        # an id as text: with a comma, and after all of these with a semicolon, for those that close a group
+        self.a_names, self.b_names = ([f"{i}{mark}" for mark in ",;" for i in range(len(table))] for table in (self.a_bytes, self.b_bytes))
         ranks = {token: i for i, token in enumerate(self.a_bytes) if i not in special}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.odd = regex.compile("[^\x00-\u024f\u2000-\u206f]")
@@ -81,71 +83,41 @@ def tokens(byte_path: str, piece_path: str) -> Tokens:
     return Tokens(byte_path, piece_path)
 
 
-def tokenised(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
-    """(doc_id, a_ids, a_ends, b_ids, b_ends): each document's ids by both tokenizers and the bytes that they end at."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokens(byte_path or default_path("byte_bpe_50k.json"), piece_path or default_path("piece_bpe_32k.model"))
-        for batch in batches:
-            for part in slices(batch):
-                columns: dict[str, list] = {c: [] for c in ("a_ids", "a_ends", "b_ids", "b_ends")}
-                for a, b in known.both(part.column("text").to_pylist()):
-                    columns["a_ids"].append(a)
-                    columns["a_ends"].append(np.cumsum(known.a_size[a], dtype=np.int32))
-                    columns["b_ids"].append(b)
-                    columns["b_ends"].append(np.cumsum(known.b_size[b], dtype=np.int32))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | {c: pa.array(v, pa.list_(pa.int32())) for c, v in columns.items()})
-
-    return texts(docs).mapInArrow(run, "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
-
-
-#: An event: the byte that a token ends at, from bit 33 on, which tokenizer's it is, in bit 32, and its number there.
-_END, _SECOND = 33, 2**32
-
-
-def _events(a_ends: str, b_ends: str) -> Column:
-    """The ends of both, in order; where both end, the first tokenizer's comes first."""
-    event = lambda side: lambda end, i: F.shiftleft(end.cast("long"), _END) + (i + side)
-    return F.sort_array(F.concat(F.transform(a_ends, event(0)), F.transform(b_ends, event(_SECOND))))
-
+def grouped(ids: np.ndarray, ends: np.ndarray, other: np.ndarray, names: list[str]) -> str:
+    """One tokenizer's ids as text, with semicolons where the other's tokens end too. Both end together at last."""
+    closes = other[np.searchsorted(other, ends)] == ends
+    return "".join(map(names.__getitem__, (ids + closes * (len(names) // 2)).tolist()))[:-1]
 
-def _is_second(event: Column) -> Column:
-    return event.bitwiseAND(_SECOND) != 0
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), pa.int32()))
 
-def _number(event: Column) -> Column:
-    return event.bitwiseAND(_SECOND - 1).cast("int")
 
+def tokenised(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
+    """(doc_id, n_a, n_b, a_along, b_along, a_groups, b_groups) for each document, by both tokenizers.
 
-def _ends_together(event: Column, other: Column) -> Column:
-    return F.coalesce(F.shiftright(event, _END) == F.shiftright(other, _END), F.lit(False))
-
-
-def _group_ids(ids: str, second: bool) -> Column:
-    """One tokenizer's ids as text, a text for each group: an event whose end the other one has too closes a group."""
-
-    def one(event: Column, at: Column) -> Column:
-        closes = _ends_together(event, F.get("events", at - 1 if second else at + 1))
-        text = F.concat(F.get(ids, _number(event)).cast("string"), F.when(closes, ";").otherwise(","))
-        return F.when(_is_second(event) == F.lit(second), text).otherwise("")
-
-    return F.split(F.rtrim(F.array_join(F.transform("events", one), ""), F.lit(";")), ";")
-
-
-def _links() -> Column:
-    """Each pair of overlapping tokens once: the stretch before an end lies in one token of each tokenizer.
-
-    An event at place m that is number i of its own side has m - i of the other side before it. An end that both have
-    is one stretch, that of its first event.
+    ``a_along`` and ``b_along`` have the ids of the tokens that hold each stretch between neighbouring ends of either;
+    ``a_groups`` and ``b_groups`` all ids in order as text, with a semicolon at common ends and commas elsewhere.
     """
-    pair = lambda i, j: F.shiftleft(F.get("a_ids", i).cast("long"), 32) + F.get("b_ids", j)
 
-    def one(event: Column, at: Column) -> Column:
-        i = _number(event)
-        second = F.when(~_ends_together(event, F.get("events", at - 1)), pair(at - i, i))
-        return F.when(_is_second(event), second).otherwise(pair(i, at - i))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tokens(byte_path or default_path("byte_bpe_50k.json"), piece_path or default_path("piece_bpe_32k.model"))
+        for batch in batches:
+            for part in slices(batch):
+                along, sizes, texts_ = ([], []), ([], []), ([], [])
+                for a, b in known.both(part.column("text").to_pylist()):
+                    a_ends, b_ends = np.cumsum(known.a_size[a]), np.cumsum(known.b_size[b])
+                    ends = np.unique(np.concatenate([a_ends, b_ends]))
+                    for k, (ids, own, other, names) in enumerate(((a, a_ends, b_ends, known.a_names), (b, b_ends, a_ends, known.b_names))):
+                        sizes[k].append(len(ids))
+                        along[k].append(ids[np.searchsorted(own, ends)])
+                        texts_[k].append(grouped(ids, own, other, names))
+                numbers = {n: pa.array(v, pa.int64()) for n, v in zip(("n_a", "n_b"), sizes, strict=True)}
+                lists = {n: _lists(v) for n, v in zip(("a_along", "b_along"), along, strict=True)}
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | numbers | lists | {n: pa.array(v, pa.string()) for n, v in zip(("a_groups", "b_groups"), texts_, strict=True)})
 
-    return F.array_compact(F.transform("events", one))
+    return texts(docs).mapInArrow(run, "doc_id long, n_a long, n_b long, a_along array<int>, b_along array<int>, a_groups string, b_groups string")
 
 
 def aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
@@ -156,12 +128,14 @@ def aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | Non
     empty, or whose bytes a tokenizer doesn't give back have no tokens. Texts are taken whole; repeated rows and null
     doc_id stay; an empty table gives no rows; other columns are ignored.
     """
-    rows = tokenised(docs, byte_path, piece_path).withColumn("events", _events("a_ends", "b_ends"))
-    groups = F.zip_with(_group_ids("a_ids", False), _group_ids("b_ids", True), lambda a, b: F.concat(a, F.lit("|"), b))
-    groups = F.when(F.size("events") > 0, groups).otherwise(F.array().cast("array<string>"))
-    sizes = (F.size(c).cast("long").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b")))
-    common = F.size(F.array_intersect("a_ends", "b_ends")).cast("long").alias("n_groups")
-    return rows.select("doc_id", *sizes, common, groups.alias("groups"), _links().alias("links"))
+    rows = tokenised(docs, byte_path, piece_path)
+    groups = F.zip_with(F.split("a_groups", ";"), F.split("b_groups", ";"), lambda a, b: F.concat(a, F.lit("|"), b))
+    groups = F.when(F.col("n_a") > 0, groups).otherwise(F.array().cast("array<string>"))
+    # the stretch before an end lies in one token of each tokenizer: that is a link
+    links = F.zip_with("a_along", "b_along", lambda a, b: F.shiftleft(a.cast("long"), 32) + b)
+    # each token ends once, and a link for each end counts the common ones once
+    common = F.col("n_a") + F.col("n_b") - F.size("a_along")
+    return rows.select("doc_id", "n_a", "n_b", common.alias("n_groups"), groups.alias("groups"), links.alias("links"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

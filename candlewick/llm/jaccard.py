@@ -68,8 +68,8 @@ def described() -> Callable[[list], dict]:
 
 
 def _might_hold(keys_: DataFrame) -> np.ndarray:
-    """A bitmap of hashed keys, 1 MB at most whatever their number: where a bit isn't set, no key is."""
-    bit = F.pmod(F.xxhash64("key"), F.lit(BITS))
+    """A bitmap of keys (which are hashes), 1 MB at most whatever their number: where a bit isn't set, no key is."""
+    bit = F.pmod("key", F.lit(BITS))
     found = keys_.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
     held = np.zeros((BITS // 32768, 4096), np.uint8)
     for r in found.collect():  # at most BITS / 32768 rows of 4 kB
@@ -84,17 +84,15 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     held = _might_hold(wanted)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = keys()
         for batch in batches:
             for part in slices(batch, 0):
-                yield pa.RecordBatch.from_pydict({"key": key(part.column(0).to_pylist())["fp"], "text": part.column(0)})
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            at = bit % 32768
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["key", "text"]).filter(pa.array((held[bit // 32768, at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)))
+                found = key(part.column(0).to_pylist())["fp"]
+                bit = found.to_numpy() % BITS
+                at = bit % 32768
+                some = pa.RecordBatch.from_pydict({"key": found, "text": part.column(0)})
+                yield some.filter(pa.array((held[bit // 32768, at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Memo(shingles, 64, longest=1 << 40)
@@ -114,7 +112,8 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 bits = {k: pa.array(v, pa.list_(pa.int64())) for k, v in (("shared", shared), ("others", others))}
                 yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "near": near, "shared": bits["shared"], "over": pa.array(over, pa.int64()), "others": bits["others"]})
 
-    found = docs.select("text").mapInArrow(keyed, "key long, text string").withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(BITS))).mapInArrow(asked, "key long, text string")
+    # one step in Python: two in a row need two workers for each core, and Spark keeps them, with all that they hold, to the end
+    found = docs.select("text").mapInArrow(asked, "key long, text string")
     # copies are one row for each task before they meet
     found = durable(found.groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key", "left_semi"), "near-texts")
     met = pairs.join(found.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(found.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")

@@ -68,3 +68,17 @@ def test_odd_rows(spark):
     kept = [(r.row.doc_id, r.row.bands) for r in jaccard.representatives(docs).collect()]
     assert sorted(kept) == [(1, "c"), (4, "c"), (5, "c"), (7, "c")]
     assert jaccard.representatives(docs.limit(0)).collect() == []
+
+
+def test_no_task_needs_two_python_workers(spark, monkeypatch):
+    steps, durable = {}, jaccard.durable
+
+    def noted(df, name):
+        steps[name] = max(steps.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return durable(df, name)
+
+    monkeypatch.setattr(jaccard, "durable", noted)
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z 0 1 2 3 4 5 6 7 8 9"
+    rows = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words")], "doc_id long, text string")
+    assert sorted(r.row.doc_id for r in jaccard.representatives(rows).collect()) == [1, 3]
+    assert steps["near-texts"] == steps["near-prints"] == 1 and max(steps.values()) == 1

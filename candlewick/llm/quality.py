@@ -123,7 +123,7 @@ def _strength(rows: DataFrame, mean: Column, n: Column, s: Column) -> float:
     return float(min(FIRM, max(0.5, r.spread / r.n / between - 1)))
 
 
-def posterior(docs: DataFrame, host: str = "source", path: str = "lang", labels: DataFrame | None = None, most: int = SAMPLE, carried: list[str] | None = None) -> DataFrame:
+def posterior(docs: DataFrame, host: str = "source", path: str = "lang", labels: DataFrame | None = None, most: int = SAMPLE, carried: list[str] | None = None, written: bool = True) -> DataFrame:
     """The rows of ``docs`` (or their columns ``carried``) as the struct ``row``, with p_document, p_host, p_path and p_quality (0 to 1), and keep.
 
     Evidence of every document counts: a site's rate is the sum of its documents' probabilities, shrunk towards
@@ -133,15 +133,17 @@ def posterior(docs: DataFrame, host: str = "source", path: str = "lang", labels:
     has p_document 0, adds nothing to its site but a document of bad quality, and is rejected; null host or path is a
     site of its own; without labels of both classes every text has a half, and is kept unless its site is below all;
     repeated rows and null doc_id stay; texts of any length count whole; an empty table gives no rows; columns of any name stay in ``row``.
+    Rows are written with their evidence; if not ``written``, as suits wide rows of a stored table, texts are looked at again for the result.
     """
     docs = small_batches(docs)
     model = learned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, most) if labels is not None else None
     site = [F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text")]
     row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if carried is None else carried))).alias("row")
-    # texts are looked at once: what is written has the evidence beside the row
-    own = durable(with_evidence(docs.select(row, *site), model, ["row", "host", "path"]), "evidence")
+    own = with_evidence(docs.select(row, *site), model, ["row", "host", "path"])
+    if written:  # texts are looked at once: what is written has the evidence beside the row
+        own = durable(own, "evidence")
     p = F.coalesce("p", F.lit(0))
-    paths = durable(own.groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum(p).alias("s_path")), "paths")
+    paths = durable((own if written else with_evidence(docs.select(*site), model, ["host", "path"])).groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum(p).alias("s_path")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"))
     total = hosts.agg(F.sum("n_host").alias("n"), F.sum("s_host").alias("s")).first()
     mean = min(max((total.s or 0) / UNIT / max(total.n or 0, 1), 1e-4), 1 - 1e-4)

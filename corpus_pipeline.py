@@ -20,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts go; null lang or source is a site of its own; of equal rows all stay or all go.
     """
-    found = quality.posterior(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = quality.posterior(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"), written=False)
     return found.filter("keep").select("row.*")
 
 

@@ -90,3 +90,15 @@ def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
         assert found.columns == docs.columns, name
         rows = found.filter("doc_id is not null").collect()
         assert len(rows) > 100 and all(r[n] == f"{n} of {r.doc_id if r.doc_id != 999 else 1}" for r in rows for n in names), name
+
+
+def test_quality_leaves_no_copy_of_the_texts(spark, monkeypatch):
+    from candlewick.llm import quality
+
+    folder, wrote, durable = "/root/testdata/sf0.001", [], quality.durable
+    monkeypatch.setattr(quality, "durable", lambda df, name: (wrote.append((name, df.columns)), durable(df, name))[1])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = sorted(map(tuple, dict(corpus_pipeline.STAGES)["quality"](spark, docs, folder).collect()))
+    assert wrote == [("paths", ["host", "path", "n_path", "s_path"])]
+    whole = quality.posterior(docs, labels=spark.read.parquet(f"{folder}/labels.parquet")).filter("keep").select("row.*")
+    assert kept == sorted(map(tuple, whole.collect()))
